@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # Modules whose import registers queries.
-MODULES = ("text_queries", "numeric_queries")
+MODULES = ("text_queries", "numeric_queries", "glossary_queries", "access_queries")
 
 
 def load_registry():

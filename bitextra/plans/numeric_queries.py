@@ -50,12 +50,12 @@ TOKENS = f"""{_spans('refs_fx', _REF)}, {_spans('subs_all', _SUB)}, {_spans('num
     taken AS (SELECT doc_id, idx, side, at_, until FROM refs_fx
               UNION ALL SELECT doc_id, idx, side, at_, until FROM subs_fx),
     tokens_fx AS (
-      SELECT doc_id, idx, side, 'ref' AS kind, raw, regexp_replace(raw, '\\D', '', 'g') AS value, at
+      SELECT doc_id, idx, side, 'ref' AS kind, raw, regexp_replace(raw, '\\D', '', 'g') AS value, at_
       FROM refs_fx
       UNION ALL
       SELECT doc_id, idx, side, kind, raw, CASE WHEN kind = 'date' THEN
         array_to_string(list_transform(string_split_regex(raw, '[./-]'),
-          lambda p: CASE WHEN length(p) = 1 THEN '0' || p ELSE p END), '-') ELSE raw END, at
+          lambda p: CASE WHEN length(p) = 1 THEN '0' || p ELSE p END), '-') ELSE raw END, at_
       FROM subs_fx
       UNION ALL
       SELECT doc_id, idx, side, 'num', raw, raw, at_ FROM nums_all n WHERE NOT EXISTS (
