@@ -89,7 +89,7 @@ def repair_json(c: Column) -> Column:
     out = F.regexp_replace(c, r"\}(\s*)\{", r"},$1{")
     out = F.regexp_replace(out, r",\s*\]", "]")
     out = F.regexp_replace(out, r",\s*\}", "}")
-    return F.regexp_replace(out, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(out, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def add_value_key_commas(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitextra.functions.text import interleave
+from bitextra.functions.text import interleave, let
 
 # Designation marks, unit names that turn a dotted number into a
 # value, the shape of a date and the placeholder spelling.
@@ -116,11 +116,13 @@ def _numbered(values: Column) -> Column:
 
 def multiset_minus(left: Column, right: Column) -> Column:
     """Values of ``left`` not covered by ``right``: first-seen order, copies adjacent."""
-    rest = F.array_except(_numbered(left), _numbered(right))
-    placed = F.transform(
-        rest, lambda x: F.struct(F.array_position(left, x["v"]).alias("p"), x["copy"], x["v"])
-    )
-    return F.transform(F.array_sort(placed), lambda x: x["v"])
+    def placed(l: Column) -> Column:
+        rest = F.array_except(_numbered(l), let(right, _numbered))
+        return F.transform(
+            rest, lambda x: F.struct(F.array_position(l, x["v"]).alias("p"), x["copy"], x["v"])
+        )
+
+    return F.transform(F.array_sort(let(left, placed)), lambda x: x["v"])
 
 
 def drift_of(source_tokens: Column, target_tokens: Column) -> Column:
@@ -131,18 +133,26 @@ def drift_of(source_tokens: Column, target_tokens: Column) -> Column:
     """
 
     def pairs(kind: str) -> Column:
-        s, t = values_of(source_tokens, kind), values_of(target_tokens, kind)
-        extra = multiset_minus(t, s)
-        paired = F.transform(
-            multiset_minus(s, t),
-            lambda v, i: F.struct(
-                F.lit(kind).alias("kind"),
-                v.alias("source"),
-                F.coalesce(F.get(extra, i), F.lit("")).alias("target"),
-                (i + 1).alias("rank"),
-            ),
+        def joined(both: Column) -> Column:
+            s, t = both["s"], both["t"]
+            paired = let(
+                multiset_minus(t, s),
+                lambda extra: F.transform(
+                    multiset_minus(s, t),
+                    lambda v, i: F.struct(
+                        F.lit(kind).alias("kind"),
+                        v.alias("source"),
+                        F.coalesce(F.get(extra, i), F.lit("")).alias("target"),
+                        (i + 1).alias("rank"),
+                    ),
+                ),
+            )
+            return F.when(s != t, paired.cast(DRIFT_TYPE)).otherwise(F.array().cast(DRIFT_TYPE))
+
+        both = F.struct(
+            values_of(source_tokens, kind).alias("s"), values_of(target_tokens, kind).alias("t")
         )
-        return F.when(s != t, paired).otherwise(F.array().cast(DRIFT_TYPE))
+        return let(both, joined)
 
     parts = [pairs(kind) for kind in ("ref", "sub", "num")]
     return F.concat(*parts).cast(DRIFT_TYPE)
@@ -178,12 +188,12 @@ def restore(c: Column, spellings: Column) -> Column:
     ).otherwise(c)
 
 
-def _swap_first(text: Column, matches: Column, hit: Column, gaps: Column, build) -> Column:
-    """Replace the ``hit``-th match (1-based) by ``build(match)``; unchanged when 0."""
+def _swap_first(matches: Column, hit: Column, gaps: Column, build) -> Column:
+    """The text with its ``hit``-th match (1-based) rebuilt; null when there is none."""
     pieces = F.transform(
         matches, lambda m, i: F.when(i + 1 == hit, build(m)).otherwise(m["whole"])
     )
-    return F.when(hit > 0, interleave(gaps, pieces)).otherwise(text)
+    return F.when(hit > 0, interleave(gaps, pieces))
 
 
 def repair(target: Column, drift: Column, source_tokens: Column) -> Column:
@@ -206,31 +216,39 @@ def repair(target: Column, drift: Column, source_tokens: Column) -> Column:
             F.regexp_extract_all(text, F.lit(REF_PATTERN), F.lit(0)),
             lambda r: F.struct(r.alias("whole"), F.regexp_replace(r, r"(?U)\D", "").alias("value")),
         )
-        ref_hit = F.array_position(F.transform(refs, lambda r: r["value"]), mm["target"])
 
         def with_mark(m):
             lead = F.regexp_extract(m["whole"], f"({mark})", 1)
             return F.concat(F.when(spelling.rlike(mark), F.lit("")).otherwise(lead), spelling)
 
-        new_ref = _swap_first(text, refs, ref_hit, F.split(text, REF_PATTERN, -1), with_mark)
-        scans = scan_groups(text)
-        sub_hit = F.array_position(
-            F.transform(
-                scans, lambda m: F.when(_scan_kind(m) == "sub", m["dotted"]).otherwise(F.lit(""))
-            ),
-            mm["target"],
-        )
-        new_sub = _swap_first(
-            text, scans, sub_hit, F.split(text, SCAN_PATTERN, -1),
-            lambda m: F.concat(m["mark"], spelling),
-        )
+        def in_refs(hits):
+            at = F.array_position(F.transform(hits, lambda r: r["value"]), mm["target"])
+            gaps = F.split(text, REF_PATTERN, -1)
+            return let(at, lambda p: _swap_first(hits, p, gaps, with_mark))
+
+        def in_scans(hits):
+            subs = F.transform(
+                hits, lambda m: F.when(_scan_kind(m) == "sub", m["dotted"]).otherwise(F.lit(""))
+            )
+            gaps = F.split(text, SCAN_PATTERN, -1)
+            return let(
+                F.array_position(subs, mm["target"]),
+                lambda p: _swap_first(
+                    hits, p, gaps, lambda m: F.concat(m["mark"], spelling)
+                ),
+            )
+
         paired = mm["target"] != ""
-        is_ref = (mm["kind"] == "ref") & paired
-        is_sub = (mm["kind"] == "sub") & paired
-        done = (is_ref & (ref_hit > 0)) | (is_sub & (sub_hit > 0))
-        return F.struct(
-            F.when(is_ref, new_ref).when(is_sub, new_sub).otherwise(text).alias("text"),
-            (acc["unresolved"] + F.when(done, F.lit(0)).otherwise(F.lit(1))).alias("unresolved"),
+        fixed = F.when((mm["kind"] == "ref") & paired, let(refs, in_refs)).when(
+            (mm["kind"] == "sub") & paired, let(scan_groups(text), in_scans)
+        )
+        return let(
+            fixed,
+            lambda new: F.struct(
+                F.coalesce(new, text).alias("text"),
+                (acc["unresolved"] + F.when(new.isNull(), F.lit(1)).otherwise(F.lit(0)))
+                .alias("unresolved"),
+            ),
         )
 
     start = F.struct(target.alias("text"), F.lit(0).alias("unresolved"))

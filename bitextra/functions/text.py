@@ -191,6 +191,15 @@ def is_translatable(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?U)[^\d\s]"), F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Inside a lambda a column expression is evaluated again for every element;
+    a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def interleave(gaps: Column, tokens: Column) -> Column:
     """Rebuild a text from the gaps around tokens and the tokens themselves."""
     return F.array_join(

@@ -36,7 +36,8 @@ def numeric_drift(pairs: DataFrame, source: str = "source", target: str = "targe
         .withColumn("_s", numeric_tokens(F.col(source)))
         .withColumn("_t", numeric_tokens(F.coalesce(F.col(target), F.lit(""))))
         .withColumn("_d", drift_of(F.col("_s"), F.col("_t")))
-        .select(*keep, F.explode("_d").alias("_d"))
+        .select(*keep, F.explode_outer("_d").alias("_d"))
+        .filter(F.col("_d").isNotNull())
         .select(
             *keep,
             F.col("_d.kind").alias("kind"),
@@ -71,7 +72,7 @@ def document_values(src: DataFrame, tgt: DataFrame) -> DataFrame:
     def exploded(side: DataFrame, name: str) -> DataFrame:
         return (
             side.filter(F.col("text").rlike(r"(?U)\d"))
-            .select("doc_id", "idx", F.posexplode(numeric_tokens(F.col("text"))).alias("p", "tok"))
+            .select("doc_id", "idx", F.posexplode_outer(numeric_tokens(F.col("text"))).alias("p", "tok"))
             .filter(F.col("tok.kind").isin(*VERIFIED_KINDS))
             .select(
                 "doc_id",

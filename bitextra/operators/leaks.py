@@ -34,12 +34,14 @@ def scan_glue(
     """Glued words per fragment, at most five each, in text order.
 
     Row-local: the fragment is split, judged and cut inside one row, so a hot
-    document costs no shuffle.
+    document costs no shuffle. The outer generator keeps the optimizer from
+    pushing a copy of the whole expression down as a size filter.
     """
     keep = [c for c in fragments.columns if c != text]
     return (
         fragments.withColumn("_found", glue_findings(F.col(text), vocab, max_per_fragment))
-        .select(*keep, F.col(text).alias("fragment"), F.posexplode("_found").alias("pos", "_f"))
+        .select(*keep, F.col(text).alias("fragment"), F.posexplode_outer("_found").alias("pos", "_f"))
+        .filter(F.col("_f").isNotNull())
         .select(
             *keep,
             "fragment",

@@ -110,7 +110,8 @@ def numeric_tokens(spark, d):
     kinds = F.explode(F.array(*[N.of_kind(F.col("toks"), k) for k in ("ref", "sub", "num", "date")]))
     return (
         toks.select("doc_id", "unit_idx", kinds.alias("of_kind"))
-        .select("doc_id", "unit_idx", F.posexplode("of_kind").alias("p", "x"))
+        .select("doc_id", "unit_idx", F.posexplode_outer("of_kind").alias("p", "x"))
+        .filter("x IS NOT NULL")
         .select(
             "doc_id", "unit_idx", "x.kind", "x.raw", "x.value",
             (F.col("p") + 1).cast("long").alias("seq"),
