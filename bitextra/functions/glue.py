@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitextra.functions.vocabulary import COMPOUNDS, FUNCTION_WORDS, SUBJECT_WORDS, piece_pattern
+from bitextra.functions.vocabulary import COMPOUNDS, FUNCTION_WORDS, SUBJECT_WORDS, piece_pattern, word_pattern
 
 TOKEN_PATTERN = r"[A-Za-z][A-Za-z'-]*"
 # Limits of the scan.
@@ -31,19 +31,19 @@ class Vocabulary:
 
 def glue_reason(token: Column, vocab: Vocabulary = Vocabulary()) -> Column:
     """``camel_boundary`` / ``lowercase_concat`` / null for one token."""
-    words = sorted(vocab.words)
+    known = word_pattern(vocab.words)
     runs = F.regexp_extract_all(token, F.lit("([a-z]{2,})[A-Z]"), F.lit(1))
-    pieces = F.regexp_extract_all(token, F.lit(piece_pattern(words)), F.lit(0))
+    pieces = F.regexp_extract_all(token, F.lit(piece_pattern(vocab.words)), F.lit(0))
     complete = (F.array_join(pieces, "") == token) & F.size(pieces).between(2, MAX_PIECES)
     telling = (F.length(token) >= LONG_TOKEN) | F.exists(
-        pieces, lambda p: p.isin(*sorted(vocab.function_words))
+        pieces, lambda p: p.rlike(word_pattern(vocab.function_words))
     )
     return (
-        F.when(token.isin(*sorted(vocab.compounds)), F.lit(None).cast("string"))
-        .when(F.lower(token).isin(*words), F.lit(None).cast("string"))
+        F.when(token.rlike(word_pattern(vocab.compounds)), F.lit(None).cast("string"))
+        .when(F.lower(token).rlike(known), F.lit(None).cast("string"))
         .when(
             token.rlike("[a-z]{2}[A-Z]"),
-            F.when(F.exists(runs, lambda r: r.isin(*words)), F.lit("camel_boundary")),
+            F.when(F.exists(runs, lambda r: r.rlike(known)), F.lit("camel_boundary")),
         )
         .when(token.rlike("[A-Z]") | (F.length(token) < MIN_LENGTH), F.lit(None).cast("string"))
         .when(complete & telling, F.lit("lowercase_concat"))

@@ -98,3 +98,8 @@ def piece_pattern(words) -> str:
     longest word however large the vocabulary is.
     """
     return _branch(sorted({w for w in words if len(w) >= 2}))
+
+
+def word_pattern(words) -> str:
+    """Pattern that matches exactly the listed words; one step per letter."""
+    return f"^(?:{_branch(sorted(set(words)))})$"
