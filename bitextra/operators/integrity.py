@@ -103,7 +103,7 @@ def document_drift(values: DataFrame) -> DataFrame:
 
     Only surplus copies are expanded and ranked; ranks are chunked by
     paragraph, then lost and extra meet in an equi join on the rank. The
-    drifted values - a small part of the tokens - are checkpointed because the
+    drifted values - a small part of the tokens - are written out once because the
     ranking reads them four times.
     """
     values = cut_lineage(values.filter(F.col("n_source") != F.col("n_target")))

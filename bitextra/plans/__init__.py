@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # Modules whose import registers queries.
-MODULES = ("text_queries", "numeric_queries", "glossary_queries", "access_queries", "joblog_queries", "unit_queries", "source_queries")
+MODULES = ("text_queries", "numeric_queries", "glossary_queries", "access_queries", "joblog_queries", "unit_queries", "source_queries", "streaming_queries", "inference_queries")
 
 
 def load_registry():

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitextra.functions.text import norm_ws
 from bitextra.operators import structure as S
 from bitextra.operators.integrity import nonempty_paragraphs, numeric_drift
 from bitextra.operators.leaks import scan_glue, scan_leaks
@@ -12,7 +11,7 @@ from bitextra.plans import fixtures as fx
 from bitextra.plans.fixtures import check_sql
 from bitextra.plans.numeric_queries import TOKENS, UNIT_TEXTS, _clean, _drift
 from bitextra.plans.registry import query
-from bitextra.plans.text_queries import GLUE_CTE, q_cyr, q_reason, q_trim
+from bitextra.plans.text_queries import GLUE_CTE, q_cyr, q_norm, q_reason, q_trim
 from bitextra.session import scratch_path
 from bitextra.sources import office, tables
 from bitextra.sources.pagetext import page_lines, read_page_text
@@ -71,19 +70,25 @@ def page_text_leaks(spark, d):
     return scan_leaks(page_lines(read_page_text(spark, write_pages(spark, d)))).drop("pos")
 
 
+def _shown(x: str) -> str:
+    """Entities resolved once more, pseudo tags gone, white space collapsed."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                         ("&apos;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    x = f"regexp_replace({x}, '</?run\\d+\\s*/?>', '', 'g')"
+    return q_norm(f"regexp_replace({x}, '</?tags?\\d*\\s*/?>', '', 'g')")
+
+
 @query(
     "xliff_units",
     check_sql(
-        f"""SELECT doc_id || '_' || unit_idx AS unit_id, {_clean('source')} AS source,
-          {_clean('target')} AS target, true AS translate FROM units_fx WHERE target <> ''
-          AND NOT regexp_matches(source || target, '[<>&]')""",
+        f"""SELECT doc_id || '_' || unit_idx AS unit_id, {_shown('source')} AS source,
+          {_shown('target')} AS target, true AS translate FROM units_fx WHERE target <> ''""",
         "units",
     ),
 )
 def xliff_units(spark, d):
-    u = fx.units(spark, d).filter("target <> ''").filter(
-        ~F.concat("source", "target").rlike("[<>&]")
-    )
+    u = fx.units(spark, d).filter("target <> ''")
     path = scratch_path(spark, "xliff")
     write_xliff(
         u.select(F.concat_ws("_", "doc_id", "unit_idx").alias("unit_id"), "source", "target"), path
@@ -94,8 +99,7 @@ def xliff_units(spark, d):
 @query(
     "inline_markup",
     check_sql(
-        """SELECT doc_id, unit_idx, trim(regexp_replace(line || ' b&c ' || line, '\\s+', ' ', 'g')) AS text
-        FROM lines_fx WHERE NOT regexp_matches(line, '[<>&]')""",
+        f"""SELECT doc_id, unit_idx, {_shown("(line || ' b&c ' || line)")} AS text FROM lines_fx""",
         "lines",
     ),
 )
@@ -103,11 +107,13 @@ def inline_markup(spark, d):
     from bitextra.functions.markup import visible_text
 
     line = F.col("line")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        line = F.replace(line, F.lit(char), F.lit(entity))
     xml = F.concat(
         F.lit('<ph id="1">&lt;hyperlink1&gt;</ph><g id="2">'), line,
         F.lit('</g>&lt;run1&gt; b&amp;amp;c<x id="3"/>&lt;/run1&gt; <bpt id="4">z</bpt>'), line,
     )
-    return fx.lines(spark, d).filter(~line.rlike("[<>&]")).select(
+    return fx.lines(spark, d).select(
         "doc_id", "unit_idx", visible_text(xml).alias("text")
     )
 

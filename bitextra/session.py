@@ -51,6 +51,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (survives lost executors)."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder once and read it back.
+
+    The rows survive lost executors, later plans start from the files, and -
+    unlike ``checkpoint()`` on an unpersisted frame - nothing is computed twice.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitextra.functions.markup import visible_text
+from bitextra.functions.text import unescape_entities
 
-UNIT_SCHEMA = "_id STRING, _translate STRING, source STRING, target STRING"
+
+def _attribute(tag: Column, name: str) -> Column:
+    quoted = F.regexp_extract(tag, rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+    single = F.regexp_extract(tag, rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
+    return unescape_entities(F.concat(quoted, single))
+
+
+def _element(unit: Column, name: str) -> Column:
+    """Raw content of the first such element; empty for <name/>, null when absent."""
+    content = F.regexp_extract(
+        unit, rf"(?s)<(?:\w+:)?{name}\b[^>]*?(?:/>|>(.*?)</(?:\w+:)?{name}\s*>)", 1
+    )
+    return F.when(unit.rlike(rf"<(?:\w+:)?{name}\b"), content)
 
 
 def read_xliff(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Units of the files below ``path`` (S3): file, unit_id, source, target, translate.
 
-    Files are split at unit boundaries by the XML source, so one large file is
-    read by many tasks. Units without id or source are skipped. ``target`` is
-    null when the element is missing and empty when it is blank.
+    Files are cut at unit ends by the text source, so one large file is read
+    by many tasks, and the raw markup stays: an escaped ``&lt;b&gt;`` is text
+    while ``<g>`` is a tag. Units without id or source are skipped. ``target``
+    is null when the element is missing and empty when it is blank.
     """
-    reader = spark.read.format("xml").option("rowTag", "trans-unit").schema(UNIT_SCHEMA)
-    reader = reader.option("ignoreNamespace", "true").option("nullValue", "\u0000")
+    reader = spark.read.option("lineSep", "</trans-unit>")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return (
-        reader.load(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_id").alias("unit_id"),
-            F.col("source").alias("source_xml"),
-            visible_text(F.col("source")).alias("source"),
-            visible_text(F.col("target")).alias("target"),
-            (F.lower(F.coalesce("_translate", F.lit("yes"))) != "no").alias("translate"),
-        )
-        .filter((F.coalesce("unit_id", F.lit("")) != "") & F.col("source_xml").isNotNull())
+    opened = r"(?s)^.*<trans-unit\b([^>]*)>(.*)$"
+    raw = reader.text(path).filter(F.col("value").contains("<trans-unit")).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.regexp_extract("value", opened, 1).alias("tag"),
+        F.regexp_replace(
+            F.regexp_extract("value", opened, 2), r"(?s)<alt-trans\b.*?</alt-trans>", ""
+        ).alias("unit"),
+    )
+    source = _element(F.col("unit"), "source")
+    return raw.filter((_attribute(F.col("tag"), "id") != "") & source.isNotNull()).select(
+        "file",
+        _attribute(F.col("tag"), "id").alias("unit_id"),
+        source.alias("source_xml"),
+        visible_text(source).alias("source"),
+        visible_text(_element(F.col("unit"), "target")).alias("target"),
+        (F.lower(_attribute(F.col("tag"), "translate")) != "no").alias("translate"),
     )
 
 
