@@ -30,11 +30,11 @@ def containing(
     """Pairs where ``needle`` occurs in ``text`` (both compared as given).
 
     A needle inside a text has its leading gram among the text's grams, so an
-    equi join on that gram loses nothing and the containment test decides. A
-    needle list that is small enough - its size is measured - is broadcast and
-    the texts are never shuffled; a larger one meets the grams in a shuffled
-    join that carries ids only, and the texts come back by id. Returns ids,
-    the needle columns and the text.
+    equi join on that gram loses nothing and the containment test decides.
+    Grams carry ids only; the texts come back by id for the test. A needle
+    list that is small enough - its size is measured - is broadcast, a larger
+    one meets the grams in a shuffled join. Returns ids, the needle columns
+    and the text.
     """
     needles = needles.filter(F.length(needle) > 0)
     size_of = F.lit(GRAM_SIZES[-1])
@@ -46,12 +46,11 @@ def containing(
     sizes = sorted(r["_size"] for r in keyed.select("_size").distinct().collect())
     if not sizes:
         return texts.select(*ids, text).join(needles, F.lit(False), "inner")
-    small = fits_broadcast(needles)
+    if fits_broadcast(needles):
+        keyed = F.broadcast(keyed)
     grams = F.concat(*[_grams(F.col(text), s) for s in sizes])
-    carried = [*ids, text] if small else ids
-    exploded = texts.select(*carried, F.explode(grams).alias("_gram"))
-    if small:
-        pairs = exploded.join(F.broadcast(keyed), "_gram")
-    else:
-        pairs = exploded.join(keyed, "_gram").join(texts.select(*ids, text), ids)
-    return pairs.filter(F.col(text).contains(F.col(needle))).drop("_gram", "_size")
+    exploded = texts.select(*ids, F.explode(grams).alias("_gram"))
+    candidates = exploded.join(keyed, "_gram").drop("_gram", "_size")
+    return candidates.join(texts.select(*ids, text), ids).filter(
+        F.col(text).contains(F.col(needle))
+    )

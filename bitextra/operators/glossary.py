@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,30 +37,45 @@ def _per_unit(matches: DataFrame) -> DataFrame:
     )
 
 
+def _replace_first(text, terms, replacements):
+    """struct<text, n>: first occurrence of each term replaced, ignoring case."""
+    @F.pandas_udf("text STRING, n BIGINT")
+    def replace(texts: pd.Series, term_lists: pd.Series, new_lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for value, names, news in zip(texts, term_lists, new_lists):
+            if value is None or names is None:
+                out.append((value, 0))
+                continue
+            low, n = value.lower(), 0
+            for name, new in zip(names, news):
+                at = low.find(name.lower())
+                if at >= 0:
+                    end = at + len(name)
+                    value = value[:at] + new + value[end:]
+                    low = low[:at] + new.lower() + low[end:]
+                    n += 1
+            out.append((value, n))
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    return replace(text, terms, replacements)
+
+
 def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") -> DataFrame:
     """Replace the first occurrence of every matched term.
 
     Terms are matched on the original text and applied in id order to the
     running text. Adds ``applied`` (number of replacements) and ``modified``.
+    Each edit depends on the one before, so the edits of a text run in an
+    Arrow batch function.
     """
     usable = terms.filter((F.length("term") > 0) & (F.length("replacement") > 0))
     found = _per_unit(match_terms(units, usable, text))
-
-    def step(acc, t):
-        at = F.position(F.lower(t["term"]), F.lower(acc["text"]))
-        return F.struct(
-            F.when(at > 0, F.overlay(acc["text"], t["replacement"], at, F.length(t["term"])))
-            .otherwise(acc["text"]).alias("text"),
-            (acc["n"] + F.when(at > 0, F.lit(1)).otherwise(F.lit(0))).alias("n"),
-        )
-
-    start = F.struct(F.col(text).alias("text"), F.lit(0).alias("n"))
-    folded = F.aggregate("_terms", start, step)
+    edits = _replace_first(F.col(text), F.col("_terms.term"), F.col("_terms.replacement"))
     return (
         units.join(found, UNIT, "left")
-        .withColumn("_done", F.when(F.col("_terms").isNull(), start).otherwise(folded))
+        .withColumn("_done", edits)
         .withColumn("modified", F.col("_done.text"))
-        .withColumn("applied", F.col("_done.n").cast("long"))
+        .withColumn("applied", F.col("_done.n"))
         .drop("_done", "_terms")
     )
 
