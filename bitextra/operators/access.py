@@ -194,10 +194,11 @@ def can_access(users: DataFrame, levels: DataFrame, requests: DataFrame) -> Data
     """Whether each request (user_id, collection, action) is allowed."""
     required = F.create_map(*[F.lit(x) for kv in REQUIRED.items() for x in kv])
     admins = users.select("user_id", is_admin().alias("_admin"))
+    row = requests.columns
+    wanted = levels.select("user_id", "collection", "level")
+    leveled = salted_lookup(requests, wanted, ["user_id", "collection"], row)
     return (
-        requests.join(levels.select("user_id", "collection", "level"), ["user_id", "collection"],
-                      "left")
-        .join(admins, "user_id", "left")
+        salted_lookup(leveled, admins, ["user_id"], row)
         .withColumn(
             "allowed",
             F.coalesce("_admin", F.lit(False))
@@ -212,7 +213,10 @@ def accessible_collections(users: DataFrame, collections: DataFrame, grants: Dat
     """Readable collections per user (J19); ``*`` stands for all of them (admin)."""
     readable = effective_levels(users, grants).filter(F.col("level") >= VIEW)
     return (
-        readable.join(collections.select("collection"), "collection", "left_semi")
+        salted_lookup(
+            readable, collections.select("collection").distinct(), ["collection"], ["user_id"],
+            "left_semi",
+        )
         .select("user_id", "collection")
         .unionByName(users.filter(is_admin()).select("user_id", F.lit("*").alias("collection")))
     )

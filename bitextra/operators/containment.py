@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitextra.operators.ranking import salted_lookup
+
 # Gram sizes tried as join keys; a term uses the largest one it can fill.
 GRAM_SIZES = (6, 3, 2, 1)
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -33,7 +35,7 @@ def containing(
     equi join on that gram loses nothing and the containment test decides.
     Grams carry ids only; the texts come back by id for the test. A needle
     list that is small enough - its size is measured - is broadcast, a larger
-    one meets the grams in a shuffled join. Returns ids, the needle columns
+    one meets the grams in a salted shuffled join. Returns ids, the needle columns
     and the text.
     """
     needles = needles.filter(F.length(needle) > 0)
@@ -46,11 +48,13 @@ def containing(
     sizes = sorted(r["_size"] for r in keyed.select("_size").distinct().collect())
     if not sizes:
         return texts.select(*ids, text).join(needles, F.lit(False), "inner")
-    if fits_broadcast(needles):
-        keyed = F.broadcast(keyed)
     grams = F.concat(*[_grams(F.col(text), s) for s in sizes])
     exploded = texts.select(*ids, F.explode(grams).alias("_gram"))
-    candidates = exploded.join(keyed, "_gram").drop("_gram", "_size")
+    if fits_broadcast(needles):
+        pairs = exploded.join(F.broadcast(keyed), "_gram")
+    else:
+        pairs = salted_lookup(exploded, keyed, ["_gram"], ids, "inner")
+    candidates = pairs.drop("_gram", "_size")
     return candidates.join(texts.select(*ids, text), ids).filter(
         F.col(text).contains(F.col(needle))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bitextra.functions.text import COLUMN_LANGUAGE, language_mismatch, norm_ws, strip
 from bitextra.operators.containment import containing, fits_broadcast
+from bitextra.operators.ranking import salted_lookup
 from bitextra.session import cut_lineage
 
 UNIT = ["doc_id", "unit_idx"]
@@ -93,12 +94,13 @@ def _word_candidates(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform("_tw", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     keyed = terms.withColumn("_tw", _words("term")).filter(F.size("_tw") > 0)
     keyed = keyed.withColumn("_word", longest["w"])
+    exploded = vocab.select(*UNIT, "_words", F.explode("_words").alias("_word"))
     if fits_broadcast(terms):
-        keyed = F.broadcast(keyed)
+        pairs = exploded.join(F.broadcast(keyed), "_word")
+    else:
+        pairs = salted_lookup(exploded, keyed, ["_word"], UNIT, "inner")
     return (
-        vocab.select(*UNIT, "_words", F.explode("_words").alias("_word"))
-        .join(keyed, "_word")
-        .filter(F.size(F.array_except("_tw", "_words")) == 0)
+        pairs.filter(F.size(F.array_except("_tw", "_words")) == 0)
         .select(*UNIT, "id", "term", "replacement")
     )
 
@@ -205,25 +207,26 @@ def accepted_rows(rows: DataFrame) -> DataFrame:
     decisions. All rows are decided in parallel rounds: a row that is the first
     undecided holder of all its values is accepted, rows that share a value
     with an earlier accepted row are rejected, and the rest goes on. Every
-    round is a few aggregations and joins; no value group is ever collected,
-    and a value held by a third of the rows is settled in one round. Returns
+    round is a few aggregations and one salted join; no value group is ever
+    collected, and a value held by a third of the rows is settled at once. Returns
     row_num of the accepted rows.
     """
     undecided = cut_lineage(rows.select("row_num", *COLUMNS))
     accepted: list[DataFrame] = []
     while not undecided.isEmpty():
         values = _values(undecided)
-        first = values.groupBy("col", "value").agg(F.min("row_num").alias("first_row"))
-        blocked = (
-            values.join(first.filter(F.col("first_row").isNotNull()), ["col", "value"])
-            .filter(F.col("first_row") < F.col("row_num"))
-            .select("row_num").distinct()
+        first = values.groupBy("col", "value").agg(F.min("row_num").alias("row_num"))
+        leading = (
+            first.groupBy("row_num").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") == len(COLUMNS)).select("row_num")
         )
-        taken = cut_lineage(undecided.join(blocked, "row_num", "left_anti"))
+        taken = cut_lineage(undecided.join(leading, "row_num", "left_semi"))
         accepted.append(taken.select("row_num"))
         taken_values = _values(taken).select("col", "value")
-        hit = values.join(taken_values, ["col", "value"], "left_semi").select("row_num").distinct()
-        undecided = cut_lineage(undecided.join(hit, "row_num", "left_anti"))
+        hit = salted_lookup(values, taken_values, ["col", "value"], ["row_num"], "left_semi")
+        undecided = cut_lineage(
+            undecided.join(hit.select("row_num").distinct(), "row_num", "left_anti")
+        )
     if not accepted:
         return rows.select("row_num").limit(0)
     return reduce(DataFrame.unionByName, accepted)
@@ -246,7 +249,7 @@ def import_glossary(rows: DataFrame, existing: DataFrame, force_language: bool =
     )
     order = F.create_map(*[x for i, c in enumerate(COLUMNS) for x in (F.lit(c), F.lit(i))])
     repeats = (
-        _values(filled).join(owners, ["col", "value"])
+        salted_lookup(_values(filled), owners, ["col", "value"], ["row_num"], "inner")
         .filter(F.col("owner") < F.col("row_num"))
         .groupBy("row_num")
         .agg(F.min(F.struct(order[F.col("col")].alias("i"), "col", "owner")).alias("_r"))
@@ -255,7 +258,10 @@ def import_glossary(rows: DataFrame, existing: DataFrame, force_language: bool =
         F.length("value") > 0
     )
     taken = (
-        _values(filled).join(known.select("col", "value").distinct(), ["col", "value"], "left_semi")
+        salted_lookup(
+            _values(filled), known.select("col", "value").distinct(), ["col", "value"], ["row_num"],
+            "left_semi",
+        )
         .select("row_num").distinct().withColumn("_taken", F.lit(True))
     )
     mismatch = reduce(

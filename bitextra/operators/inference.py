@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextra.functions.numeric import drift_of, numeric_tokens, protect, registry, repair, restore
 from bitextra.functions.text import leftover_source
 from bitextra.operators.batching import BATCH_SIZE, assign_batches, batch_payload
-from bitextra.operators.responses import DELIVERY_THRESHOLD, parse_responses
+from bitextra.operators.responses import DELIVERY_THRESHOLD, parse_columns, response_columns
 from bitextra.operators.units import missing_units
 from bitextra.session import cut_lineage
 
@@ -55,16 +55,34 @@ def post_process(
     Numeric placeholders are restored, drift is verified and repaired; what
     stays unresolved, or leaves source-language text behind, fails. Row-local.
     """
-    checked = (
-        delivered.withColumn("_restored", restore(F.col(output), registry(F.col(source))))
-        .withColumn("_s", numeric_tokens(F.col(source)))
-        .withColumn("_d", drift_of(F.col("_s"), numeric_tokens(F.col("_restored"))))
-        .withColumn("_r", repair(F.col("_restored"), F.col("_d"), F.col("_s")))
-    )
+    return _apply(delivered, _checks(source, output, source_lang))
+
+
+def _checks(source: str, output: str, source_lang: str | None) -> list[tuple[str, Column]]:
+    """The columns of the verdict in order; built once and used in every round."""
     leftover = leftover_source(F.col("_r.text")) if source_lang == "ru" else F.lit(False)
-    return checked.withColumn(
-        "final", F.when((F.col("_r.unresolved") == 0) & ~leftover, F.col("_r.text"))
-    ).drop("_restored", "_s", "_d", "_r")
+    return [
+        ("_restored", restore(F.col(output), registry(F.col(source)))),
+        ("_s", numeric_tokens(F.col(source))),
+        ("_d", drift_of(F.col("_s"), numeric_tokens(F.col("_restored")))),
+        ("_r", repair(F.col("_restored"), F.col("_d"), F.col("_s"))),
+        ("final", F.when((F.col("_r.unresolved") == 0) & ~leftover, F.col("_r.text"))),
+    ]
+
+
+def _apply(df: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
+    for name, column in columns:
+        df = df.withColumn(name, column)
+    return df.drop("_restored", "_s", "_d", "_r")
+
+
+class _Round:
+    """Expressions shared by all rounds of one translation."""
+
+    def __init__(self, source_lang: str | None):
+        self.guard = protect(F.col("text"))
+        self.parse = response_columns("response")
+        self.checks = _checks("text", "output", source_lang)
 
 
 def _next_round(units: DataFrame, verdicts: DataFrame, open_units: DataFrame, depth: int):
@@ -91,6 +109,7 @@ def translate_units(
     batch_size: int = BATCH_SIZE,
     source_lang: str | None = "ru",
     max_depth: int = MAX_SPLIT_DEPTH,
+    steps: _Round | None = None,
 ) -> DataFrame:
     """Translate units batch by batch.
 
@@ -103,14 +122,13 @@ def translate_units(
     that kept failing have no row. A batch that exceeds the depth loses only
     its own units.
     """
+    steps = steps or _Round(source_lang)
     base = units.select(*UNIT, "unit_id", "text", "context")
     pending = cut_lineage(assign_batches(base, batch_size))
     finished: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        guarded = pending.withColumn("text", protect(F.col("text")))
-        answers = cut_lineage(
-            parse_responses(call_model(batch_payload(guarded), fn))
-        )
+        guarded = pending.withColumn("text", steps.guard)
+        answers = cut_lineage(parse_columns(call_model(batch_payload(guarded), fn), steps.parse))
         ratio = F.size("items") / F.col("n_units")
         verdicts = answers.withColumn(
             "action",
@@ -127,10 +145,10 @@ def translate_units(
             .agg(F.max_by("x.text", "p").alias("output"))
         )
         checked = cut_lineage(
-            post_process(
+            _apply(
                 pending.join(open_batches.select("doc_id", "batch_id"), ["doc_id", "batch_id"])
                 .join(outputs, ["doc_id", "batch_id", "unit_id"], "left"),
-                source_lang=source_lang,
+                steps.checks,
             )
         )
         finished.append(
@@ -162,13 +180,16 @@ def gap_fill(
 ) -> DataFrame:
     """Send missing units again in small batches, then fall back to the source."""
     results = delivered
+    steps = _Round(source_lang)
     for _ in range(rounds):
         missing = cut_lineage(missing_units(units, results))
         if missing.isEmpty():
             break
         results = cut_lineage(
             results.unionByName(
-                translate_units(missing, fn, batch_size, source_lang).select(results.columns)
+                translate_units(missing, fn, batch_size, source_lang, steps=steps).select(
+                    results.columns
+                )
             )
         )
     rest = missing_units(units, results).select(

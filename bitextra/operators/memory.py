@@ -35,10 +35,14 @@ def tm_lookup(units: DataFrame, tm: DataFrame, row_id: list[str], source: str =
 
 def tm_stats(lookups: DataFrame, tm: DataFrame) -> DataFrame:
     """hits, misses and size."""
-    seen = lookups.agg(
-        F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")
+    marks = lookups.select("hit", F.lit(False).alias("stored")).unionByName(
+        tm.select(F.lit(None).cast("boolean").alias("hit"), F.lit(True).alias("stored"))
+    )
+    return marks.agg(
+        F.count_if("hit").alias("hits"),
+        F.count_if(~F.col("hit")).alias("misses"),
+        F.count_if("stored").alias("size"),
     )
-    return seen.crossJoin(tm.agg(F.count(F.lit(1)).alias("size")))  # one row each
 
 
 def encoded_entities(entities: DataFrame) -> DataFrame:

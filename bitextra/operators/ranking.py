@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 65536
+# Bound on the keys treated as hot: the list is broadcast, so it must stay small.
+MAX_HOT_KEYS = 4096
 
 
 def _offsets(df: DataFrame, keys: list[str], amount: Column, out: str) -> DataFrame:
@@ -97,15 +99,19 @@ def salted_lookup(
     hot_rows: int = 1_000_000,
     buckets: int = 64,
 ) -> DataFrame:
-    """Many-to-one join whose hot left keys are spread over ``buckets`` tasks.
+    """Join whose hot left keys are spread over ``buckets`` tasks.
 
-    ``right`` holds one row per key. Keys with more than ``hot_rows`` left rows
-    are found by a map-side combined count; only their right rows are copied,
-    once per bucket. Every other key joins as usual.
+    Keys with more than ``hot_rows`` left rows are found by a map-side combined
+    count; only their right rows are copied, once per bucket. Every other key
+    joins as usual. At most ``MAX_HOT_KEYS`` keys are treated as hot - a key
+    beyond them holds less than that share of the rows - so the hot list has a
+    fixed bound and marking the left side is a broadcast join without shuffle.
     """
-    hot = (
+    hot = F.broadcast(
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows"), *on)
+        .limit(MAX_HOT_KEYS)
         .select(*on, F.lit(True).alias("_hot"))
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
@@ -117,7 +123,5 @@ def salted_lookup(
     salt = F.when(
         F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(buckets)).cast("int")
     ).otherwise(F.lit(0))
-    # The hot list holds at most (left rows / hot_rows) keys; its size is known
-    # at run time, so the adaptive planner broadcasts it only when it is small.
     marked = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     return marked.join(spread_right, [*on, "_salt"], how).drop("_salt")

@@ -42,40 +42,20 @@ def _longest_prefix(c: Column) -> Column:
     return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
-def parse_responses(responses: DataFrame, content: str = "response") -> DataFrame:
-    """Translations found in model responses.
-
-    Attempts in order: as received, repaired, with value-key commas added and
-    repaired, several objects read as a list, the longest valid prefix; an
-    object with id and text counts as a list of one. Items lacking id or text
-    are dropped. Adds ``items`` (array of id, text; null when nothing parsed).
-    """
-    kept = responses.columns
+def response_columns(content: str) -> list[tuple[str, Column]]:
+    """The parsing attempts as named columns, in order; ``items`` is the last."""
     clean = clean_model_output(F.col(content))
-    braces = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
-    staged = (
-        responses.withColumn("_c1", F.when(braces != "", braces).otherwise(clean))
-        .withColumn("_c2", repair_json(F.col("_c1")))
-        .withColumn("_c3", repair_json(add_value_key_commas(F.col("_c2"))))
-        .withColumn("_whole", F.coalesce(*[_single(F.col(c)) for c in ("_c1", "_c2", "_c3")]))
-        .withColumn("_list", F.when(F.col("_whole").isNull(), _elements(F.col("_c3"))))
-        .withColumn(
-            "_whole",
-            F.when(F.col("_whole").isNotNull(), F.col("_whole"))
-            .when(F.size("_list") > 1, F.lit(None))
-            .otherwise(_longest_prefix(F.col("_c3"))),
-        )
-    )
-    listed = F.try_variant_get(F.col("_whole"), "$.translations", "array<variant>")
+    braces = F.regexp_extract(F.col("_c0"), r"(?s)(\{.*\})", 1)
+    whole, listed = F.col("_whole"), F.col("_list")
     lone = (
-        F.try_variant_get(F.col("_whole"), "$.id", "string").isNotNull()
-        & F.try_variant_get(F.col("_whole"), "$.text", "string").isNotNull()
+        F.try_variant_get(whole, "$.id", "string").isNotNull()
+        & F.try_variant_get(whole, "$.text", "string").isNotNull()
     )
     raw = F.coalesce(
-        listed,
-        F.when(lone, F.array("_whole")),
-        F.when(F.size("_list") > 1, F.col("_list")),
-        F.when(F.col("_whole").isNotNull(), F.array().cast("array<variant>")),
+        F.try_variant_get(whole, "$.translations", "array<variant>"),
+        F.when(lone, F.array(whole)),
+        F.when(F.size(listed) > 1, listed),
+        F.when(whole.isNotNull(), F.array().cast("array<variant>")),
     )
     items = F.filter(
         F.transform(
@@ -87,7 +67,39 @@ def parse_responses(responses: DataFrame, content: str = "response") -> DataFram
         ),
         lambda x: (F.coalesce(x["id"], F.lit("")) != "") & (F.coalesce(x["text"], F.lit("")) != ""),
     )
-    return staged.withColumn("items", items).select(*kept, "items")
+    return [
+        ("_c0", clean),
+        ("_c1", F.when(braces != "", braces).otherwise(F.col("_c0"))),
+        ("_c2", repair_json(F.col("_c1"))),
+        ("_c3", repair_json(add_value_key_commas(F.col("_c2")))),
+        ("_whole", F.coalesce(*[_single(F.col(c)) for c in ("_c1", "_c2", "_c3")])),
+        ("_list", F.when(whole.isNull(), _elements(F.col("_c3")))),
+        (
+            "_whole",
+            F.when(whole.isNotNull(), whole)
+            .when(F.size(listed) > 1, F.lit(None))
+            .otherwise(_longest_prefix(F.col("_c3"))),
+        ),
+        ("items", items),
+    ]
+
+
+def parse_columns(responses: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
+    out = responses
+    for name, column in columns:
+        out = out.withColumn(name, column)
+    return out.select(*responses.columns, "items")
+
+
+def parse_responses(responses: DataFrame, content: str = "response") -> DataFrame:
+    """Translations found in model responses.
+
+    Attempts in order: as received, repaired, with value-key commas added and
+    repaired, several objects read as a list, the longest valid prefix; an
+    object with id and text counts as a list of one. Items lacking id or text
+    are dropped. Adds ``items`` (array of id, text; null when nothing parsed).
+    """
+    return parse_columns(responses, response_columns(content))
 
 
 def delivery_ratio(batches: DataFrame) -> DataFrame:

@@ -156,7 +156,9 @@ SHARED = {
           FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
           UNION ALL
           SELECT 'role', c_mktsegment, n_name, cast((n_nationkey + length(c_mktsegment)) % 4 AS int)
-          FROM (SELECT c_mktsegment FROM {customer} GROUP BY c_mktsegment) CROSS JOIN {nation}
+          FROM (SELECT c_mktsegment, n_name, n_nationkey FROM {customer}
+                  JOIN {nation} ON c_nationkey = n_nationkey
+                GROUP BY c_mktsegment, n_name, n_nationkey)
           WHERE (n_nationkey + length(c_mktsegment)) % 3 = 0
           UNION ALL
           SELECT 'user', cast(c_custkey AS string), n_name, cast(c_custkey % 4 AS int)
