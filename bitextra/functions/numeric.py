@@ -92,7 +92,7 @@ def numeric_tokens(c: Column) -> Column:
 
     rest = F.filter(F.transform(scan_groups(c), other), lambda x: x["kind"].isNotNull())
     empty = F.array().cast(TOKEN_TYPE)
-    return F.when(c.rlike(r"(?U)\d"), F.concat(refs, rest).cast(TOKEN_TYPE)).otherwise(empty)
+    return F.when(c.rlike(r"\p{Nd}"), F.concat(refs, rest).cast(TOKEN_TYPE)).otherwise(empty)
 
 
 def of_kind(tokens: Column, kind: str) -> Column:
@@ -165,7 +165,7 @@ def protect(c: Column) -> Column:
         tokens,
         lambda _, i: F.concat(F.lit(PLACEHOLDER_OPEN), i.cast("string"), F.lit(PLACEHOLDER_CLOSE)),
     )
-    return F.when(c.rlike(r"(?U)\d"), interleave(F.split(c, SPAN_PATTERN, -1), marks)).otherwise(c)
+    return F.when(c.rlike(r"\p{Nd}"), interleave(F.split(c, SPAN_PATTERN, -1), marks)).otherwise(c)
 
 
 def registry(c: Column) -> Column:

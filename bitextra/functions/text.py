@@ -8,11 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters Unicode counts as white space.
-WHITESPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 "
-    "           "
-    "    　"
-)
+_SPACE_CODES = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+WHITESPACE = "".join(chr(code) for code in _SPACE_CODES)
 
 # Prefixes of normative designations kept in the source language.
 DESIGNATION_PREFIXES = (
@@ -56,7 +54,7 @@ def strip(c: Column) -> Column:
 
 def norm_ws(c: Column) -> Column:
     """Collapse white-space runs to one space and trim."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, f"[{WHITESPACE}]+", " "))
 
 
 def tm_key(c: Column) -> Column:
@@ -65,7 +63,7 @@ def tm_key(c: Column) -> Column:
 
 
 def _count_chars(c: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{char_class}]+", ""))
+    return F.regexp_count(c, F.lit(f"[{char_class}]"))
 
 
 def cyrillic_count(c: Column) -> Column:
@@ -144,22 +142,31 @@ def strip_cyrillic(c: Column) -> Column:
 
 def detect_language(c: Column) -> Column:
     """Script-based language id: zh, ru, en or null (P10)."""
-    t = strip(c)
-    n = F.length(t)
-    cjk = _count_chars(t, r"一-鿿㐀-䶿豈-﫿")
-    cyr = _count_chars(t, "а-яёА-ЯЁ")
-    lat = _count_chars(t, "a-zA-Z")
-    letters = cjk + cyr + lat
+
+    def decide(t: Column) -> Column:
+        counts = F.struct(
+            F.length(t).alias("n"),
+            _count_chars(t, r"\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff").alias("cjk"),
+            _count_chars(t, r"а-яёА-ЯЁ").alias("cyr"),
+            _count_chars(t, "a-zA-Z").alias("lat"),
+        )
+        return let(counts, _by_script)
+
+    return let(strip(c), decide)
+
+
+def _by_script(s: Column) -> Column:
+    letters = s["cjk"] + s["cyr"] + s["lat"]
     short = (
         F.when(letters == 0, F.lit(None).cast("string"))
-        .when(cjk == letters, F.lit("zh"))
-        .when(cyr == letters, F.lit("ru"))
+        .when(s["cjk"] == letters, F.lit("zh"))
+        .when(s["cyr"] == letters, F.lit("ru"))
     )
     return (
-        F.when(n < 5, short)
-        .when((cjk > 0) & (cjk >= n * F.lit(0.3)), F.lit("zh"))
-        .when((cyr > 0) & (cyr >= lat), F.lit("ru"))
-        .when(lat > 0, F.lit("en"))
+        F.when(s["n"] < 5, short)
+        .when((s["cjk"] > 0) & (s["cjk"] >= s["n"] * F.lit(0.3)), F.lit("zh"))
+        .when((s["cyr"] > 0) & (s["cyr"] >= s["lat"]), F.lit("ru"))
+        .when(s["lat"] > 0, F.lit("en"))
     )
 
 
@@ -219,5 +226,6 @@ def unescape_entities(c: Column) -> Column:
 
 
 def unescape_markup(c: Column) -> Column:
-    """Drop tags, then resolve entities."""
-    return unescape_entities(F.regexp_replace(c, "<[^>]+>", ""))
+    """Drop tags, then resolve entities (S5); plain text passes untouched."""
+    bare = F.when(c.contains("<"), F.regexp_replace(c, "<[^>]+>", "")).otherwise(c)
+    return let(bare, lambda t: F.when(t.contains("&"), unescape_entities(t)).otherwise(t))

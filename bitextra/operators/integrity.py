@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextra.functions.numeric import drift_of, numeric_tokens, repair
+from bitextra.functions.numeric import TOKEN_TYPE, drift_of, numeric_tokens, repair
 from bitextra.functions.text import is_mixed_unit, norm_ws, unescape_markup
 from bitextra.session import cut_lineage
 from bitextra.operators.ranking import ROWS_PER_CHUNK, chunked_rank, first_n
@@ -15,6 +15,7 @@ MIN_TOLERANCE = 3
 TOLERANCE_SHARE = 0.05
 REF_LENGTH = (2, 6)
 VERIFIED_KINDS = ("ref", "sub", "num")
+PARAGRAPH = "para"
 
 
 def nonempty_paragraphs(paragraphs: DataFrame, text: str = "text") -> DataFrame:
@@ -32,7 +33,7 @@ def numeric_drift(pairs: DataFrame, source: str = "source", target: str = "targe
     """
     keep = [c for c in pairs.columns if c not in (source, target)]
     return (
-        pairs.filter(F.col(source).rlike(r"(?U)\d"))
+        pairs.filter(F.col(source).rlike(r"\p{Nd}"))
         .withColumn("_s", numeric_tokens(F.col(source)))
         .withColumn("_t", numeric_tokens(F.coalesce(F.col(target), F.lit(""))))
         .withColumn("_d", drift_of(F.col("_s"), F.col("_t")))
@@ -63,17 +64,28 @@ def repair_numerics(units: DataFrame, source: str = "source", target: str = "tar
     )
 
 
-def document_values(src: DataFrame, tgt: DataFrame) -> DataFrame:
+def document_values(src: DataFrame, tgt: DataFrame, paragraphs: bool = False) -> DataFrame:
     """Per (doc_id, kind, value): counts and first positions on both sides.
 
-    Inputs hold doc_id, idx and text. One shuffle, combined map-side.
+    Inputs hold doc_id, idx and text. One shuffle, combined map-side. With
+    ``paragraphs`` every paragraph also counts as a value of kind ``para``,
+    ``mixed`` or ``plain``, so that one pass over the text serves all checks.
     """
 
     def exploded(side: DataFrame, name: str) -> DataFrame:
+        tokens = numeric_tokens(F.col("text"))
+        if paragraphs:
+            mixed = is_mixed_unit(F.col("text")) & F.lit(name == "t")
+            marker = F.struct(
+                F.lit(PARAGRAPH).alias("kind"), F.lit("").alias("raw"),
+                F.when(mixed, "mixed").otherwise("plain").alias("value"),
+            )
+            tokens = F.concat(F.array(marker).cast(TOKEN_TYPE), tokens)
+        else:
+            side = side.filter(F.col("text").rlike(r"\p{Nd}"))
         return (
-            side.filter(F.col("text").rlike(r"(?U)\d"))
-            .select("doc_id", "idx", F.posexplode_outer(numeric_tokens(F.col("text"))).alias("p", "tok"))
-            .filter(F.col("tok.kind").isin(*VERIFIED_KINDS))
+            side.select("doc_id", "idx", F.posexplode_outer(tokens).alias("p", "tok"))
+            .filter(F.col("tok.kind").isin(*VERIFIED_KINDS, PARAGRAPH))
             .select(
                 "doc_id",
                 F.col("tok.kind").alias("kind"),
@@ -98,15 +110,17 @@ def document_values(src: DataFrame, tgt: DataFrame) -> DataFrame:
     )
 
 
-def document_drift(values: DataFrame) -> DataFrame:
+def document_drift(values: DataFrame, written: bool = False) -> DataFrame:
     """Document-level lost values paired with extra ones (J9 over documents).
 
     Only surplus copies are expanded and ranked; ranks are chunked by
     paragraph, then lost and extra meet in an equi join on the rank. The
     drifted values - a small part of the tokens - are written out once because the
-    ranking reads them four times.
+    ranking reads them four times (``written``: the caller already did).
     """
-    values = cut_lineage(values.filter(F.col("n_source") != F.col("n_target")))
+    values = values.filter(F.col("n_source") != F.col("n_target"))
+    if not written:
+        values = cut_lineage(values)
 
     def surplus(more: str, fewer: str, at: str, out: str) -> DataFrame:
         gap = F.col(more) - F.col(fewer)
@@ -144,22 +158,26 @@ def integrity_report(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """One row per source document: loss, drift, mixed units and the verdict (A3).
 
     ``src`` and ``tgt`` hold doc_id, idx and text. Numbers are compared on the
-    multiset of the whole document; tokens are taken per paragraph. Critical
+    multiset of the whole document; tokens are taken per paragraph. The text is
+    read once; everything else works on the written value counts. Critical
     means lost paragraphs beyond max(3, 5 %) or a drifted legal reference.
     """
-    src, tgt = nonempty_paragraphs(src), nonempty_paragraphs(tgt)
-    marked = src.select("doc_id", F.lit(1).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("m"))
-    marked = marked.unionByName(
-        tgt.select(
-            "doc_id", F.lit(0).alias("s"), F.lit(1).alias("t"),
-            is_mixed_unit(F.col("text")).cast("int").alias("m"),
+    values = cut_lineage(
+        document_values(nonempty_paragraphs(src), nonempty_paragraphs(tgt), paragraphs=True)
+    )
+    counts = (
+        values.filter(F.col("kind") == PARAGRAPH)
+        .groupBy("doc_id")
+        .agg(
+            F.sum("n_source").alias("n_source"),
+            F.sum("n_target").alias("n_target"),
+            F.sum(F.when(F.col("value") == "mixed", F.col("n_target")).otherwise(0))
+            .alias("mixed_count"),
         )
+        .filter(F.col("n_source") > 0)
     )
-    counts = marked.groupBy("doc_id").agg(
-        F.sum("s").alias("n_source"), F.sum("t").alias("n_target"), F.sum("m").alias("mixed_count")
-    ).filter(F.col("n_source") > 0)
     drift = (
-        document_drift(document_values(src, tgt))
+        document_drift(values.filter(F.col("kind") != PARAGRAPH), written=True)
         .groupBy("doc_id")
         .agg(
             F.count(F.lit(1)).alias("numeric_mismatch_count"),
