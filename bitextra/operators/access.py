@@ -408,6 +408,12 @@ def role_members(users: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
+def role_member_list(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """Members of every role, one user per row."""
+    named = users.select("user_id", "username", canonical_role().alias("name"))
+    return salted_lookup(named, roles.select("name"), ["name"], ["user_id"], "left_semi")
+
+
 def orphan_subjects(users: DataFrame, grants: DataFrame, tokens: DataFrame) -> DataFrame:
     """Ids with grants or tokens but without a user record."""
     seen = grants.filter("subject_type = 'user' AND subject <> ''").select(

@@ -26,17 +26,15 @@ def _grams(c: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def containing(
+def candidates(
     texts: DataFrame, needles: DataFrame, ids: list[str], text: str, needle: str
 ) -> DataFrame:
-    """Pairs where ``needle`` occurs in ``text`` (both compared as given).
+    """Pairs of text ids and needles whose leading gram occurs in the text.
 
     A needle inside a text has its leading gram among the text's grams, so an
-    equi join on that gram loses nothing and the containment test decides.
-    Grams carry ids only; the texts come back by id for the test. A needle
-    list that is small enough - its size is measured - is broadcast, a larger
-    one meets the grams in a salted shuffled join. Returns ids, the needle columns
-    and the text.
+    equi join on that gram loses nothing. Grams carry ids only. A needle list
+    that is small enough - its size is measured - is broadcast, a larger one
+    meets the grams in a salted shuffled join.
     """
     needles = needles.filter(F.length(needle) > 0)
     size_of = F.lit(GRAM_SIZES[-1])
@@ -45,16 +43,27 @@ def containing(
     keyed = needles.withColumn("_size", size_of).withColumn(
         "_gram", F.col(needle).substr(F.lit(1), F.col("_size"))
     )
+    # At most one row per gram size comes back.
     sizes = sorted(r["_size"] for r in keyed.select("_size").distinct().collect())
     if not sizes:
-        return texts.select(*ids, text).join(needles, F.lit(False), "inner")
+        return texts.select(*ids).join(needles, F.lit(False), "inner")
     grams = F.concat(*[_grams(F.col(text), s) for s in sizes])
     exploded = texts.select(*ids, F.explode(grams).alias("_gram"))
     if fits_broadcast(needles):
         pairs = exploded.join(F.broadcast(keyed), "_gram")
     else:
         pairs = salted_lookup(exploded, keyed, ["_gram"], ids, "inner")
-    candidates = pairs.drop("_gram", "_size")
-    return candidates.join(texts.select(*ids, text), ids).filter(
-        F.col(text).contains(F.col(needle))
-    )
+    return pairs.drop("_gram", "_size")
+
+
+def containing(
+    texts: DataFrame, needles: DataFrame, ids: list[str], text: str, needle: str
+) -> DataFrame:
+    """Pairs where ``needle`` occurs in ``text`` (both compared as given).
+
+    The texts come back to their candidates by id for the exact test. Returns
+    ids, the needle columns and the text.
+    """
+    return candidates(texts, needles, ids, text, needle).join(
+        texts.select(*ids, text), ids
+    ).filter(F.col(text).contains(F.col(needle)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextra.functions.text import COLUMN_LANGUAGE, language_mismatch, norm_ws, strip
-from bitextra.operators.containment import containing, fits_broadcast
+from bitextra.operators.containment import candidates, containing, fits_broadcast
 from bitextra.operators.ranking import salted_lookup
 from bitextra.session import cut_lineage
 
@@ -31,7 +31,8 @@ def match_terms(units: DataFrame, terms: DataFrame, text: str = "source") -> Dat
 def _per_unit(matches: DataFrame) -> DataFrame:
     """The matches of a unit as one array in glossary order.
 
-    Bounded by the unit's own text: a term counts once however often it occurs.
+    Bounded by the unit's own text: a term counts once however often it occurs,
+    and only terms whose leading gram the text holds are candidates.
     """
     return matches.groupBy(*UNIT).agg(
         F.array_sort(F.collect_list(F.struct("id", "term", "replacement"))).alias("_terms")
@@ -39,7 +40,7 @@ def _per_unit(matches: DataFrame) -> DataFrame:
 
 
 def _replace_first(text, terms, replacements):
-    """struct<text, n>: first occurrence of each term replaced, ignoring case."""
+    """struct<text, n>: first occurrence of each contained term replaced, ignoring case."""
     @F.pandas_udf("text STRING, n BIGINT")
     def replace(texts: pd.Series, term_lists: pd.Series, new_lists: pd.Series) -> pd.DataFrame:
         out = []
@@ -47,9 +48,10 @@ def _replace_first(text, terms, replacements):
             if value is None or names is None:
                 out.append((value, 0))
                 continue
-            low, n = value.lower(), 0
+            original = low = value.lower()
+            n = 0
             for name, new in zip(names, news):
-                at = low.find(name.lower())
+                at = low.find(name.lower()) if name.lower() in original else -1
                 if at >= 0:
                     end = at + len(name)
                     value = value[:at] + new + value[end:]
@@ -66,11 +68,13 @@ def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") ->
 
     Terms are matched on the original text and applied in id order to the
     running text. Adds ``applied`` (number of replacements) and ``modified``.
-    Each edit depends on the one before, so the edits of a text run in an
-    Arrow batch function.
+    Each edit depends on the one before, so the exact match and the edits of a
+    text run in an Arrow batch function; the text meets its candidates once.
     """
     usable = terms.filter((F.length("term") > 0) & (F.length("replacement") > 0))
-    found = _per_unit(match_terms(units, usable, text))
+    low = units.select(*UNIT, F.lower(text).alias("_text"))
+    needles = usable.withColumn("_needle", F.lower("term"))
+    found = _per_unit(candidates(low, needles, UNIT, "_text", "_needle"))
     edits = _replace_first(F.col(text), F.col("_terms.term"), F.col("_terms.replacement"))
     return (
         units.join(found, UNIT, "left")

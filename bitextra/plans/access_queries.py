@@ -366,6 +366,18 @@ def role_members(spark, d):
     return A.role_members(users(spark, d), roles(spark, d))
 
 
+@query(
+    "role_member_list",
+    check_sql(
+        """SELECT user_id, username, name FROM roles_fx JOIN users_fx
+          ON name = CASE WHEN role_name <> '' THEN role_name ELSE role_enum END""",
+        "users", "roles",
+    ),
+)
+def role_member_list(spark, d):
+    return A.role_member_list(users(spark, d), roles(spark, d))
+
+
 @query(
     "orphan_subjects",
     check_sql(
