@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 _SPACE_CODES = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 WHITESPACE = "".join(chr(code) for code in _SPACE_CODES)
+# White space the pattern \s leaves out; translated only where a text may hold some.
+_RARE_SPACE = "".join(chr(code) for code in _SPACE_CODES if code > 0x0D and code != 0x20)
+_RARE_LATIN = f"[{chr(0x1C)}-{chr(0x1F)}{chr(0x85)}{chr(0xA0)}]"
+_RARE_WIDE = f"[{chr(0x1680)}-{chr(0x3000)}]"
 
 # Prefixes of normative designations kept in the source language.
 DESIGNATION_PREFIXES = (
@@ -54,7 +58,11 @@ def strip(c: Column) -> Column:
 
 def norm_ws(c: Column) -> Column:
     """Collapse white-space runs to one space and trim."""
-    return strip(F.regexp_replace(c, f"[{WHITESPACE}]+", " "))
+    plain = F.when(
+        c.rlike(_RARE_LATIN) | c.rlike(_RARE_WIDE),
+        F.translate(c, _RARE_SPACE, " " * len(_RARE_SPACE)),
+    ).otherwise(c)
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
 def tm_key(c: Column) -> Column:

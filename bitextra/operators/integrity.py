@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitextra.functions.numeric import TOKEN_TYPE, drift_of, numeric_tokens, repair
-from bitextra.functions.text import is_mixed_unit, norm_ws, unescape_markup
+from bitextra.functions.text import is_mixed_unit, let, norm_ws, unescape_markup
 from bitextra.session import cut_lineage
 from bitextra.operators.ranking import ROWS_PER_CHUNK, chunked_rank, first_n
 
@@ -20,9 +20,11 @@ PARAGRAPH = "para"
 
 def nonempty_paragraphs(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     """Tags stripped, entities resolved, white space collapsed, blanks dropped."""
-    return paragraphs.withColumn(text, norm_ws(unescape_markup(F.col(text)))).filter(
-        F.length(text) > 0
-    )
+    return paragraphs.withColumn(text, _clean(F.col(text))).filter(F.length(text) > 0)
+
+
+def _clean(c: Column) -> Column:
+    return norm_ws(unescape_markup(c))
 
 
 def numeric_drift(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -68,21 +70,30 @@ def document_values(src: DataFrame, tgt: DataFrame, paragraphs: bool = False) ->
     """Per (doc_id, kind, value): counts and first positions on both sides.
 
     Inputs hold doc_id, idx and text. One shuffle, combined map-side. With
-    ``paragraphs`` every paragraph also counts as a value of kind ``para``,
-    ``mixed`` or ``plain``, so that one pass over the text serves all checks.
+    ``paragraphs`` raw texts are cleaned first and every non-empty paragraph
+    also counts as a value of kind ``para``, ``mixed`` or ``plain``, so that
+    one pass over the text serves all checks.
     """
 
     def exploded(side: DataFrame, name: str) -> DataFrame:
-        tokens = numeric_tokens(F.col("text"))
-        if paragraphs:
-            mixed = is_mixed_unit(F.col("text")) & F.lit(name == "t")
+        def features(t: Column) -> Column:
+            mixed = is_mixed_unit(t) if name == "t" else F.lit(False)
             marker = F.struct(
                 F.lit(PARAGRAPH).alias("kind"), F.lit("").alias("raw"),
                 F.when(mixed, "mixed").otherwise("plain").alias("value"),
             )
-            tokens = F.concat(F.array(marker).cast(TOKEN_TYPE), tokens)
+            return F.when(
+                F.length(t) > 0,
+                F.concat(F.array(marker).cast(TOKEN_TYPE), numeric_tokens(t)),
+            )
+
+        if paragraphs:
+            # Cleaned inside the generator: a filter on cleaned text would be
+            # pushed down and clean every paragraph twice.
+            tokens = let(_clean(F.col("text")), features)
         else:
             side = side.filter(F.col("text").rlike(r"\p{Nd}"))
+            tokens = numeric_tokens(F.col("text"))
         return (
             side.select("doc_id", "idx", F.posexplode_outer(tokens).alias("p", "tok"))
             .filter(F.col("tok.kind").isin(*VERIFIED_KINDS, PARAGRAPH))
@@ -162,9 +173,7 @@ def integrity_report(src: DataFrame, tgt: DataFrame) -> DataFrame:
     read once; everything else works on the written value counts. Critical
     means lost paragraphs beyond max(3, 5 %) or a drifted legal reference.
     """
-    values = cut_lineage(
-        document_values(nonempty_paragraphs(src), nonempty_paragraphs(tgt), paragraphs=True)
-    )
+    values = cut_lineage(document_values(src, tgt, paragraphs=True))
     counts = (
         values.filter(F.col("kind") == PARAGRAPH)
         .groupBy("doc_id")
