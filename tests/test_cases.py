@@ -67,7 +67,7 @@ def test_glue_found(spark, token):
 
 @pytest.mark.parametrize(
     "token",
-    ["AutoCAD", "PetroKazakhstan", "GalaxyG", "OpenAI", "everything", "another", "together",
+    ["AutoCAD", "HydroSystem", "GalaxyG", "OpenBSD", "everything", "another", "together",
      "underground", "Documentation"],
 )
 def test_glue_clean(spark, token):
