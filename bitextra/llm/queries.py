@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_shards import assign_shards
+from .packing import pack
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
@@ -37,3 +38,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op9_tiered_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
