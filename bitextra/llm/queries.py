@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_shards import assign_shards
+from .near_dup import near_duplicates
 from .packing import pack
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +44,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tiered_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS t
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN []
+    WHEN len(t) < 4 THEN [list_aggregate(t, 'string_agg', ' ')]
+    ELSE list_transform(range(1, len(t) - 2), lambda i: list_aggregate(t[i:i + 3], 'string_agg', ' ')) END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id AS id, doc_id AS to_id FROM documents
+  UNION
+  SELECT id, b FROM reach JOIN link ON a = to_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT id AS doc_id, min(to_id) AS component_id FROM reach GROUP BY id) r USING (doc_id)
+"""
+
+
+@query("op8_minhash_near_duplicates", NEAR_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
