@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_shards import assign_shards
+from .decontaminate import leaks
 from .near_dup import near_duplicates
 from .packing import pack
 
@@ -76,3 +77,8 @@ JOIN (SELECT id AS doc_id, min(to_id) AS component_id FROM reach GROUP BY id) r
 @query("op8_minhash_near_duplicates", NEAR_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
