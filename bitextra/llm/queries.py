@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_shards import assign_shards
 from .decontaminate import leaks
+from .language_mixture import held_out, learn, predict
 from .near_dup import near_duplicates
 from .packing import pack
 
@@ -82,3 +83,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_language_mixture")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, model = learn(docs)
+    return predict(docs, names, model, keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages"
+    )
