@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .language_mixture import held_out, learn, predict
 from .near_dup import near_duplicates
 from .packing import pack
+from .pii_bootstrap import find_pii, joined
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
@@ -92,3 +93,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, names, model, keep=["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages"
     )
+
+
+@query("op3_contextual_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_email"),
+        count(1).alias("n_ip"),
+        count(2).alias("n_card"),
+        count(3).alias("n_phone"),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
