@@ -14,12 +14,11 @@ shuffled, all of them pre-aggregated.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .spans import let, places, running
 
 # Fixed by the contract, written so that long runs of digits or letters take linear time:
 # possessive runs, and no start in the middle of a run (\G: right after the last match).
@@ -36,47 +35,19 @@ MIN_CONFIDENCE = 0.6
 MIN_INSTANCES = 5
 SMOOTHING = 2.0
 CONTEXT_CHARS = 48
-# Prefix sums run in blocks of this many spans, so that long lists stay linear.
-RUN = 128
-
-
-def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """``op`` over all values before each position, in blocks."""
-    n = F.size(values)
-    last = F.floor((n - 1) / RUN).cast("int")
-    blocks = F.when(n == 0, F.array().cast("array<array<int>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * RUN + 1, RUN))
-    )
-
-    def prefix(items: Column, start: Column) -> Column:
-        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(
-            items,
-            begin,
-            lambda acc, x: F.struct(
-                op(acc["at"], x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")
-            ),
-            lambda acc: acc["all"],
-        )
-
-    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, op))
-    starts = prefix(totals, zero)
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("s")), lambda z: prefix(z["b"], z["s"])))
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct(start, end, m, before, after)> of the leftmost matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
-    ahead = running(lengths, F.lit(0), lambda a, b: a + b)
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            (F.get(ahead, i) + F.length(F.get(pieces, i))).alias("start"),
-            (F.get(ahead, i) + F.length(F.get(pieces, i)) + F.length(m)).alias("end"),
+    """array<struct(start, end, m, before)> of the leftmost matches, in code points."""
+    return places(
+        text,
+        F.lit(pattern),
+        F.length,
+        lambda start, length, m, piece: F.struct(
+            start.alias("start"),
+            (start + length).alias("end"),
             m.alias("m"),
-            F.substring(F.get(pieces, i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
+            F.substring(piece, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
         ),
     )
 
@@ -229,20 +200,16 @@ def joined(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with each stretch of personal data replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ends = F.transform(spans, lambda s: s["end"])
-    done = running(ends, F.lit(0), F.greatest)
-    marks = F.transform(
-        spans,
-        lambda s, i: F.when(s["end"] <= F.get(done, i), "").otherwise(
-            F.concat(
-                F.when(
-                    s["start"] > F.get(done, i),
-                    F.substring(text, F.get(done, i) + 1, s["start"] - F.get(done, i)),
-                ).otherwise(""),
-                F.get(names, s["kind"]),
-            )
-        ),
+    done = running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+
+    def mark(s: Column, at: Column) -> Column:
+        gap = F.when(s["start"] > at, F.substring(text, at + 1, s["start"] - at)).otherwise("")
+        return F.when(s["end"] <= at, "").otherwise(F.concat(gap, F.get(names, s["kind"])))
+
+    rest = let(
+        F.array_max(F.transform(spans, lambda s: s["end"])),
+        lambda last: F.substring(text, last + 1, F.length(text)),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(
+        F.concat(F.array_join(F.zip_with(spans, done, mark), ""), rest)
     )
-    last = F.array_max(ends)
-    rest = F.substring(text, last + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(marks, ""), rest))

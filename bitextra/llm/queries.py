@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_shards import assign_shards
 from .decontaminate import leaks
 from .language_mixture import held_out, learn, predict
+from .license_rules import find_licenses
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii_bootstrap import find_pii, joined
@@ -111,3 +112,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_license_signatures")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda x: x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
