@@ -174,7 +174,7 @@ def pack(
 
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     shape = pattern or public_tokenizers.PATTERN
-    types = [T.LongType()] * 7 + [T.IntegerType(), T.LongType(), T.ArrayType(T.LongType())]
+    types = [T.LongType()] * 7 + [T.IntegerType(), T.LongType(), T.ArrayType(T.IntegerType())]
     fields = [T.StructField(n, t) for n, t in zip(PIECES.names, types, strict=True)]
     if not with_ids:
         fields.pop()
@@ -184,7 +184,7 @@ def pack(
         for batch in _pack(batches, path, shape, tiers, with_ids):
             arrays = list(batch.columns)
             if with_ids:
-                arrays[-1] = arrays[-1].cast(pa.list_(pa.int64()))
+                arrays[-1] = arrays[-1].cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
     body = docs.select(docs[id_column].cast("long").alias(id_column), docs[text].alias(text))

@@ -184,9 +184,12 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     more = fresh.groupBy("_pii_row").agg(
         F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("_pii_more")
     )
-    out = read.drop("_pii_uses", "_pii_words").join(more, "_pii_row", "left")
+    # Rows without an unseen identifier are complete; only the others meet the join.
+    rest = F.exists("_pii_uses", lambda u: ~u["seed"])
+    plain = read.filter(~rest).withColumn("spans", F.col("base"))
     spans = F.array_sort(F.concat("base", F.coalesce(F.col("_pii_more").cast(_SPANS), F.array().cast(_SPANS))))
-    return out.withColumn("spans", spans).drop("_pii_row", "_pii_more")
+    met = read.filter(rest).join(more, "_pii_row", "left").withColumn("spans", spans)
+    return plain.select(*kept, "base", "spans").unionByName(met.select(*kept, "base", "spans"))
 
 
 def joined(spans: Column) -> Column:
