@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_tree import nearest
 from .byte_shards import assign_shards
 from .chat_format import CONTROL, ESCAPE, digests, format_conversations
 from .decontaminate import leaks
@@ -157,3 +158,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     return digests(format_conversations(rows.unionByName(extra)))
+
+
+@query("op1_kmeans_tree_search")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
