@@ -16,6 +16,7 @@ from .license_rules import find_licenses
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii_bootstrap import find_pii, joined
+from .sparse_suffix import repeated_passages
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
@@ -164,3 +165,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query("op7_sparse_suffix_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
