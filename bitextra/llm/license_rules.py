@@ -2,9 +2,9 @@
 
 A text is read as its words (A-Z counted as a-z) with single blanks between.
 Signatures are regular expressions over that form, written by family and by
-wording; each has a keyword, a priority and a weight. A text without any gate
-word is not looked at further; of the others only the signatures whose keyword
-occurs are tried. Detections are word intervals: one that lies inside an
+wording; each has keywords, a priority and a weight. A text without any gate
+word is not looked at further; of the others only the signatures of which a
+keyword occurs are tried. Detections are word intervals: one that lies inside an
 interval of the same or a higher priority is suppressed. Everything happens
 within the row, so nothing is shuffled and no source can be hot.
 """
@@ -21,7 +21,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 BASE_WEIGHT = 0.6
 
-# label, SPDX-style identifier as words, the license's names as a pattern, keyword of the family.
+# label, SPDX-style identifier as words, the license's names as a pattern, keywords of the family
+# (every name holds at least one of them).
 FAMILIES = (
     ("apache-1.1", "apache 1 1", r"apache (?:software )?license (?:version )?v?1 1", "apache"),
     ("apache-2.0", "apache 2 0", r"apache (?:software )?(?:license )?(?:version )?v?2(?: 0)?", "apache"),
@@ -32,41 +33,41 @@ FAMILIES = (
     ("bsd-4", "bsd 4 clause", r"(?:4|four) clause bsd|original bsd", "bsd"),
     ("bsl", "bsl 1 0", r"boost software license", "boost"),
     ("busl", "busl 1 1", r"business source license", "business source"),
-    ("cc0", "cc0 1 0", r"cc0|creative commons zero|cc zero", "cc"),
-    ("cc-by-sa", "cc by sa [1-4] [05]", r"cc by sa|(?:creative commons )?attribution share ?alike", "attribution"),
-    ("cc-by-nc", "cc by nc [1-4] [05]", r"cc by nc|(?:creative commons )?attribution non ?commercial", "attribution"),
-    ("cc-by-nd", "cc by nd [1-4] [05]", r"cc by nd|(?:creative commons )?attribution no ?deriv(?:ative)?s?(?: works)?", "attribution"),
-    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]", r"cc by nc sa|attribution non ?commercial share ?alike", "attribution"),
+    ("cc0", "cc0 1 0", r"cc0|creative commons zero|cc zero", "cc0|cc zero|commons zero"),
+    ("cc-by-sa", "cc by sa [1-4] [05]", r"cc by sa|(?:creative commons )?attribution share ?alike", "cc by sa|attribution"),
+    ("cc-by-nc", "cc by nc [1-4] [05]", r"cc by nc|(?:creative commons )?attribution non ?commercial", "cc by nc|attribution"),
+    ("cc-by-nd", "cc by nd [1-4] [05]", r"cc by nd|(?:creative commons )?attribution no ?deriv(?:ative)?s?(?: works)?", "cc by nd|attribution"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]", r"cc by nc sa|attribution non ?commercial share ?alike", "cc by nc|attribution"),
     ("cc-by", "cc by [1-4] [05]", r"creative commons attribution(?: [1-4] [05])?", "creative commons"),
-    ("cddl", "cddl 1 [01]", r"common development and distribution license|cddl", "cddl"),
+    ("cddl", "cddl 1 [01]", r"common development and distribution license|cddl", "cddl|common development"),
     ("cecill", "cecill [12] [01]", r"cecill(?: [abc])?", "cecill"),
     ("cpl", "cpl 1 0", r"common public license", "common public"),
     ("epl", "epl [12] 0", r"eclipse public license|eclipse distribution license", "eclipse"),
-    ("eupl", "eupl 1 [012]", r"european union public licen[cs]e|eupl", "eupl"),
-    ("fdl", "gfdl 1 [123]", r"(?:gnu )?free documentation license|gfdl", "documentation"),
-    ("agpl", "agpl 3 0(?: only| or later)?", r"(?:gnu )?affero general public license|agpl(?: ?v?3)?", "agpl"),
-    ("lgpl", "lgpl [23] [01](?: only| or later)?", r"(?:gnu )?(?:lesser|library) general public license|lgpl(?: ?v?[23])?", "lgpl"),
-    ("gpl-2", "gpl 2 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2", "gpl"),
-    ("gpl-3", "gpl 3 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3", "gpl"),
+    ("eupl", "eupl 1 [012]", r"european union public licen[cs]e|eupl", "eupl|european union"),
+    ("fdl", "gfdl 1 [123]", r"(?:gnu )?free documentation license|gfdl", "documentation license|gfdl"),
+    ("agpl", "agpl 3 0(?: only| or later)?", r"(?:gnu )?affero general public license|agpl(?: ?v?3)?", "agpl|affero"),
+    ("lgpl", "lgpl [23] [01](?: only| or later)?", r"(?:gnu )?(?:lesser|library) general public license|lgpl(?: ?v?[23])?", "lgpl|lesser general|library general"),
+    ("gpl-2", "gpl 2 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2", "gpl|general public"),
+    ("gpl-3", "gpl 3 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3", "gpl|general public"),
     ("gpl", "gpl", r"gnu gpl|gnu general public license", "gnu"),
-    ("isc", "isc", r"isc license|internet systems consortium license", "isc"),
+    ("isc", "isc", r"isc license|internet systems consortium license", "isc license|internet systems"),
     ("ms-pl", "ms pl", r"microsoft public license", "microsoft"),
-    ("mit", "mit(?: 0)?", r"(?:mit|expat|x11)(?: x11| expat)? licen[cs]e", "mit"),
-    ("mpl", "mpl [12] [01]", r"mozilla public license|mpl", "mozilla"),
-    ("odbl", "odbl 1 0", r"open (?:data commons )?(?:open )?database license|odbl", "database"),
-    ("odc-by", "odc by 1 0", r"open data commons attribution(?: license)?", "commons"),
-    ("ofl", "ofl 1 [01]", r"sil open font license|open font license", "font"),
-    ("ogl", "ogl uk [123] 0", r"open government licen[cs]e", "government"),
+    ("mit", "mit(?: 0)?", r"(?:mit|expat|x11)(?: x11| expat)? licen[cs]e", "mit licen|mit x11|mit expat|expat licen|x11 licen"),
+    ("mpl", "mpl [12] [01]", r"mozilla public license|mpl", "mozilla| mpl "),
+    ("odbl", "odbl 1 0", r"open (?:data commons )?(?:open )?database license|odbl", "database license|odbl"),
+    ("odc-by", "odc by 1 0", r"open data commons attribution(?: license)?", "open data commons"),
+    ("ofl", "ofl 1 [01]", r"sil open font license|open font license", "open font"),
+    ("ogl", "ogl uk [123] 0", r"open government licen[cs]e", "open government"),
     ("openssl", "openssl", r"openssl license", "openssl"),
     ("osl", "osl [123] [01]", r"open software license", "open software"),
-    ("php", "php 3 01?", r"php license", "php"),
+    ("php", "php 3 01?", r"php license", "php license"),
     ("psf", "psf 2 0|python 2 0", r"python (?:software foundation )?license", "python"),
-    ("public-domain", "public domain", r"(?:the )?public domain|pddl|public domain dedication", "public domain"),
+    ("public-domain", "public domain", r"(?:the )?public domain|pddl|public domain dedication", "public domain|pddl"),
     ("qpl", "qpl 1 0", r"q public license", "q public"),
-    ("ruby", "ruby", r"ruby license", "ruby"),
-    ("sspl", "sspl 1 0", r"server side public license|sspl", "server side"),
+    ("ruby", "ruby", r"ruby license", "ruby license"),
+    ("sspl", "sspl 1 0", r"server side public license|sspl", "sspl|server side"),
     ("unlicense", "unlicense", r"unlicen[cs]e", "unlicen"),
-    ("wtfpl", "wtfpl", r"do what the f\w+ you want to public license|wtfpl", "wtfpl"),
+    ("wtfpl", "wtfpl", r"do what the f\w+ you want to public license|wtfpl", "wtfpl|want to public license"),
     ("zlib", "zlib", r"zlib(?: libpng)? license|zlib libpng", "zlib"),
     ("zpl", "zpl 2 [01]", r"zope public license", "zope"),
 )
@@ -94,7 +95,7 @@ TEXTS = (
     ("apache-2.0", r"you may not use this file except in compliance with the license", 4, 0.9, "in compliance with"),
     ("reserved", r"(?:all|some|no) rights (?:are )?reserved", 1, 0.6, "reserved"),
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 1, 0.5, "copyright"),
-    ("copyright", r"(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", 1, 0.6, "r"),
+    ("copyright", r"(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", 1, 0.6, "vorbehalten|droits|derechos"),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 2, 0.8, "proprietary"),
     ("proprietary", r"unauthori[sz]ed (?:copying|use|distribution) .{0,60}?(?:prohibited|forbidden)", 2, 0.8, "unauthori"),
     ("no-derivatives", r"(?:may not|must not) be (?:reproduced|redistributed|copied)", 2, 0.7, "not be"),
@@ -174,7 +175,7 @@ def _detections(words: Column, low: Column) -> Column:
     table = F.array(
         *[
             F.struct(
-                F.lit(key).alias("key"),
+                F.array(*[F.lit(w) for w in key.split("|")]).alias("keys"),
                 F.array(
                     *[
                         F.struct(F.lit(p).alias("p"), F.lit(-q).alias("q"), F.lit(w).alias("w"), F.lit(s).alias("s"))
@@ -185,9 +186,8 @@ def _detections(words: Column, low: Column) -> Column:
             for key, members in by_key.items()
         ]
     )
-    tried = F.flatten(
-        F.transform(F.filter(table, lambda k: F.contains(low, F.concat(F.lit(" "), k["key"]))), lambda k: k["rules"])
-    )
+    due = F.filter(table, lambda k: F.exists(k["keys"], lambda w: F.contains(low, w)))
+    tried = F.flatten(F.transform(due, lambda k: k["rules"]))
 
     def hits(r: Column) -> Column:
         return F.transform(
