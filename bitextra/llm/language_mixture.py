@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import first_n
-
 BUCKET_BITS = 15
-# Documents per language used for learning; the documented bound of the sample.
+# Expected number of documents per language used for learning; the documented bound of the sample.
 SAMPLE_PER_LANGUAGE = 2000
 # Languages that enter a document's mixture: the best by single-language likelihood.
 SHORTLIST = 8
@@ -56,18 +54,16 @@ def learn(
 ) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (buckets x languages).
 
-    Learns from at most ``per_language`` documents of each label, the first by
-    a hash of the id. Rows with null id, label or text are not used.
+    Learns from about ``per_language`` documents of each label, those of the
+    lowest hashes of the id. Rows with null id, label or text are not used.
     """
     labelled = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # The sample is drawn on ids alone; texts are fetched for it afterwards.
-    chosen = first_n(
-        labelled.select("lang", "doc_id"), ["lang"],
-        [F.xxhash64(F.lit(17), F.col("doc_id")), F.col("doc_id")], per_language, F.col("doc_id"),
-    ).distinct()
-    sample = labelled.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
+    # A hash below the share that each label needs: no label's rows meet in a task.
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    share = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = labelled.join(counts, "lang").filter(share * F.col("total") < per_language).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
