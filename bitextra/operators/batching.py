@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from bitextra.functions.markup import encode_format_codes, has_content
 from bitextra.functions.text import let
-from bitextra.operators.ranking import ROWS_PER_CHUNK, chunked_rank
+from bitextra.operators.ranking import ROWS_PER_CHUNK, chunked_rank, join_null_safe
 
 # Batch size and the limits of paragraph splitting.
 BATCH_SIZE = 50
 SPLIT_MIN_PARAGRAPHS = 3
 SPLIT_MIN_CHARS = 300
 PARAGRAPH_CODE = "\\P"
+NO_LAYER = "0"
 
 
 def assign_batches(
@@ -23,7 +24,7 @@ def assign_batches(
     """1-based ``batch_id`` of ``size`` units each, in order.
 
     With ``by`` (a layer) batches never mix layers, and layers come in
-    first-seen order (W2). Ranks are chunked by index, so a document of any
+    first-seen order (W2); a unit without layer is in layer "0". Ranks are chunked by index, so a document of any
     length is numbered by many tasks.
     """
     chunk = F.floor(F.col(idx) / ROWS_PER_CHUNK)
@@ -32,6 +33,9 @@ def assign_batches(
         return ranked.withColumn(
             "batch_id", (F.floor((F.col("_rank") - 1) / size) + 1).cast("long")
         ).drop("_rank")
+    given = units
+    units = units.withColumn("_layer", F.coalesce(F.col(by).cast("string"), F.lit(NO_LAYER)))
+    by = "_layer"
     layers = units.groupBy(*keys, by).agg(
         F.min(idx).alias("_first"), F.ceil(F.count(F.lit(1)) / size).alias("_n")
     )
@@ -43,12 +47,12 @@ def assign_batches(
     )
     ranked = chunked_rank(units, [*keys, by], [F.col(idx)], chunk, "_rank")
     return (
-        ranked.join(start, [*keys, by])
+        join_null_safe(ranked, start, [*keys, by])
         .withColumn(
             "batch_id",
             (F.col("_start") + F.floor((F.col("_rank") - 1) / size) + 1).cast("long"),
         )
-        .drop("_rank", "_start")
+        .select(*given.columns, "batch_id")
     )
 
 

@@ -154,9 +154,9 @@ def job_latest(monitoring: DataFrame) -> DataFrame:
 
 
 def transition_history(monitoring: DataFrame) -> DataFrame:
-    """Every entry with the status before it (W7), cut by day."""
+    """Every entry with the status before it (W7), cut by minute; entries without time come first."""
     return chunked_previous(
-        monitoring, ["job_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "status",
+        monitoring, ["job_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"), "status",
         "previous",
     )
 
@@ -165,7 +165,7 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
     """0-based place of every pending job in its owner's queue."""
     return chunked_rank(
         jobs.filter("status = 'pending'"), ["user_id"], [F.col("created_at"), F.col("seq")],
-        F.to_date("created_at"),
+        F.date_trunc("minute", "created_at"),
     ).select("job_id", "user_id", (F.col("rank") - 1).alias("position"))
 
 
@@ -278,23 +278,28 @@ def rate_limit(
     the ones before, so a key's log is cut wherever a whole window-sized bucket
     is empty - nothing carries over such a gap - and the pieces run in
     parallel. Inside a piece rows are streamed in time order with a state of at
-    most ``max_requests`` times; a piece is never held in memory.
+    most ``max_requests`` times; a piece is never held in memory. Requests
+    without key are those of one more key; one without time has no place in
+    the log: it is returned undecided (allowed, remaining, retry_after null).
     """
     from pyspark.sql import Window
 
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.select(key, "event_id", micros.alias("_t")).withColumn(
+    # A null key is the empty string, any other one is marked.
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    all_rows = events.select(named.alias("_key"), "event_id", micros.alias("_t"))
+    rows = all_rows.filter(F.col("_t").isNotNull()).withColumn(
         "_bucket", F.floor(F.col("_t") / (window_seconds * 1_000_000))
     )
-    buckets = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(key).orderBy("_bucket")
+    buckets = rows.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy("_key").orderBy("_bucket")
     pieces = buckets.select(
-        key, "_bucket", (F.col("_bucket") - F.row_number().over(by_key)).alias("_piece")
+        "_key", "_bucket", (F.col("_bucket") - F.row_number().over(by_key)).alias("_piece")
     )
-    cut = rows.join(pieces, [key, "_bucket"])
-    ordered = cut.repartition(key, "_piece").sortWithinPartitions(key, "_piece", "_t", "event_id")
+    cut = rows.join(pieces, ["_key", "_bucket"])
+    ordered = cut.repartition("_key", "_piece").sortWithinPartitions("_key", "_piece", "_t", "event_id")
     schema = T.StructType([
-        events.schema[key],
+        T.StructField("_key", T.StringType()),
         T.StructField("event_id", T.LongType()),
         T.StructField("allowed", T.BooleanType()),
         T.StructField("remaining", T.LongType()),
@@ -308,7 +313,7 @@ def rate_limit(
         current, accepted = None, deque()
         for pdf in batches:
             out = []
-            for k, piece, t in zip(pdf[key], pdf["_piece"], pdf["_t"]):
+            for k, piece, t in zip(pdf["_key"], pdf["_piece"], pdf["_t"]):
                 if (k, piece) != current:
                     current, accepted = (k, piece), deque()
                 while accepted and accepted[0] <= t - span:
@@ -318,10 +323,15 @@ def rate_limit(
                 if ok:
                     accepted.append(t)
                 out.append((ok, max_requests - len(accepted), wait))
-            yield pdf[[key, "event_id"]].assign(
+            yield pdf[["_key", "event_id"]].assign(
                 allowed=[o[0] for o in out],
                 remaining=[o[1] for o in out],
                 retry_after=[o[2] for o in out],
             )
 
-    return ordered.select(key, "event_id", "_piece", "_t").mapInPandas(decide, schema)
+    decided = ordered.select("_key", "event_id", "_piece", "_t").mapInPandas(decide, schema)
+    undecided = all_rows.filter(F.col("_t").isNull()).select(
+        "_key", "event_id", *[F.lit(None).cast(schema[c].dataType).alias(c) for c in schema.names[2:]]
+    )
+    back = F.when(F.col("_key") != "", F.substring("_key", 2, 2**31 - 1)).cast(events.schema[key].dataType)
+    return decided.unionByName(undecided).select(back.alias(key), *schema.names[1:])

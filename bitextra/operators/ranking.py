@@ -12,8 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 65536
-# Bound on the keys treated as hot: the list is broadcast, so it must stay small.
-MAX_HOT_KEYS = 4096
+# A key is hot from this share of the rows on; the share bounds the number of hot keys.
+HOT_SHARE = 1 / 4096
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet null keys; the columns of ``left`` and the new ones of ``right``."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _offsets(df: DataFrame, keys: list[str], amount: Column, out: str) -> DataFrame:
@@ -29,7 +36,7 @@ def _offsets(df: DataFrame, keys: list[str], amount: Column, out: str) -> DataFr
 def chunked_rank(
     df: DataFrame, keys: list[str], order: list[Column], chunk: Column, out: str = "rank"
 ) -> DataFrame:
-    """1-based row number within ``keys`` by ``order`` (keys must not be null).
+    """1-based row number within ``keys`` by ``order``; null is a key and a chunk of its own.
 
     ``chunk`` must never decrease along ``order``, e.g. ``floor(idx / 65536)``
     for a running index or the hour of a timestamp.
@@ -38,7 +45,7 @@ def chunked_rank(
     before = _offsets(cut, keys, F.lit(1), "_before")
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        cut.join(before, [*keys, "_chunk"])
+        join_null_safe(cut, before, [*keys, "_chunk"])
         .withColumn(out, (F.col("_before") + F.row_number().over(local)).cast("long"))
         .drop("_chunk", "_before")
     )
@@ -60,7 +67,7 @@ def chunked_previous(
     carried = ends.select(*keys, "_chunk", F.lag("_end").over(per_key).alias("_carried"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        cut.join(carried, [*keys, "_chunk"])
+        join_null_safe(cut, carried, [*keys, "_chunk"])
         .withColumn("_first", F.row_number().over(local) == 1)
         .withColumn(
             out,
@@ -96,32 +103,48 @@ def salted_lookup(
     on: list[str],
     row_id: list[str],
     how: str = "left",
+    hot_share: float = HOT_SHARE,
     hot_rows: int = 1_000_000,
     buckets: int = 64,
 ) -> DataFrame:
     """Join whose hot left keys are spread over ``buckets`` tasks.
 
-    Keys with more than ``hot_rows`` left rows are found by a map-side combined
-    count; only their right rows are copied, once per bucket. Every other key
-    joins as usual. At most ``MAX_HOT_KEYS`` keys are treated as hot - a key
-    beyond them holds less than that share of the rows - so the hot list has a
-    fixed bound and marking the left side is a broadcast join without shuffle.
+    Keys with more than ``hot_rows`` left rows and more than ``hot_share`` of
+    them are found by a map-side combined count; only their right rows are
+    copied, once per bucket. Every other key joins as usual. The share bounds
+    the number of hot keys; they are broadcast as 128-bit hashes, so the list
+    is small however long the keys are. Left rows with a null key match
+    nothing and are spread over the buckets.
     """
+    key = [F.xxhash64(*on), F.xxhash64(F.lit(1), *on)]
+    counts = (
+        left.groupBy(key[0].alias("_k0"), key[1].alias("_k1"))
+        .agg(F.count(F.lit(1)).alias("_rows")).withColumn("_all", F.lit(0))
+    )
+    # One row: the sum of the counts.
+    total = counts.groupBy("_all").agg(F.sum("_rows").alias("_total"))
     hot = F.broadcast(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
+        counts.filter(F.col("_rows") > hot_rows)
+        .join(F.broadcast(total), "_all")
+        .filter(F.col("_rows") > F.col("_total") * hot_share)
+        .select("_k0", "_k1", F.lit(True).alias("_hot"))
     )
+
+    def marked_by(df: DataFrame) -> DataFrame:
+        named = df.withColumns({"_k0": key[0], "_k1": key[1]})
+        return named.join(hot, ["_k0", "_k1"], "left").drop("_k0", "_k1")
+
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
         F.array(F.lit(0))
     )
     spread_right = (
-        right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        marked_by(right).withColumn("_salt", F.explode(copies)).drop("_hot")
     )
+    lacking = F.lit(False)
+    for name in on:
+        lacking = lacking | F.col(name).isNull()
     salt = F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(buckets)).cast("int")
+        F.coalesce(F.col("_hot"), F.lit(False)) | lacking, F.pmod(F.xxhash64(*row_id), F.lit(buckets)).cast("int")
     ).otherwise(F.lit(0))
-    marked = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    marked = marked_by(left).withColumn("_salt", salt).drop("_hot")
     return marked.join(spread_right, [*on, "_salt"], how).drop("_salt")

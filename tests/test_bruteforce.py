@@ -172,6 +172,83 @@ def test_chunked_previous_equals_lag(spark):
     assert {(r.id, r.prev) for r in got.collect()} == {(r.id, r.p) for r in exp.collect()}
 
 
+def with_nulls(spark):
+    return spark.range(200).select(
+        F.col("id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("key"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") * 37) % 101).alias("pos"), F.col("id").cast("string").alias("v"),
+    )
+
+
+def test_null_keys_and_orders_keep_their_rows(spark):
+    df = with_nulls(spark)
+    df.createOrReplaceTempView("nulls")
+    order, chunk = [F.col("pos"), F.col("id")], F.floor(F.col("pos") / 10)
+    ranks = chunked_rank(df, ["key"], order, chunk).select("id", "rank")
+    exp = spark.sql("SELECT id, row_number() OVER (PARTITION BY key ORDER BY pos, id) AS rank FROM nulls")
+    assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, exp.collect()))
+    got = chunked_previous(df, ["key"], order, chunk, "v", "prev").select("id", "prev").collect()
+    exp = spark.sql("SELECT id, lag(v) OVER (PARTITION BY key ORDER BY pos, id) AS prev FROM nulls").collect()
+    assert {r.id: r.prev for r in got} == {r.id: r.prev for r in exp} and len(got) == 200
+
+
+def test_salted_lookup_with_null_keys(spark):
+    left = with_nulls(spark)
+    right = spark.createDataFrame([("k0", 1), (None, 2)], "key string, w int")
+    got = salted_lookup(left, right, ["key"], ["id"], "left", hot_rows=10, buckets=4)
+    exp = left.join(right, "key", "left")
+    assert sorted(got.select("id", "w").collect(), key=str) == sorted(exp.select("id", "w").collect(), key=str)
+
+
+def test_rate_limit_keeps_requests_without_key_or_time(spark):
+    import datetime as dt
+
+    from bitextra.operators.joblog import rate_limit
+
+    at = [dt.datetime(2026, 1, 1, 0, 0, s) for s in range(9)]
+    rows = [("a", i, t) for i, t in enumerate(at[:7])] + [(None, 10 + i, t) for i, t in enumerate(at)]
+    rows += [("a", 30, None), (None, 31, None), ("", 40, at[0])]
+    got = {r.event_id: (r.key, r.allowed) for r in rate_limit(
+        spark.createDataFrame(rows, "key string, event_id long, ts timestamp")).collect()}
+    assert len(got) == len(rows)
+    assert [got[i][1] for i in range(7)] == [True] * 5 + [False] * 2
+    assert [got[10 + i][1] for i in range(9)] == [True] * 5 + [False] * 4
+    assert got[30] == ("a", None) and got[31] == (None, None) and got[40] == ("", True)
+
+
+def test_units_without_layer_are_layer_zero(spark):
+    rows = [(1, i, [None, "0", "a"][i % 3]) for i in range(12)]
+    got = B.assign_batches(spark.createDataFrame(rows, "doc_id long, unit_idx long, layer string"), 4, "layer")
+    assert got.columns == ["doc_id", "unit_idx", "layer", "batch_id"] and got.count() == 12
+    zero = [r for r in got.collect() if r.layer in (None, "0")]
+    assert {r.batch_id for r in zero} == {1, 2} and len(zero) == 8
+
+
+def test_batches_of_a_long_document_never_meet(spark):
+    """Batch 100 splits and batch 1 retries; no call grows and only the failing batch loses units."""
+    import json
+
+    from bitextra.operators.inference import translate_units
+
+    def model(payload):
+        items = json.loads(payload)
+        ids = [int(i["id"]) for i in items]
+        if len(ids) > 5 or any(i == 42 for i in ids):
+            raise RuntimeError("x" * 1000)
+        if ids[0] // 5 == 99 and len(ids) > 2:
+            return "broken {"
+        answers = [{"id": i["id"], "text": i["text"].upper()} for i in items]
+        if ids[0] == 0 and len(ids) == 5:
+            answers = answers[:4]
+        return json.dumps({"translations": answers})
+
+    units = spark.createDataFrame(
+        [(1, i, str(i), f"text {chr(97 + i % 26)}", "") for i in range(1050)],
+        "doc_id long, unit_idx long, unit_id string, text string, context string")
+    got = {r.unit_idx: (r.text, r.status) for r in translate_units(units, model, 5, None).collect()}
+    assert set(range(1050)) - set(got) == {40, 41, 42, 43, 44}
+    assert all(v == (f"TEXT {chr(65 + i % 26)}", "translated") for i, v in got.items())
+
+
 def test_first_n(spark):
     df = skewed(spark)
     got = first_n(df, ["key"], [F.col("pos")], 5, F.col("id"), 8)
