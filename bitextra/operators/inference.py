@@ -24,12 +24,14 @@ UNIT = ["doc_id", "unit_idx"]
 Model = Callable[[str], str]
 
 
-def call_model(batches: DataFrame, fn: Model) -> DataFrame:
+def call_model(batches: DataFrame, fn: Model, tasks: int | None = None) -> DataFrame:
     """One call per payload row (U1); an exception becomes an error row.
 
-    The callable gets the JSON payload and returns the model's raw text.
-    Batches spread over the partitions; throttle by their number.
+    The callable gets the JSON payload and returns the model's raw text. Calls
+    are dealt out over ``tasks`` tasks (default: four per core). A task that is
+    lost repeats the calls it had made; finished rounds are read from files.
     """
+    tasks = tasks or 4 * batches.sparkSession.sparkContext.defaultParallelism
     def run(frames):
         for pdf in frames:
             answers = []
@@ -37,13 +39,17 @@ def call_model(batches: DataFrame, fn: Model) -> DataFrame:
                 try:
                     answers.append((fn(payload), None))
                 except Exception as exc:  # noqa: BLE001 - a failed batch loses only itself
-                    answers.append((None, f"{type(exc).__name__}: {exc}"[:300]))
+                    answers.append((None, f"{type(exc).__name__}: {exc}"))
             yield pdf[["doc_id", "batch_id", "n_units"]].assign(
                 response=[a for a, _ in answers], error=[e for _, e in answers]
             )
 
-    return batches.select("doc_id", "batch_id", "n_units", "payload").mapInPandas(
-        run, "doc_id BIGINT, batch_id BIGINT, n_units BIGINT, response STRING, error STRING"
+    calls = batches.select("doc_id", "batch_id", "n_units", "payload")
+    kinds = dict(calls.dtypes)
+    return calls.repartition(tasks, "doc_id", "batch_id").mapInPandas(
+        run,
+        f"doc_id {kinds['doc_id']}, batch_id {kinds['batch_id']}, n_units BIGINT, "
+        "response STRING, error STRING",
     )
 
 
@@ -85,8 +91,11 @@ class _Round:
         self.checks = _checks("text", "output", source_lang)
 
 
-def _next_round(units: DataFrame, verdicts: DataFrame, open_units: DataFrame, depth: int):
-    """Halves of split batches and one retry batch for the open units of the others."""
+def _next_round(units: DataFrame, verdicts: DataFrame, open_units: DataFrame):
+    """Halves of split batches and one retry batch for the open units of the others.
+
+    A batch is named by the path from its root batch, so no two ever share a name.
+    """
     place = Window.partitionBy("doc_id", "batch_id").orderBy("unit_idx")
     halves = (
         units.join(verdicts.filter("action = 'split'").select("doc_id", "batch_id", "n_units"),
@@ -94,12 +103,14 @@ def _next_round(units: DataFrame, verdicts: DataFrame, open_units: DataFrame, de
         .withColumn("_place", F.row_number().over(place))
         .withColumn(
             "batch_id",
-            F.col("batch_id") * 10
-            + F.when(F.col("_place") <= F.floor(F.col("n_units") / 2), 1).otherwise(2),
+            F.concat(
+                "batch_id",
+                F.when(F.col("_place") <= F.floor(F.col("n_units") / 2), "/1").otherwise("/2"),
+            ),
         )
         .drop("_place", "n_units")
     )
-    retry = open_units.withColumn("batch_id", F.col("batch_id") * 1000 + depth + 1)
+    retry = open_units.withColumn("batch_id", F.concat("batch_id", F.lit("/r")))
     return halves.unionByName(retry.select(halves.columns))
 
 
@@ -116,15 +127,17 @@ def translate_units(
     ``units``: doc_id, unit_idx, unit_id, text, context. A response that does
     not parse or delivers less than 75 % splits its batch in half, a smaller
     gap or a failed check sends the units again; both up to ``max_depth``
-    times. Every round handles all open batches at once. Answers are
-    written to the shared folder, so a lost executor repeats no finished call. Returns doc_id,
+    times. Every round handles all open batches at once. The answers of a round
+    are written to the shared folder when it ends: later losses repeat no call
+    of it, a task lost within the round repeats its own. Returns doc_id,
     unit_idx, text, status (translated / source_fallback); units of batches
     that kept failing have no row. A batch that exceeds the depth loses only
     its own units.
     """
     steps = steps or _Round(source_lang)
     base = units.select(*UNIT, "unit_id", "text", "context")
-    pending = cut_lineage(assign_batches(base, batch_size))
+    numbered = assign_batches(base, batch_size)
+    pending = cut_lineage(numbered.withColumn("batch_id", F.col("batch_id").cast("string")))
     finished: list[DataFrame] = []
     for depth in range(max_depth + 1):
         guarded = pending.withColumn("text", steps.guard)
@@ -164,7 +177,7 @@ def translate_units(
                 )
             )
             break
-        pending = cut_lineage(_next_round(pending, verdicts, open_units, depth))
+        pending = cut_lineage(_next_round(pending, verdicts, open_units))
         if pending.isEmpty():
             break
     return reduce(DataFrame.unionByName, finished)
