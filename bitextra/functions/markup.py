@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitextra.functions.text import interleave, norm_ws, strip, unescape_entities
+from bitextra.functions.text import (
+    interleave,
+    let,
+    norm_ws,
+    strip,
+    unescape_entities,
+    unescape_references,
+)
 
 # Spelling of format codes and of their placeholders.
 FORMAT_CODE = r"\\[A-Za-z][^;\\]*;|\\[A-Za-z~_]"
@@ -97,17 +104,36 @@ def add_value_key_commas(c: Column) -> Column:
     return F.regexp_replace(c, r'"\s+"(\w+)"\s*:', r'", "$1":')
 
 
+def without_comments(c: Column) -> Column:
+    """Markup whose CDATA sections are escaped text and whose comments are gone."""
+    pattern = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->"
+
+    def plain(m: Column) -> Column:
+        inner = F.regexp_extract(m, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(char), F.lit(entity))
+        return F.when(m.startswith("<!--"), F.lit("")).otherwise(inner)
+
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.when(
+        c.contains("<!"), interleave(F.split(c, pattern, -1), F.transform(found, plain))
+    ).otherwise(c)
+
+
 def visible_text(c: Column) -> Column:
     """Visible text of an exchange-file segment.
 
     Content of inline-code elements goes, their tails stay; other tags are
     dropped; entities are resolved twice because tools escape markup inside
     text; pseudo tags such as <run1> disappear; white space collapses.
+    Character references are resolved, CDATA is text, comments are dropped.
     """
+    c = without_comments(c)
     names = "|".join(INLINE_CODE_ELEMENTS)
     out = F.regexp_replace(c, rf"(?s)<(?:\w+:)?({names})\b[^>]*(?<!/)>.*?</(?:\w+:)?\1>", "")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    out = unescape_entities(unescape_entities(out))
+    for _ in range(2):
+        out = let(out, lambda t: unescape_entities(unescape_references(t)))
     out = F.regexp_replace(out, r"</?run\d+\s*/?>", "")
     out = F.regexp_replace(out, r"</?tags?\d*\s*/?>", "")
     return norm_ws(out)

@@ -225,6 +225,23 @@ def interleave(gaps: Column, tokens: Column) -> Column:
     )
 
 
+def unescape_references(c: Column) -> Column:
+    """Resolve decimal and hexadecimal character references, one pass."""
+    pattern = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+    def char(m: Column) -> Column:
+        digits = F.regexp_extract(m, r"([0-9A-Fa-f]+);", 1)
+        hexa = F.when(m.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+        number = F.conv(hexa, 16, 10).cast("long")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).otherwise(m)
+
+    resolved = interleave(
+        F.split(c, pattern, -1), F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), char)
+    )
+    return F.when(c.contains("&#"), resolved).otherwise(c)
+
+
 def unescape_entities(c: Column) -> Column:
     """Resolve the five predefined XML entities, one pass."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),

@@ -155,16 +155,58 @@ def _archives(spark, d, column):
     return docs.mapInPandas(build, "path STRING, content BINARY")
 
 
+def _damaged(files):
+    """A truncated, a malformed and an encrypted copy of some of the archives."""
+
+    def spoil(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if int(path) % 50 != 7:
+                    continue
+                content = bytes(content)
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr("word/document.xml", "<w:document><w:p></w:document>")
+                locked = bytearray(content)
+                for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+                    found = locked.find(mark)
+                    while found >= 0:
+                        locked[found + at] |= 1
+                        found = locked.find(mark, found + 4)
+                out += [
+                    (f"cut {path}", content[: len(content) // 2]), (f"bad {path}", held.getvalue()),
+                    (f"locked {path}", bytes(locked)),
+                ]
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return files.mapInPandas(spoil, "path STRING, content BINARY")
+
+
 @query(
     "docx_paragraphs",
     check_sql(
         """SELECT cast(doc_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY doc_id
-          ORDER BY unit_idx) - 1 AS idx, source AS text FROM units_fx WHERE doc_id % 50 <> 49""",
+          ORDER BY unit_idx) - 1 AS idx, source AS text, false AS failed FROM units_fx
+          WHERE doc_id % 50 <> 49
+        UNION ALL SELECT cast(doc_id AS VARCHAR), NULL, NULL, true FROM units_fx
+          WHERE doc_id % 50 = 49 GROUP BY doc_id
+        UNION ALL SELECT k || cast(doc_id AS VARCHAR), NULL, NULL, true
+          FROM (SELECT DISTINCT doc_id FROM units_fx WHERE doc_id % 50 = 7),
+            (VALUES ('cut '), ('bad '), ('locked ')) AS kinds(k)""",
         "units",
     ),
 )
 def docx_paragraphs(spark, d):
-    return office.docx_paragraphs(_archives(spark, d, "source"))
+    files = _archives(spark, d, "source")
+    return office.docx_paragraphs(files.unionByName(_damaged(files))).select(
+        "path", "idx", "text", F.col("error").isNotNull().alias("failed")
+    )
 
 
 @query(
@@ -195,12 +237,18 @@ PROFILES = """
     "structure_profile",
     check_sql(
         f"""WITH {PROFILES} SELECT cast(doc_id AS VARCHAR) AS path, paragraphs, tables, rows, media,
-          text_elements, tabs FROM prof WHERE side = 's'""",
+          text_elements, tabs, false AS failed FROM prof WHERE side = 's'
+        UNION ALL SELECT k || cast(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, true
+          FROM (SELECT DISTINCT doc_id FROM units_fx WHERE doc_id % 50 = 7),
+            (VALUES ('cut '), ('bad '), ('locked ')) AS kinds(k)""",
         "units",
     ),
 )
 def structure_profile(spark, d):
-    return office.structure_profile(_archives(spark, d, "source"))
+    files = _archives(spark, d, "source")
+    return office.structure_profile(files.unionByName(_damaged(files))).withColumn(
+        "failed", F.col("error").isNotNull()
+    ).drop("error")
 
 
 @query(
@@ -217,7 +265,7 @@ def structure_profile(spark, d):
 )
 def structure_compare(spark, d):
     sides = [
-        office.structure_profile(_archives(spark, d, c)).withColumnRenamed("path", "doc_id")
+        office.structure_profile(_archives(spark, d, c)).drop("error").withColumnRenamed("path", "doc_id")
         for c in ("source", "target")
     ]
     return S.structure_verdict(S.compare_structures(*sides))

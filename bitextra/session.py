@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,9 @@ def local_session(cpus: int = 8, app: str = "bitextra") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can see: ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests) a temporary folder is set once
-    and used by both ``checkpoint()`` and the scratch tables.
+    Where a local session names none, a temporary folder is set once and used
+    by both ``checkpoint()`` and the scratch tables. On a cluster every executor
+    would write to a disk of its own, so there the folder must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -40,6 +42,9 @@ def shared_root(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -9,11 +9,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.parsers import expat
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Members scanned and the size above which a member is skipped.
+# Members scanned and the size of all members above which a file is refused.
 DOCUMENT_MEMBER = "word/document.xml"
 MAX_XML_BYTES = 512 * 1024 * 1024
 COUNTED = {"p": "paragraphs", "tbl": "tables", "tr": "rows", "t": "text_elements", "tab": "tabs"}
@@ -34,13 +35,29 @@ def archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
     )
 
 
+# What a damaged, truncated or encrypted archive or member raises.
+DAMAGE = (zipfile.BadZipFile, expat.ExpatError, zlib.error, EOFError, RuntimeError, NotImplementedError, ValueError, OSError, KeyError)
+
+
 def _open(content):
+    """The archive, or null when it is none."""
     try:
-        return zipfile.ZipFile(io.BytesIO(bytes(content)))
-    except zipfile.BadZipFile:
+        return zipfile.ZipFile(io.BytesIO(bytes(content or b"")))
+    except DAMAGE:
         return None
 
 
+def _guarded(content, read):
+    """(what ``read`` makes of the archive, null) or (null, what is wrong with the file)."""
+    archive = _open(content)
+    if archive is None:
+        return None, "not an archive"
+    try:
+        return read(archive), None
+    except DAMAGE as exc:
+        return None, f"{type(exc).__name__}: {exc}"
+
+
 def _parse(archive, member, start=None, end=None, text=None) -> None:
     """Stream one member through callbacks taking local element names."""
     parser = expat.ParserCreate()
@@ -79,30 +96,32 @@ class _Paragraphs:
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:
-    """Ordered paragraphs of every archive (S4): path, idx, text.
+    """Ordered paragraphs of every archive (S4): path, idx, text, error.
 
-    Archives without a document part, or that cannot be opened, give no rows.
+    A file that cannot be read - no archive, no document part, damaged or
+    encrypted - gives one row with its error and nothing else.
     """
 
+    def paragraphs(archive):
+        if DOCUMENT_MEMBER not in archive.namelist():
+            raise ValueError("no document part")
+        found = _Paragraphs()
+        _parse(archive, DOCUMENT_MEMBER, found.start, found.end, found.text)
+        return found.rows
+
     def read(batches):
         import pandas as pd
 
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                archive = _open(content)
-                if archive is None or DOCUMENT_MEMBER not in archive.namelist():
-                    continue
-                found = _Paragraphs()
-                _parse(archive, DOCUMENT_MEMBER, found.start, found.end, found.text)
-                yield pd.DataFrame(
-                    {
-                        "path": path,
-                        "idx": [i for i, _ in found.rows],
-                        "text": [t for _, t in found.rows],
-                    }
-                )
+                rows, error = _guarded(content, paragraphs)
+                rows = [(path, i, t, None) for i, t in rows or []] if error is None else [(path, None, None, error)]
+                frame = pd.DataFrame(rows, columns=["path", "idx", "text", "error"])
+                yield frame.assign(idx=frame["idx"].astype("Int64"))
 
-    return files.select("path", "content").mapInPandas(read, "path STRING, idx BIGINT, text STRING")
+    return files.select("path", "content").mapInPandas(
+        read, "path STRING, idx BIGINT, text STRING, error STRING"
+    )
 
 
 def read_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +129,21 @@ def read_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def structure_profile(files: DataFrame) -> DataFrame:
-    """Structural counters of every archive (A1), one row per file."""
+    """Structural counters of every archive (A1), one row per file, and an error for unreadable ones."""
+
+    def profile(archive):
+        counts = dict.fromkeys(PROFILE_FIELDS, 0)
+
+        def start(name, _):
+            if name in COUNTED:
+                counts[COUNTED[name]] += 1
+
+        for member in archive.namelist():
+            if member.startswith("word/media/") and not member.endswith("/"):
+                counts["media"] += 1
+            elif re.match(r"word/(?!.*_rels/).*\.xml$", member):
+                _parse(archive, member, start=start)
+        return tuple(counts.values())
 
     def read(batches):
         import pandas as pd
@@ -118,25 +151,13 @@ def structure_profile(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                archive = _open(content)
-                if archive is None:
-                    continue
-                counts = dict.fromkeys(PROFILE_FIELDS, 0)
-
-                def start(name, _, counts=counts):
-                    if name in COUNTED:
-                        counts[COUNTED[name]] += 1
-
-                for member in archive.namelist():
-                    if member.startswith("word/media/") and not member.endswith("/"):
-                        counts["media"] += 1
-                    elif re.match(r"word/(?!.*_rels/).*\.xml$", member):
-                        _parse(archive, member, start=start)
-                out.append((path, *counts.values()))
-            yield pd.DataFrame(out, columns=["path", *PROFILE_FIELDS])
+                counts, error = _guarded(content, profile)
+                out.append((path, *(counts or [None] * len(PROFILE_FIELDS)), error))
+            frame = pd.DataFrame(out, columns=["path", *PROFILE_FIELDS, "error"])
+            yield frame.astype(dict.fromkeys(PROFILE_FIELDS, "Int64"))
 
     fields = ", ".join(f"{f} BIGINT" for f in PROFILE_FIELDS)
-    return files.select("path", "content").mapInPandas(read, f"path STRING, {fields}")
+    return files.select("path", "content").mapInPandas(read, f"path STRING, {fields}, error STRING")
 
 
 def document_flags(files: DataFrame) -> DataFrame:
@@ -205,46 +226,57 @@ def _texts(archive, member, kind):
                 rows.append((f"cm_{member}_{state['ref']}", joined))
         elif name == "t" and joined.strip():
             prefix = "chart" if kind == "chart_text" else "shape"
-            rows.append((f"{prefix}_{member}_{joined[:20]}", joined))
+            rows.append((f"{prefix}_{member}_{joined[:20]}_{len(rows)}", joined))
         state["on"] = False
 
-    try:
-        _parse(archive, member, start, end, text)
-    except expat.ExpatError:
-        return []
+    _parse(archive, member, start, end, text)
     return rows
 
 
 def xlsx_texts(files: DataFrame) -> DataFrame:
-    """Text-bearing content of spreadsheets (S6): path, member, id, text, source_type.
+    """Text-bearing content of spreadsheets (S6): path, member, id, text, source_type, error.
 
-    Shared and inline strings, comments, chart and shape text. Members above
-    the size limit and members that point outside the archive are skipped.
+    Shared and inline strings, comments, chart and shape text. Members that
+    point outside the archive are skipped. A file whose XML members together exceed
+    the size limit, or that cannot be opened, gives one row with its error; so
+    does a member that cannot be read, beside the rows of the others. Ids hold
+    a running number where texts of a member may be equal.
     """
 
+    def texts(archive):
+        infos = archive.infolist()
+        if sum(i.file_size for i in infos if i.filename.endswith(".xml")) > MAX_XML_BYTES:
+            raise ValueError(f"its XML exceeds {MAX_XML_BYTES} bytes")
+        out = []
+        for info in infos:
+            member = info.filename
+            if member.startswith("/") or ".." in member.split("/"):
+                continue
+            kinds = [k for k, pattern in XLSX_MEMBERS if pattern.match(member)]
+            if member == "xl/sharedStrings.xml":
+                kinds = ["shared_string"]
+            for kind in kinds:
+                try:
+                    out += [(member, i, t, kind, None) for i, t in _texts(archive, member, kind)]
+                except DAMAGE as exc:
+                    out.append((member, None, None, kind, f"{type(exc).__name__}: {exc}"))
+        return out
+
     def read(batches):
         import pandas as pd
 
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                archive = _open(content)
-                if archive is None:
-                    continue
-                out = []
-                for info in archive.infolist():
-                    member = info.filename
-                    escapes = member.startswith("/") or ".." in member.split("/")
-                    if escapes or info.file_size > MAX_XML_BYTES:
-                        continue
-                    kinds = [k for k, pattern in XLSX_MEMBERS if pattern.match(member)]
-                    if member == "xl/sharedStrings.xml":
-                        kinds = ["shared_string"]
-                    for kind in kinds:
-                        out += [(path, member, i, t, kind) for i, t in _texts(archive, member, kind)]
-                yield pd.DataFrame(out, columns=["path", "member", "id", "text", "source_type"])
+                rows, error = _guarded(content, texts)
+                rows = rows if error is None else [(None, None, None, None, error)]
+                yield pd.DataFrame(
+                    [(path, *r) for r in rows],
+                    columns=["path", "member", "id", "text", "source_type", "error"],
+                )
 
     return files.select("path", "content").mapInPandas(
-        read, "path STRING, member STRING, id STRING, text STRING, source_type STRING"
+        read,
+        "path STRING, member STRING, id STRING, text STRING, source_type STRING, error STRING",
     )
 
 

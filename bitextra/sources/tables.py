@@ -64,9 +64,13 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
 
     A leading byte-order mark is ignored, further columns too; a missing
     column is an error. ``row_num`` is the record's place in its file, the
-    header being 1; splits of a large file are numbered by offset and place.
+    header being 1. Quoted fields may hold line breaks, so one file is read by
+    one task; many files are read by many.
     """
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    raw = (
+        spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        .option("multiLine", True).csv(path)
+    )
     found = {c.lstrip(BOM).strip(): c for c in raw.columns}
     missing = [c for c in WORDS if c not in found]
     if missing:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextra.functions.markup import visible_text
+from bitextra.functions.markup import visible_text, without_comments
 from bitextra.functions.text import unescape_entities
 
 
@@ -29,13 +29,18 @@ def read_xliff(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     Files are cut at unit ends by the text source, so one large file is read
     by many tasks, and the raw markup stays: an escaped ``&lt;b&gt;`` is text
     while ``<g>`` is a tag. Units without id or source are skipped. ``target``
-    is null when the element is missing and empty when it is blank.
+    is null when the element is missing and empty when it is blank. Character
+    references and CDATA are text; comments are dropped, and with them a unit
+    that lies in one (a comment is looked for within the piece of one unit).
     """
     reader = spark.read.option("lineSep", "</trans-unit>")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     opened = r"(?s)^.*<trans-unit\b([^>]*)>(.*)$"
-    raw = reader.text(path).filter(F.col("value").contains("<trans-unit")).select(
+    # A comment that holds the unit is still open where the piece ends.
+    value = F.regexp_replace(without_comments(F.col("value")), r"(?s)<!--.*$", "")
+    pieces = reader.text(path).filter(F.col("value").contains("<trans-unit"))
+    raw = pieces.withColumn("value", value).filter(F.col("value").contains("<trans-unit")).select(
         F.col("_metadata.file_path").alias("file"),
         F.regexp_extract("value", opened, 1).alias("tag"),
         F.regexp_replace(

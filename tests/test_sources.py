@@ -58,8 +58,11 @@ def test_docx(spark, tmp_path):
                                   "word/_rels/d.xml.rels": "<p/>", "word/header1.xml": "<w:p xmlns:w='w'/>"})
     archive(tmp_path / "b.docx", {"other.xml": "<a/>"})
     (tmp_path / "c.docx").write_text("not an archive")
-    rows = office.read_docx_paragraphs(spark, str(tmp_path)).orderBy("idx").collect()
+    every = office.read_docx_paragraphs(spark, str(tmp_path)).orderBy("idx").collect()
+    rows = [r for r in every if r.error is None]
     assert [(r.idx, r.text) for r in rows] == [(0, "One & two"), (1, ""), (2, "cell")]
+    assert {r.path[-6]: r.error for r in every if r.error} == {
+        "b": "ValueError: no document part", "c": "not an archive"}
     files = office.archives(spark, str(tmp_path), "*.docx")
     prof = office.structure_profile(files).filter("path LIKE '%a.docx'").first()
     assert (prof.paragraphs, prof.tables, prof.rows, prof.media, prof.text_elements, prof.tabs) == (
@@ -87,15 +90,55 @@ def test_xlsx(spark, tmp_path):
     assert {(r.id, r.text) for r in rows} == {
         ("ss_0", "plain"), ("ss_1", "rich"), ("ss_3", "last"),
         ("ws_xl/worksheets/sheet1.xml_cell_A1", "in"), ("cm_xl/comments1.xml_B2", "note"),
-        ("chart_xl/charts/chart1.xml_title", "title"), ("shape_xl/drawings/drawing1.xml_shape", "shape"),
+        ("chart_xl/charts/chart1.xml_title_0", "title"),
+        ("shape_xl/drawings/drawing1.xml_shape_0", "shape"),
     }
 
 
+def test_xlsx_bad_members(spark, tmp_path, monkeypatch):
+    long = "the same twenty letters and "
+    archive(tmp_path / "a.xlsx", {
+        "xl/sharedStrings.xml": "<sst><si><t>kept</t></si></sst>", "xl/comments1.xml": "<c><comment>",
+        "xl/drawings/drawing1.xml": f"<c><t>{long}one</t><t>{long}two</t></c>"})
+    (tmp_path / "b.xlsx").write_text("no archive")
+    rows = office.read_xlsx_texts(spark, str(tmp_path)).collect()
+    good = [r for r in rows if r.error is None]
+    assert len({r.id for r in good}) == len(good) == 3
+    assert {(r.path[-6], r.member) for r in rows if r.error} == {("a", "xl/comments1.xml"), ("b", None)}
+
+
+def test_xliff_references(spark, tmp_path):
+    (tmp_path / "a.xliff").write_text(
+        "<xliff><!-- <trans-unit id='0'><source>hidden</source></trans-unit> -->"
+        "<trans-unit id='1'><source>&#1046;&#x2013;&amp;#x41; <![CDATA[<b> & c]]><!-- no --></source></trans-unit>"
+        "<trans-unit id='2'><source>a&#x1F600;&#xD800;</source></trans-unit></xliff>", encoding="utf-8")
+    rows = read_xliff(spark, str(tmp_path)).orderBy("unit_id").collect()
+    assert [(r.unit_id, r.source) for r in rows] == [("1", "Ж–A <b> & c"), ("2", "a😀&#xD800;")]
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from bitextra.session import shared_root
+
+    class Session:
+        conf = SimpleNamespace(get=lambda *_: None)
+        sparkContext = SimpleNamespace(
+            getConf=lambda: SimpleNamespace(get=lambda *_: None), getCheckpointDir=lambda: None,
+            master="spark://host:7077")
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_root(Session)
+
+
 def test_glossary_csv(spark, tmp_path):
     path = tmp_path / "g.csv"
     path.write_text("ru_word,en_word,sb_word,ch_word,more\nа,a,\"b, c\",词,1\nб,,c,\n", encoding="utf-8-sig")
     rows = tables.read_glossary_csv(spark, str(path)).orderBy("row_num").collect()
     assert [tuple(r) for r in rows] == [(2, "а", "a", "b, c", "词"), (3, "б", "", "c", "")]
+    path.write_text('ru_word,en_word,sb_word,ch_word\n"а\nб",a,"b ""q""",\nв,c,,\n', encoding="utf-8")
+    rows = tables.read_glossary_csv(spark, str(path)).orderBy("row_num").collect()
+    assert [tuple(r) for r in rows] == [(2, "а\nб", "a", 'b "q"', ""), (3, "в", "c", "", "")]
     path.write_text("ru_word,en_word\nа,a\n")
     with pytest.raises(ValueError):
         tables.read_glossary_csv(spark, str(path))
