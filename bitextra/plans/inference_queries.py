@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bitextra.operators import inference as I
 from bitextra.plans import fixtures as fx
 from bitextra.plans.fixtures import check_sql
+from bitextra.plans.numeric_queries import TOKENS, UNIT_TEXTS
 from bitextra.plans.registry import query
 
 
@@ -62,21 +63,18 @@ def translate_and_fill(spark, d):
 @query(
     "post_process_verdict",
     check_sql(
-        """SELECT doc_id, unit_idx, CASE WHEN k IN (2, 3) AND cyr >= 4 THEN NULL
-            WHEN own THEN 'own' ELSE replace(replace(tgt, 'No. ' || (n + 1), 'No. ' || n), '~', '')
-            END AS final
-        FROM (SELECT *, regexp_matches(line, '\\d') AS own, target AS tgt,
-                length(regexp_replace(target, '[^Ѐ-ӿ]+', '', 'g')) AS cyr
-              FROM units_fx WHERE target IS NOT NULL)""",
+        f"""WITH {UNIT_TEXTS}, {TOKENS},
+        lost AS (SELECT DISTINCT doc_id, idx FROM tokens_fx WHERE side = 's')
+        SELECT u.doc_id, unit_idx, CASE WHEN k IN (2, 3) AND cyr >= 4 THEN NULL
+            WHEN k = 0 AND lost.idx IS NOT NULL THEN NULL
+            WHEN k = 6 THEN 'No. ' || n || ' ' || line ELSE target END AS final
+        FROM (SELECT *, length(regexp_replace(target, '[^Ѐ-ӿ]+', '', 'g')) AS cyr
+              FROM units_fx WHERE target IS NOT NULL) u
+          LEFT JOIN lost ON lost.doc_id = u.doc_id AND lost.idx = u.unit_idx""",
         "units",
     ),
 )
 def post_process_verdict(spark, d):
     u = fx.units(spark, d).filter("target IS NOT NULL")
     judged = I.post_process(u, "source", "target")
-    own = F.col("line").rlike(r"\d")
-    return judged.select(
-        "doc_id", "unit_idx",
-        F.when(F.col("k").isin(2, 3) & F.col("final").isNull(), F.lit(None).cast("string"))
-        .when(own, F.lit("own")).otherwise(F.col("final")).alias("final"),
-    )
+    return judged.select("doc_id", "unit_idx", "final")

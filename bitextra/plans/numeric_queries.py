@@ -264,27 +264,23 @@ def restore_numerics_query(spark, d):
     )
 
 
-# Lines without digits of their own hold only the injected reference, so their
-# repaired text is known in closed form; the others are repaired too but shown
-# as null (they have tests of their own).
+# Both sides hold the same line, so only the injected reference can have drifted;
+# an empty target lacks every token of its source.
 @query(
     "repair_numerics",
     check_sql(
-        r"""SELECT doc_id, unit_idx,
-            CASE WHEN has_own THEN NULL WHEN k = 6 THEN 'No. ' || n || ' ' || line
-                 ELSE target END AS repaired,
-            CASE WHEN has_own THEN NULL ELSE 0 END AS unresolved
-        FROM (SELECT *, regexp_matches(line, '\d') AS has_own FROM units_fx
-              WHERE target IS NOT NULL)""",
+        f"""WITH {UNIT_TEXTS}, {TOKENS},
+        lost AS (SELECT doc_id, idx, count(*) AS n FROM tokens_fx WHERE side = 's' GROUP BY 1, 2)
+        SELECT u.doc_id, unit_idx,
+            CASE WHEN k = 6 THEN 'No. ' || u.n || ' ' || line ELSE target END AS repaired,
+            CASE WHEN k = 0 THEN coalesce(lost.n, 0) ELSE 0 END AS unresolved
+        FROM units_fx u LEFT JOIN lost ON lost.doc_id = u.doc_id AND lost.idx = u.unit_idx
+        WHERE target IS NOT NULL""",
         "units",
     ),
 )
 def repair_numerics_query(spark, d):
-    own = F.col("line").rlike(r"\d")
     fixed = repair_numerics(
-        fx.units(spark, d).filter("target IS NOT NULL").select("doc_id", "unit_idx", "line", "source", "target")
-    )
-    return fixed.select(
-        "doc_id", "unit_idx", F.when(~own, F.col("repaired")).alias("repaired"),
-        F.when(~own, F.col("unresolved")).alias("unresolved"),
+        fx.units(spark, d).filter("target IS NOT NULL").select("doc_id", "unit_idx", "source", "target")
     )
+    return fixed.select("doc_id", "unit_idx", "repaired", "unresolved")
