@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitextra.operators.ranking import chunked_previous, chunked_rank, first_n, salted_lookup
+from bitextra.session import cut_lineage
 
 # Stages with their share of the work, statuses and limits.
 STAGE_WEIGHTS = {
@@ -262,8 +263,9 @@ def lifecycle(events: DataFrame) -> DataFrame:
         )
 
     rows = events.select("job_id", "ts", "event_id", "status")
-    opened = step(rows, None, ("pending",), None)
-    started = step(rows, opened, ("running",), "pending")
+    # Written once each: the later steps and the result read them instead of computing them again.
+    opened = cut_lineage(step(rows, None, ("pending",), None))
+    started = cut_lineage(step(rows, opened, ("running",), "pending"))
     ended = step(rows, started, TERMINAL, "running")
     return opened.unionByName(started).unionByName(ended)
 

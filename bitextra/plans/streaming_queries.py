@@ -51,6 +51,31 @@ def stream_job_state(spark, d):
         return logs.run_available(state.stream_job_state(events(spark, d))).drop("ts")
 
 
+def _silent_sql(seconds: int, statuses: str) -> str:
+    """Entries after which a job was silent for so long, up to the last time seen."""
+    return check_sql(
+        f"""SELECT job_id, status, epoch_us(ts) AS since FROM (
+          SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS following,
+            (SELECT max(ts) FROM monitoring_fx) AS newest FROM monitoring_fx)
+        WHERE {statuses} AND epoch_us(coalesce(following, newest)) - epoch_us(ts) > {seconds * 1_000_000}""",
+        "monitoring",
+    )
+
+
+@query("stream_stale_jobs", _silent_sql(300, "status IN ('pending', 'running')"))
+def stream_stale_jobs(spark, d):
+    with state.rocksdb(spark):
+        found = logs.run_available(state.stream_stale_jobs(events(spark, d)))
+    return found.select("job_id", "status", F.unix_micros("since").alias("since"))
+
+
+@query("stream_expire_jobs", _silent_sql(604800, "true"))
+def stream_expire_jobs(spark, d):
+    with state.rocksdb(spark):
+        found = logs.run_available(state.stream_expire_jobs(events(spark, d)))
+    return found.select("job_id", "status", F.unix_micros("since").alias("since"))
+
+
 @query(
     "stream_rate_limit",
     f"SELECT cast(user_id AS VARCHAR) AS key, event_id, allowed FROM ({RATE})",

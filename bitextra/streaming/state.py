@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from bitextra.operators.joblog import TERMINAL
+from bitextra.operators.joblog import ACTIVE, STALE_SECONDS, TERMINAL, TERMINAL_TTL
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,18 +35,52 @@ def _in_order(rows):
     return pd.concat(list(rows)).sort_values(["ts", "event_id"])
 
 
-class _Lifecycle(StatefulProcessor):
+class _Forgetting(StatefulProcessor):
+    """A processor whose key leaves the state ``keep_ms`` after its last entry, in event time."""
+
+    keep_ms: int | None = None
+
+    def init(self, handle) -> None:
+        self.handle = handle
+
+    def remember(self, last_us: int) -> None:
+        """Move the key's one timer to ``keep_ms`` after the entry."""
+        if self.keep_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            # A timer fires when the watermark reaches it: one more, as silence must exceed the limit.
+            self.handle.registerTimer(last_us // 1000 + self.keep_ms + 1)
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Lifecycle(_Forgetting):
     """pending, running, terminal; entries out of turn change nothing."""
 
+    def __init__(self, keep_seconds: int | None):
+        self.keep_ms = None if keep_seconds is None else keep_seconds * 1000
+
     def init(self, handle) -> None:
+        super().init(handle)
         self.status = handle.getValueState("status", "status STRING")
 
+    def forget(self) -> None:
+        self.status.clear()
+
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         current = self.status.get()[0] if self.status.exists() else None
-        moves = []
-        for r in _in_order(rows).itertuples():
+        moves, ordered = [], _in_order(rows)
+        for r in ordered.itertuples():
             legal = (
                 (current is None and r.status == "pending")
                 or (current == "pending" and r.status == "running")
@@ -57,31 +91,115 @@ class _Lifecycle(StatefulProcessor):
                 current = r.status
         if moves:
             self.status.update((current,))
+        self.remember(ordered["ts"].iloc[-1].value // 1000)
         yield pd.DataFrame(
             moves, columns=["job_id", "from_status", "to_status", "ts", "event_id"]
         )
 
-    def close(self) -> None:
-        pass
+
+def _mode(delay: str | None) -> str:
+    return "None" if delay is None else "EventTime"
 
 
-def stream_job_state(events: DataFrame) -> DataFrame:
-    """One row per legal transition of every job (T3); state is one status per job."""
+def stream_job_state(
+    events: DataFrame, delay: str | None = None, keep_seconds: int = TERMINAL_TTL
+) -> DataFrame:
+    """One row per legal transition of every job (T3); state is one status per job.
+
+    With a watermark ``delay`` a job leaves the state ``keep_seconds`` after its
+    last entry; entries that come later than the watermark are not seen.
+    Without one every job is remembered and no entry is too late.
+    """
+    if delay is not None:
+        events = events.withWatermark("ts", delay)
     schema = "job_id STRING, from_status STRING, to_status STRING, ts TIMESTAMP, event_id BIGINT"
     return (
         events.select("job_id", "status", F.col("ts").cast("timestamp").alias("ts"), "event_id")
         .groupBy("job_id")
-        .transformWithStateInPandas(_Lifecycle(), schema, outputMode="Append", timeMode="None")
+        .transformWithStateInPandas(
+            _Lifecycle(None if delay is None else keep_seconds), schema,
+            outputMode="Append", timeMode=_mode(delay),
+        )
     )
 
 
-def _limiter(max_requests: int, window_seconds: int):
+class _Silent(_Forgetting):
+    """Reports a job that has had no entry for ``keep_ms``, then forgets it."""
+
+    def __init__(self, seconds: int, statuses: tuple[str, ...] | None):
+        self.keep_ms, self.statuses = seconds * 1000, statuses
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "us BIGINT, status STRING")
+
+    def forget(self) -> None:
+        self.last.clear()
+
+    def _frame(self, found):
+        import pandas as pd
+
+        frame = pd.DataFrame(found, columns=["job_id", "status", "since"])
+        return frame.assign(since=pd.to_datetime(frame["since"], unit="us"))
+
+    def _watched(self, last) -> bool:
+        return last is not None and (self.statuses is None or last[1] in self.statuses)
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, found = (self.last.get() if self.last.exists() else None), []
+        for r in _in_order(rows).itertuples():
+            at = r.ts.value // 1000
+            if last is not None and at < last[0]:
+                continue
+            if self._watched(last) and at - last[0] > self.keep_ms * 1000:
+                found.append((key[0], last[1], last[0]))
+            last = (at, r.status)
+        self.last.update(last)
+        self.remember(last[0])
+        yield self._frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = self.last.get() if self.last.exists() else None
+        if self._watched(last):
+            yield self._frame([(key[0], last[1], last[0])])
+        self.forget()
+
+
+def _silent(events: DataFrame, seconds: int, statuses, delay: str) -> DataFrame:
+    return (
+        events.select("job_id", "status", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+        .withWatermark("ts", delay)
+        .groupBy("job_id")
+        .transformWithStateInPandas(
+            _Silent(seconds, statuses), "job_id STRING, status STRING, since TIMESTAMP",
+            outputMode="Append", timeMode="EventTime",
+        )
+    )
+
+
+def stream_stale_jobs(events: DataFrame, ttl: int = STALE_SECONDS, delay: str = "0 seconds") -> DataFrame:
+    """Active jobs without progress for ``ttl`` seconds of event time (T5): job_id, status, since."""
+    return _silent(events, ttl, ACTIVE, delay)
+
+
+def stream_expire_jobs(events: DataFrame, ttl: int = TERMINAL_TTL, delay: str = "0 seconds") -> DataFrame:
+    """Jobs whose time to live has passed since their last entry (T4), as they leave the state."""
+    return _silent(events, ttl, None, delay)
+
+
+def _limiter(max_requests: int, window_seconds: int, forgets: bool):
     span = window_seconds * 1_000_000
 
-    class Limiter(StatefulProcessor):
+    class Limiter(_Forgetting):
         """Accepted times of the last window, at most ``max_requests`` of them."""
 
+        keep_ms = window_seconds * 1000 if forgets else None
+
+        def forget(self) -> None:
+            self.log.clear()
+
         def init(self, handle) -> None:
+            super().init(handle)
             self.log = handle.getListState("accepted", "t BIGINT")
 
         def handleInputRows(self, key, rows, timerValues):
@@ -89,7 +207,8 @@ def _limiter(max_requests: int, window_seconds: int):
 
             kept = [t[0] for t in self.log.get()] if self.log.exists() else []
             out = []
-            for r in _in_order(rows).itertuples():
+            ordered = _in_order(rows)
+            for r in ordered.itertuples():
                 kept = [t for t in kept if t > r.t - span]
                 ok = len(kept) < max_requests
                 if ok:
@@ -99,18 +218,23 @@ def _limiter(max_requests: int, window_seconds: int):
                 self.log.put([(t,) for t in kept])
             else:
                 self.log.clear()
+            self.remember(int(ordered["t"].iloc[-1]))
             yield pd.DataFrame(out, columns=["key", "event_id", "allowed"])
 
-        def close(self) -> None:
-            pass
-
     return Limiter()
 
 
 def stream_rate_limit(
-    events: DataFrame, key: str, max_requests: int = 5, window_seconds: int = 60
+    events: DataFrame, key: str, max_requests: int = 5, window_seconds: int = 60,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Sliding-log decisions on a stream (T6); the state holds accepted times only."""
+    """Sliding-log decisions on a stream (T6); the state holds accepted times only.
+
+    With a watermark ``delay`` a key leaves the state one window after its last
+    request; requests later than the watermark are not seen.
+    """
+    if delay is not None:
+        events = events.withWatermark("ts", delay)
     return (
         events.select(
             F.col(key).cast("string").alias("key"), "event_id",
@@ -119,7 +243,8 @@ def stream_rate_limit(
         )
         .groupBy("key")
         .transformWithStateInPandas(
-            _limiter(max_requests, window_seconds), "key STRING, event_id BIGINT, allowed BOOLEAN",
-            outputMode="Append", timeMode="None",
+            _limiter(max_requests, window_seconds, delay is not None),
+            "key STRING, event_id BIGINT, allowed BOOLEAN",
+            outputMode="Append", timeMode=_mode(delay),
         )
     )

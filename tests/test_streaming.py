@@ -1,6 +1,7 @@
 """Streams over several micro-batches against their batch twins."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bitextra.operators.joblog import lifecycle, rate_limit
@@ -52,6 +53,40 @@ def test_rate_limit_over_batches(spark, arriving):
     )
 
 
+@pytest.mark.parametrize("seconds", [9000, 40000])
+def test_silent_jobs_over_batches(spark, arriving, seconds):
+    base, folder = arriving
+    with state.rocksdb(spark):
+        got = logs.run_available(state.stream_stale_jobs(stream(spark, folder), seconds)).collect()
+    order = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    newest = base.agg(F.max("ts")).first()[0]
+    exp = base.withColumn("next", F.coalesce(F.lead("ts").over(order), F.lit(newest))).filter(
+        F.col("status").isin("pending", "running")
+        & (F.unix_timestamp("next") - F.unix_timestamp("ts") > seconds)
+    )
+    assert {(r.job_id, r.status, r.since) for r in got} == {(r.job_id, r.status, r.ts) for r in exp.collect()}
+
+
+def test_state_is_forgotten(spark, tmp_path):
+    """With a watermark a job that was silent for long starts anew; without one it is remembered."""
+    start = 1700000000
+    rows = [(0, 0, "a", "pending"), (1, 100_000, "b", "pending"), (2, 200_000, "b", "running"),
+            (3, 300_000, "a", "pending"), (4, 300_100, "a", "running")]
+    for e, at, job, status in rows:
+        spark.createDataFrame([(e, start + at, job, status)], "event_id LONG, t LONG, job_id STRING, status STRING").select(
+            "event_id", F.timestamp_seconds("t").alias("ts"), "job_id", "status"
+        ).coalesce(1).write.mode("append").json(str(tmp_path))
+    with state.rocksdb(spark):
+        anew = logs.run_available(state.stream_job_state(stream(spark, str(tmp_path)), "1 minute", 50_000))
+        once = logs.run_available(state.stream_job_state(stream(spark, str(tmp_path))))
+        limited = logs.run_available(
+            state.stream_rate_limit(stream(spark, str(tmp_path)), "job_id", 1, 150, "1 minute"))
+    opened = "job_id = 'a' AND from_status IS NULL"
+    assert {r.event_id for r in anew.filter(opened).collect()} == {0, 3}
+    assert {r.event_id for r in once.filter(opened).collect()} == {0}
+    assert {r.event_id: r.allowed for r in limited.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
 def test_days_and_duplicates_over_batches(spark, arriving):
     base, folder = arriving
     days = logs.latest(logs.run_available(logs.retain_days(stream(spark, folder)), "update"), ["log_date"])
