@@ -28,18 +28,25 @@ def _single(c: Column) -> Column:
 
 
 def _longest_prefix(c: Column) -> Column:
-    """The longest prefix ending in a brace that parses after repair."""
-    def prefixes(parts: Column) -> Column:
+    """The longest prefix ending in a brace that parses after repair.
+
+    Prefixes are tried from the longest on; once one parses no other is built.
+    """
+    def longest(parts: Column) -> Column:
         ends = F.slice(F.sequence(F.lit(1), F.size(parts)), F.lit(1), F.size(parts) - 1)
-        return F.transform(
-            F.reverse(ends),
-            lambda n: _single(
+
+        def attempt(n: Column) -> Column:
+            return _single(
                 repair_json(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "}"), F.lit("}")))
-            ),
+            )
+
+        return F.aggregate(
+            F.reverse(ends),
+            F.try_parse_json(F.lit("")),
+            lambda found, n: F.when(found.isNotNull(), found).otherwise(attempt(n)),
         )
 
-    found = let(F.split(c, r"\}", -1), prefixes)
-    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
+    return let(F.split(c, r"\}", -1), longest)
 
 
 def response_columns(content: str) -> list[tuple[str, Column]]:
