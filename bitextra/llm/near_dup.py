@@ -3,31 +3,36 @@
 One pass hashes the shingles of every text; a single permutation fills BINS
 bins with their minima and empty bins borrow from full ones by optimal
 densification (every empty bin walks its own hashed sequence of bins). Texts
-with the same set are one class. Bands of ROWS bins are buckets; each bucket
+with the same set are one class. Bands of eight bins are buckets; each bucket
 offers only the pairs (its smallest class, member), so a bucket of n classes
-costs n - 1 pairs. Candidates are confirmed on the full shingle sets. Linked
-classes are joined to components; buckets that still hold several components
-then offer the pairs between classes outside their largest component and the
-others, so no link is lost to the star shape and no group is expanded.
+costs n - 1 pairs. Candidates whose sketches allow it are confirmed on the
+full shingle sets. Linked classes are joined to components; buckets that still
+hold several components then offer the pairs between classes outside their
+largest component and the others, so no link is lost to the star shape and no
+group is expanded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
 from .words import blocks, grams, mix, word_table
 
-# A pair at similarity 0.8 misses all bands with probability (1 - 0.8**5)**40 = 1.2e-7.
-ROWS = 5
-BANDS = 40
-BINS = ROWS * BANDS
+# A band is half a sketch word: eight bins, four bits each. A pair at similarity 0.8 misses all
+# bands with probability (1 - 0.8125**8)**72 = 3e-7; one at 0.4 meets in a tenth of the cases.
+BANDS = 72
+BINS = 16 * BANDS
+# Standard deviations of the sketches' disagreement that a true pair may lie off.
+SKETCH_SLACK = 5.0
+# Sketch words compared first; most false candidates end there.
+FIRST_WORDS = 12
 
-_SIGNED = "row_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+_SIGNED = "row_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>"
 
 
 def _densify(sets: list[np.ndarray]) -> np.ndarray:
@@ -56,7 +61,7 @@ def _densify(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, text: str = "text", row_id: str = "_row") -> DataFrame:
-    """Set size, 128-bit set identity and band keys of every row; no text is shuffled."""
+    """Set size, 128-bit set identity and sketch of every row; no text is shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -75,15 +80,14 @@ def signatures(docs: DataFrame, words: int, text: str = "text", row_id: str = "_
                     else:
                         sets.append(np.empty(0, np.uint64))
                 some = [i for i, s in enumerate(sets) if len(s)]
-                bands: list = [[] for _ in sets]
+                sketch: list = [[] for _ in sets]
                 if some:
-                    low = _densify([sets[i] for i in some]).reshape(len(some), BANDS, ROWS)
-                    keys = np.zeros((len(some), BANDS), np.uint64)
-                    for k in range(ROWS):
-                        keys = mix(keys * np.uint64(31) + low[:, :, k])
-                    keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-                    for i, row in zip(some, keys.astype(np.int64), strict=True):
-                        bands[i] = row
+                    bins = (_densify([sets[i] for i in some]) >> np.uint64(20)) & np.uint64(15)
+                    packed = np.zeros((len(some), BANDS), np.uint64)
+                    for k in range(16):
+                        packed |= bins[:, k * BANDS : (k + 1) * BANDS] << np.uint64(4 * k)
+                    for i, row in zip(some, packed.astype(np.int64), strict=True):
+                        sketch[i] = row
                 hi = [int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)) if len(s) else 0 for s in sets]
                 lo = [int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -92,9 +96,9 @@ def signatures(docs: DataFrame, words: int, text: str = "text", row_id: str = "_
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(hi, pa.int64()),
                         pa.array(lo, pa.int64()),
-                        pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(sketch, pa.list_(pa.int64())),
                     ],
-                    names=["row_id", "n_shingles", "set_hi", "set_lo", "bands"],
+                    names=["row_id", "n_shingles", "set_hi", "set_lo", "sketch"],
                 )
 
     return docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInArrow(run, _SIGNED)
@@ -156,33 +160,30 @@ def near_duplicates(
     filled = signed.filter((F.col("n_shingles") > 0) & F.col("row_id").isNotNull())
     classes = cut_lineage(
         filled.groupBy("set_hi", "set_lo", "n_shingles").agg(
-            F.min("row_id").alias("class"), F.min_by("bands", "row_id").alias("bands")
+            F.min("row_id").alias("class"),
+            F.min_by("sketch", "row_id").alias("sketch"),
         )
     )
-    buckets = cut_lineage(
-        classes.select(F.col("class"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-        .join(
-            classes.select(F.explode("bands").alias("key"))
-            .groupBy("key")
-            .agg(F.count(F.lit(1)).alias("members"))
-            .filter(F.col("members") > 1)
-            .select("key"),
-            "key",
-        )
+    keys = classes.select("class", F.explode(_band_keys(F.col("sketch"))).alias("key"))
+    shared = (
+        classes.select(F.explode(_band_keys(F.col("sketch"))).alias("key"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+        .filter(F.col("members") > 1).select("key")
     )
-    centres = buckets.groupBy("key").agg(F.min_by(F.struct("class", "n"), "class").alias("c"))
-    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    facts = classes.select("class", F.col("n_shingles").alias("n"), "sketch")
+    buckets = cut_lineage(keys.join(shared, "key"))
+    centres = buckets.groupBy("key").agg(F.min("class").alias("a"))
+    pairs = buckets.join(centres, "key").filter(F.col("class") != F.col("a")).select("class", "a").distinct()
+    centre = facts.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"))
     stars = cut_lineage(
-        buckets.join(centres.select("key", F.col("c.class").alias("a"), F.col("c.n").alias("m")), "key")
-        .filter((F.col("class") != F.col("a")) & fits)
+        pairs.join(facts, "class").join(centre, "a").filter(_may_link(percent))
         .select("a", F.col("class").alias("b"))
-        .distinct()
     )
     used = stars.select(F.col("a").alias("class")).union(stars.select(F.col("b").alias("class"))).distinct()
     by_class = rows.select(F.col("doc_id").alias("class"), "text")
     links = cut_lineage(confirm(stars, _texts(by_class, used), words, percent))
     found = connected_components(links)
-    more = _between_components(buckets, found, stars, fits)
+    more = _between_components(buckets, facts, found, stars, percent)
     if not more.isEmpty():
         used = more.select(F.col("a").alias("class")).union(more.select(F.col("b").alias("class"))).distinct()
         extra = cut_lineage(confirm(more, _texts(by_class, used), words, percent))
@@ -202,16 +203,51 @@ def near_duplicates(
     return out
 
 
+def _band_keys(sketch: Column) -> Column:
+    """One key per band: its number and the lower half of its sketch word."""
+    return F.transform(
+        sketch, lambda x, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    )
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Bins of a sketch word in which two sets differ."""
+    d = x.bitwiseXOR(y)
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111).cast("long")))
+
+
+def _may_link(percent: int) -> Column:
+    """Sizes allow the similarity, and the sketches do not speak against it."""
+    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    same = percent / 100
+    rate = (1 - same) * 15 / 16
+
+    def at_most(bins: int) -> Column:
+        # A sketch of more bins than shingles lists nearly all of them, weighted unevenly.
+        variance = same * (1 - same) * F.greatest(0.2 / F.least("n", "m"), F.lit(1 / bins))
+        return bins * (F.lit(rate) + SKETCH_SLACK * F.sqrt(variance))
+
+    first = F.lit(0)
+    for k in range(FIRST_WORDS):
+        first = first + _differing(F.get("sketch", F.lit(k)), F.get("other_sketch", F.lit(k)))
+    every = F.aggregate(F.zip_with("sketch", "other_sketch", _differing), F.lit(0), lambda p, q: p + q)
+    return sizes & (first <= at_most(16 * FIRST_WORDS)) & (every <= at_most(BINS))
+
+
 def _texts(by_class: DataFrame, used: DataFrame) -> DataFrame:
     """One text of each class that takes part."""
     return by_class.join(used, "class", "left_semi")
 
 
-def _between_components(buckets, found, stars, fits) -> DataFrame:
+def _between_components(buckets, facts, found, stars, percent) -> DataFrame:
     """Untested pairs of bucket mates in different components, never within one.
 
     In every bucket the classes outside its largest component (few, as stars
-    have joined the rest) meet the classes of other components.
+    have joined the rest) meet the classes of other components. The sketches
+    are compared within the join, and a pair comes out of its first common
+    bucket only, so few pairs leave it however large the bucket.
     """
     labels = found.select(F.col("id").alias("class"), "component")
     held = buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -223,10 +259,17 @@ def _between_components(buckets, found, stars, fits) -> DataFrame:
         held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         .groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
     )
-    outside = held.join(largest, "key").filter(F.col("component") != F.col("largest"))
-    mates = held.select("key", F.col("class").alias("other"), F.col("n").alias("m"), F.col("component").alias("oc"))
-    met = outside.join(mates, "key").filter((F.col("component") != F.col("oc")) & fits)
-    pairs = met.select(
-        F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")
-    ).distinct()
+    outside = held.join(largest, "key").filter(F.col("component") != F.col("largest")).join(facts, "class")
+    mates = held.join(facts, "class").select(
+        F.col("key").alias("other_key"), F.col("class").alias("other"), F.col("n").alias("m"),
+        F.col("sketch").alias("other_sketch"), F.col("component").alias("oc"),
+    )
+    half = F.lit(0xFFFFFFFF).cast("long")
+    agree = F.zip_with("sketch", "other_sketch", lambda x, y: x.bitwiseXOR(y).bitwiseAND(half) == 0)
+    first = F.array_position(agree, F.lit(True)) - 1 == F.shiftright("key", 32)
+    met = outside.join(
+        mates,
+        (F.col("key") == F.col("other_key")) & (F.col("component") != F.col("oc")) & _may_link(percent) & first,
+    )
+    pairs = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     return cut_lineage(pairs.join(stars, ["a", "b"], "left_anti"))
