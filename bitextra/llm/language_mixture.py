@@ -63,7 +63,8 @@ def learn(
     # A hash below the share that each label needs: no label's rows meet in a task.
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
     share = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = labelled.join(counts, "lang").filter(share * F.col("total") < per_language).select("lang", "text")
+    # One row per language, and the model that travels has a column for each.
+    sample = labelled.join(F.broadcast(counts), "lang").filter(share * F.col("total") < per_language).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
