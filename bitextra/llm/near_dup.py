@@ -29,6 +29,8 @@ BANDS = 72
 BINS = 16 * BANDS
 # Standard deviations of the sketches' disagreement that a true pair may lie off.
 SKETCH_SLACK = 5.0
+# Bits of the fixed bitmap that tells which texts may take part in a confirmation (2 MB).
+FILTER_BITS = 24
 # Sketch words compared first; most false candidates end there.
 FIRST_WORDS = 12
 
@@ -237,8 +239,28 @@ def _may_link(percent: int) -> Column:
 
 
 def _texts(by_class: DataFrame, used: DataFrame) -> DataFrame:
-    """One text of each class that takes part."""
-    return by_class.join(used, "class", "left_semi")
+    """The texts of the classes that take part, written once.
+
+    A bitmap of hashed ids, of fixed size whatever their number, is sent to
+    the texts first; only those that may take part are shuffled for the join.
+    """
+    at = F.pmod(F.xxhash64(F.col("class")), F.lit(1 << FILTER_BITS))
+    words = used.groupBy(F.shiftright(at, 6).alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(class), {1 << FILTER_BITS}) % 64 AS INT))")).alias("bits")
+    ).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            where = batch.column(2).to_numpy()
+            hit = (bitmap[where >> 6].view(np.uint64) >> (where & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select(["class", "text"])
+
+    near = by_class.select("class", "text", at.alias("at")).filter("class IS NOT NULL").mapInArrow(
+        run, "class long, text string"
+    )
+    return cut_lineage(near.join(used, "class", "left_semi"))
 
 
 def _between_components(buckets, facts, found, stars, percent) -> DataFrame:
