@@ -2,9 +2,11 @@
 
 A text is read as its words (A-Z counted as a-z) with single blanks between.
 Signatures are regular expressions over that form, written by family and by
-wording; each has keywords, a priority and a weight. A text without any gate
-word is not looked at further; of the others only the signatures of which a
-keyword occurs are tried. Detections are word intervals: one that lies inside an
+wording; each has keywords, a priority and a weight. The gate is made of these
+keywords and reads the same form, so no separator and no name escapes it: a text
+without any keyword is not looked at further; of the others only the signatures
+of which a keyword occurs are tried. Base phrases do not pass the gate but a
+test of their own. Detections are word intervals: one that lies inside an
 interval of the same or a higher priority is suppressed. Everything happens
 within the row, so nothing is shuffled and no source can be hot.
 """
@@ -98,16 +100,9 @@ TEXTS = (
     ("copyright", r"(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", 1, 0.6, "vorbehalten|droits|derechos"),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 2, 0.8, "proprietary"),
     ("proprietary", r"unauthori[sz]ed (?:copying|use|distribution) .{0,60}?(?:prohibited|forbidden)", 2, 0.8, "unauthori"),
-    ("no-derivatives", r"(?:may not|must not) be (?:reproduced|redistributed|copied)", 2, 0.7, "not be"),
+    ("no-derivatives", r"(?:may not|must not) be (?:reproduced|redistributed|copied)", 2, 0.7, "not be reproduced|not be redistributed|not be copied"),
     ("non-commercial", r"(?:for )?non ?commercial use only", 2, 0.8, "commercial"),
 )
-# Words of which a text with any license holds at least one.
-GATE = (
-    r"(?i)licen[cs]|copyright|spdx|\bcc0|cc.{1,3}by|creative.commons|public.domain|[a-z]?gpl|gfdl|cddl|cecill|eupl|mpl"
-    r"|odbl|sspl|wtfpl|pddl|bsd|reserved|vorbehalten|réservés|reservados|permission|redistribut|proprietary"
-    r"|unauthori|commercial|apache|zlib|open data commons|attribution|not.be.(?:reproduced|redistributed|copied)"
-    r"|unencumbered|neither.the.name|free.software|source.code.form|provided.as.is|compliance"
-)
 LEVELS = 4
 
 
@@ -122,6 +117,14 @@ def signatures() -> list[tuple[str, str, int, float, str]]:
     return [(k, rf"(?i)(?<= )(?:{body})(?= )", p, w, label) for k, body, p, w, label in out]
 
 
+def gate() -> str:
+    """A pattern over the word form that finds any keyword, grouped by first letters."""
+    by_first: dict[str, list[str]] = {}
+    for key in sorted({k for keys, *_ in signatures() for k in keys.split("|")}):
+        by_first.setdefault(key[0], []).append(key[1:])
+    return "(?i)" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+
+
 def word_form(text: Column) -> Column:
     """The words with a blank before, between and after; one blank for none."""
     return F.concat(F.lit(" "), F.ltrim(F.concat(F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))))
@@ -235,13 +238,13 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in results]
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(_FOUND)
-    shaped = docs.select(*kept, word_form(body).alias("_words"), body.rlike(GATE).alias("_gate"))
+    shaped = docs.select(*kept, word_form(body).alias("_words"))
     found = shaped.withColumns(
         {
             "n_words": (_blanks(F.col("_words")) - 1).cast("long"),
-            "base": F.when(F.col("_gate"), _base(F.col("_words"))).otherwise(none),
+            "base": _base(F.col("_words")),
             "detections": F.when(
-                F.col("_gate"), _unsuppressed(_detections(F.col("_words"), F.lower(F.col("_words"))))
+                F.col("_words").rlike(gate()), _unsuppressed(_detections(F.col("_words"), F.lower(F.col("_words"))))
             ).otherwise(none),
         }
     )
@@ -254,4 +257,4 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             "labels": F.array_join(F.array_sort(F.array_distinct(labels)), ","),
             "score": F.coalesce(F.array_max(weights), F.lit(0.0)),
         }
-    ).drop("_words", "_gate")
+    ).drop("_words")

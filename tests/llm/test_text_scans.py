@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitextra.llm.decontaminate import Matcher, best_match, drop_leaks, leaks, masks_of
 from bitextra.llm.language_mixture import held_out, learn, predict
-from bitextra.llm.license_rules import find_licenses
+from bitextra.llm.license_rules import BASE, BASE_WEIGHT, FAMILIES, TEXTS, find_licenses, signatures
 from bitextra.llm.pii_bootstrap import KINDS, find_pii, joined, masked
 
 
@@ -100,6 +100,59 @@ def test_license_base_and_rules(spark):
     assert find_licenses(empty(spark)).count() == 0
 
 
+def forms(pattern):
+    """Texts of a pattern: every alternative, optional parts left out and put in."""
+
+    def texts(nodes):
+        out = [""]
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                ends = [chr(arg)]
+            elif name == "IN":
+                ends = ["f" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else chr(arg[0][1][0])]
+            elif name == "BRANCH":
+                ends = [t for branch in arg[1] for t in texts(branch)]
+            elif name == "SUBPATTERN":
+                ends = texts(arg[3])
+            elif name == "ANY":
+                ends = ["x"]
+            else:  # repeats
+                low, high, body = arg
+                ends = [t * n for n in sorted({low, min(high, max(low, 1))}) for t in texts(body)]
+            out = [a + b for a in out for b in ends]
+        return out
+
+    return texts(list(re._parser.parse(pattern)))
+
+
+def license_labels(text):
+    """Labels and score by every signature over the words, without gate and keywords."""
+    body = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text)) + " "
+    found = []
+    for _, pattern, priority, weight, label in signatures():
+        for m in re.finditer(pattern, body, re.ASCII):
+            found.append((m.start(), -m.end(), -priority, label, weight))
+    found.sort()
+    kept = [x for i, x in enumerate(found) if not any(y[2] <= x[2] and y[1] <= x[1] for y in found[:i])]
+    _, _, base = license_base(text)
+    names = {x[3] for x in kept} | set(base.split(",")) - {""}
+    return ",".join(sorted(names)), max([x[4] for x in kept] + [BASE_WEIGHT] * bool(base) + [0.0])
+
+
+def test_license_separators(spark):
+    names = [n for _, spdx, name, _ in FAMILIES for n in [*forms(name), *["spdx license identifier " + x for x in forms(spdx)]]]
+    names += [p for p, _ in BASE] + [n for _, p, *_ in TEXTS for n in forms(p)]
+    texts = [gap.join(n.split()) for n in names for gap in (" ", "\n", "\r\n", " " * 4, " -- ", ".\t\n * ")]
+    texts += [f"x {lead} {n.translate({c: c - 32 for c in range(97, 123)})} license" for n in names for lead in ("licensed under the terms of the", "governed\nby")]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in find_licenses(frame(spark, rows)).select("doc_id", "n_words", F.transform("base", lambda x: x["start"]).alias("at"), "base_labels", "labels", "score").collect()}
+    for i, t in rows:
+        assert (got[i]["n_words"], got[i]["at"], got[i]["base_labels"]) == license_base(t), t
+        assert (got[i]["labels"], got[i]["score"]) == license_labels(t), t
+        assert got[i]["labels"], t
+
+
 def sellers(pattern, text):
     row, best = list(range(len(pattern) + 1)), (len(pattern), 0)
     for j, c in enumerate(text):
