@@ -117,7 +117,7 @@ def _uses(text: Column) -> Column:
         F.transform(_matches(text, every), use),
         lambda u: (u["pattern"] != "") & (F.length(u["instance"]) >= 6),
     ).cast(kind)
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(kind))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(kind))
 
 
 def score_patterns(uses: DataFrame, totals: DataFrame) -> DataFrame:
@@ -169,14 +169,16 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             F.monotonically_increasing_id().alias("_pii_row"),
             base_spans(body).alias("base"),
             _uses(body).alias("_pii_uses"),
-            # Words of texts with identifiers, to weigh patterns against all uses of their word.
-            F.when(body.rlike("[0-9]"), F.split(F.lower(body), r"[^\p{L}]+")).alias("_pii_words"),
         )
     )
     uses = read.select("_pii_row", F.explode("_pii_uses").alias("u")).select(
         "_pii_row", "u.*", F.regexp_extract("u.pattern", r"^(\p{L}+)", 1).alias("word")
     )
-    words = read.select(F.explode("_pii_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    # All texts count, to weigh patterns against all uses of their word; only sums are shuffled.
+    texts = read if text in kept else docs
+    words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("total")
+    )
     good = score_patterns(uses, words).filter(
         (F.col("confidence") >= MIN_CONFIDENCE) & (F.col("instances") >= MIN_INSTANCES)
     )

@@ -61,6 +61,21 @@ def test_pii_bootstraps_contexts_and_masks(spark):
     assert got[91]["s"] == ""
 
 
+def test_pii_counts_words_of_all_texts(spark):
+    rows = [(i, f"see code: AB-55{i}77Z and contact: jo{'abcdefghij'[i]}.doe@mail.org") for i in range(6)]
+    rows += [(20 + i, f"code: {c}") for i, c in enumerate(["10.0.0.7", "10.0.0.8", "10.0.0.9", "10.1.0.1", "10.2.0.1", "10.3.0.1"] * 3)]
+    # Addresses without digits, in texts without digits, make "owner= " a context.
+    rows += [(60 + i, f"owner= {'abcdefghij'[i]}bcd.doe@mail.org") for i in range(8)] + [(70, "owner= QX77812 here")]
+
+    def contexts(more):
+        out = find_pii(frame(spark, rows + more)).select("doc_id", joined(F.col("spans")).alias("s")).collect()
+        return {r["doc_id"] for r in out if "context" in r["s"]}
+
+    assert contexts([]) == {0, 1, 2, 3, 4, 5, 70}
+    # The word alone, in texts without any digit, makes it common.
+    assert contexts([(200 + i, "the code of the code is code") for i in range(40)]) == {70}
+
+
 def test_pii_mask_merges_overlaps(spark):
     df = spark.createDataFrame([("0123456789",)], "text string").withColumn(
         "spans", F.expr("array(struct(1 AS start, 2 AS kind, 4 AS end), struct(2 AS start, 3 AS kind, 6 AS end), struct(2 AS start, 0 AS kind, 3 AS end), struct(8 AS start, 1 AS kind, 10 AS end))")
