@@ -14,6 +14,7 @@ powers of two, so at most one window per task is padded.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,14 +49,31 @@ PIECES = pa.schema(
 )
 
 
+def contract_tokenizer() -> str:
+    """The file whose ids the queries give."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file: found within texts, whatever stands around them."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    for token in added:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} looks at its surroundings")
+    return {token["content"]: token["id"] for token in added}
+
+
 @lru_cache(maxsize=2)
-def load_encoding(ranks_path: str, pattern: str):
-    """The byte-level vocabulary; special strings in a text are ordinary text."""
+def load_encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """The byte-level vocabulary; ``added`` are the strings that are one token wherever they stand."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 class _Packer:
@@ -134,17 +152,20 @@ class _Packer:
         return pa.RecordBatch.from_arrays(arrays, names=PIECES.names[: len(arrays)])
 
 
-def _pack(batches, ranks_path, pattern, tiers, with_ids) -> Iterator[pa.RecordBatch]:
+def _pack(batches, ranks_path, pattern, added, tiers, with_ids) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoding = load_encoding(ranks_path, pattern)
+    encoding = load_encoding(ranks_path, pattern, added)
     packer = _Packer(TaskContext.get().partitionId() << 33, tiers)
     end = np.array([END_ID], "<u4")
     for batch in batches:
         rows, texts = batch.column(0), batch.column(1)
         for i in range(batch.num_rows):
             body = texts[i].as_py() or ""
-            ids = np.array(encoding.encode_ordinary(body), "<u4")
+            some = any(token in body for token, _ in added)
+            # encode() parts the text at its added tokens, as the tokenizer file does.
+            found = encoding.encode(body, allowed_special="all") if some else encoding.encode_ordinary(body)
+            ids = np.array(found, "<u4")
             packer.add(rows[i].as_py(), np.concatenate([ids, end]))
             if len(packer.rows) >= ROWS_PER_BATCH:
                 yield packer.flush(with_ids)
@@ -160,9 +181,13 @@ def pack(
     id_column: str = "doc_id",
     tiers: tuple[int, ...] = TIERS,
     with_ids: bool = True,
+    tokenizer_path: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document: where it starts, its ids and its place.
 
+    With ``tokenizer_path`` ids are those of that file at its defaults: its
+    added tokens are one id wherever a text holds them. Without it there are
+    no added tokens, and their strings are ordinary text.
     A document is the ids of its text (null: empty) and then END_ID, so every
     row has at least one id; an empty table gives no rows. Rows with equal or
     null document ids are documents of their own. Other columns of ``docs`` are
@@ -174,6 +199,7 @@ def pack(
 
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     shape = pattern or public_tokenizers.PATTERN
+    added = tuple(sorted(added_tokens(tokenizer_path).items())) if tokenizer_path else ()
     types = [T.LongType()] * 7 + [T.IntegerType(), T.LongType(), T.ArrayType(T.IntegerType())]
     fields = [T.StructField(n, t) for n, t in zip(PIECES.names, types, strict=True)]
     if not with_ids:
@@ -181,7 +207,7 @@ def pack(
     fields[0] = T.StructField(id_column, T.LongType())
 
     def run(batches):
-        for batch in _pack(batches, path, shape, tiers, with_ids):
+        for batch in _pack(batches, path, shape, added, tiers, with_ids):
             arrays = list(batch.columns)
             if with_ids:
                 arrays[-1] = arrays[-1].cast(pa.list_(pa.int32()))

@@ -14,7 +14,7 @@ from .decontaminate import leaks
 from .language_mixture import held_out, learn, predict
 from .license_rules import find_licenses
 from .near_dup import near_duplicates
-from .packing import pack
+from .packing import contract_tokenizer, pack
 from .pii_bootstrap import find_pii, joined
 from .sparse_suffix import repeated_passages
 
@@ -50,7 +50,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_tiered_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), with_ids=False, tokenizer_path=contract_tokenizer())
 
 
 NEAR_SQL = r"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bitextra.llm.decontaminate import drop_leaks
 from bitextra.llm.language_mixture import learn, predict
 from bitextra.llm.near_dup import near_duplicates
-from bitextra.llm.packing import pack
+from bitextra.llm.packing import contract_tokenizer, pack
 from bitextra.llm.pii_bootstrap import find_pii, masked
 
 # A text of which no language has this share is rejected, like one without letters.
@@ -58,7 +58,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document that is left, packed into training sequences."""
-    return pack(docs)
+    return pack(docs, tokenizer_path=contract_tokenizer())
 
 
 STAGES = [

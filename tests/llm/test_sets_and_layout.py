@@ -10,6 +10,7 @@ from bitextra.llm.byte_shards import assign_shards
 from bitextra.llm.components import connected_components
 from bitextra.llm.near_dup import near_duplicates
 from bitextra.llm.packing import pack
+from bitextra.llm.queries import QUERIES
 from bitextra.llm.sparse_suffix import repeated_passages
 
 
@@ -129,6 +130,24 @@ def test_packing_round_trip(spark):
     assert pack(empty(spark)).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f" {end}", f"a  {end}  b", f"it{end}'s 12{end}34", "<|endoftext", f"\n\n{end}\n", f"é {end}日本", f"<{end}>"]
+    frame(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()}
+    sums = {r["doc_id"]: r["ids_crc32"] for r in QUERIES["op9_tiered_packing"][0](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        assert got[i]["ids"] == ids and got[i]["doc_tokens"] == len(ids), t
+        assert got[i]["ids_crc32"] == sums[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_shards_are_level_and_gapless(spark):
     rng = random.Random(9)
     rows = [(r[0], r[1]) for r in odd_rows()]
