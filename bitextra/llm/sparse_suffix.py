@@ -2,9 +2,11 @@
 
 Of every window of MIN_WORDS words one position is retained, the one whose
 GRAM words hash lowest; the same passage retains the same positions wherever it
-stands. Retained suffixes are grouped by their first GRAM words and sorted by
-what follows; neighbours are compared and their match is extended to the right
-and to the left. Matches of MIN_WORDS words or more are the repeated passages.
+stands. Retained suffixes are grouped by their first GRAM words. Few of one
+group are sorted by what follows, and all of them are neighbours: each pair is
+compared, its match extended to the right and to the left. Of larger groups
+every window of MIN_WORDS words around each suffix is hashed and looked up.
+Matches of MIN_WORDS words or more are the repeated passages; none is lost.
 
 Suffixes with the same words around them (up to a whole window on either side)
 are one class, kept as a count: the inside of a copied text never reaches the
@@ -30,7 +32,8 @@ GRAM = 10
 # Words kept to the left and right of a retained position: all a window can hold.
 LEFT = MIN_WORDS - GRAM
 RIGHT = MIN_WORDS
-# Neighbours compared on either side in sorted order.
+# Neighbours compared on either side in sorted order; a key of more classes than
+# that goes by its windows.
 NEIGHBOURS = 8
 
 
@@ -95,12 +98,17 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 _CONTEXT = "key long, around long, low long, high long, right binary, left binary"
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words right and left of chosen suffixes, as byte strings that sort by word."""
+def _placed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of chosen suffixes, each with its suffixes."""
     per_row = wanted.groupBy("row").agg(
         F.collect_list(F.struct("key", "around", "low", "high", "pos")).alias("at")
     )
-    joined = docs.select("row", "text").dropDuplicates(["row"]).join(per_row, "row").select("text", "at")
+    return docs.select("row", "text").dropDuplicates(["row"]).join(per_row, "row").select("text", "at")
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words right and left of chosen suffixes, as byte strings that sort by word."""
+    joined = _placed(docs, wanted)
 
     def run(batches):
         for batch in batches:
@@ -126,6 +134,51 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, _CONTEXT)
 
 
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, key, around, low, high, l) of every window of MIN_WORDS words around chosen suffixes.
+
+    ``l`` words of the window stand before the suffix.
+    """
+    schema = "hash long, key long, around long, low long, high long, l int"
+
+    def run(batches):
+        for batch in batches:
+            for first, last, data in blocks(batch.column(0).to_pylist()):
+                hashes, _, _, owner = word_table(data)
+                keys, _ = grams(hashes, owner, MIN_WORDS)
+                lists = batch.column(1).slice(first, last - first)
+                key, around, low, high, pos = lists.flatten().flatten()
+                doc = np.repeat(np.arange(len(data)), lists.value_lengths().to_numpy())
+                begin, end = np.searchsorted(owner, doc, "left"), np.searchsorted(owner, doc, "right")
+                starts = (begin + pos.to_numpy())[:, None] - np.arange(LEFT + 1)
+                whole = (starts >= begin[:, None]) & (starts + MIN_WORDS <= end[:, None])
+                which, left = np.nonzero(whole)
+                if len(which):
+                    at = pa.array(which)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(keys[starts[whole]].astype(np.int64)), key.take(at), around.take(at),
+                            low.take(at), high.take(at), pa.array(left.astype(np.int32)),
+                        ],
+                        names=["hash", "key", "around", "low", "high", "l"],
+                    )
+
+    return _placed(docs, wanted).mapInArrow(run, schema)
+
+
+def _by_windows(windows: DataFrame) -> DataFrame:
+    """(key, around, l, r) of suffixes in windows that another document holds.
+
+    A window is one pre-aggregated row, however many hold it; what is shared
+    as a whole takes part, but needs no extension of its own.
+    """
+    held = windows.groupBy("hash").agg(F.min("low").alias("a"), F.max("high").alias("b"))
+    shared = held.filter(F.col("a") != F.col("b")).select("hash")
+    return windows.filter(F.col("low") == F.col("high")).join(shared, "hash").groupBy("key", "around").agg(
+        F.max("l").alias("l"), F.max(MIN_WORDS - F.col("l")).alias("r")
+    )
+
+
 # Bytes of a word in a context.
 _WORD = 6
 
@@ -201,11 +254,10 @@ def _extend(x: list, y: list) -> None:
             s[1], s[2] = max(s[1], left_words), max(s[2], r)
 
 
-def _neighbours(contexts: DataFrame, order: str) -> DataFrame:
-    """(key, around, l, r) of matches between neighbours in the order of ``right`` or ``left``."""
-    other = "left" if order == "right" else "right"
+def _neighbours(contexts: DataFrame) -> DataFrame:
+    """(key, around, l, r) of matches between neighbours; every pair of a key of few classes is met."""
     n = max(1, contexts.sparkSession.sparkContext.defaultParallelism)
-    tie = ["key", order, other, "around"]
+    tie = ["key", "right", "left", "around"]
     ordered = contexts.repartitionByRange(4 * n, *tie).sortWithinPartitions(*tie)
     found = cut_lineage(_compare(ordered))
     # The ends of the ranges: at most 2 * NEIGHBOURS rows of each task, whatever the size of the data.
@@ -237,10 +289,12 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     )
     many = counted.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")
-    ).filter((F.col("n") > 1) & (F.col("a") != F.col("b"))).select("key")
+    ).filter((F.col("n") > 1) & (F.col("a") != F.col("b"))).select("key", (F.col("n") > NEIGHBOURS + 1).alias("large"))
     edge = counted.join(many, "key").withColumn("row", F.col("low"))
-    contexts = cut_lineage(_contexts(source, edge.select("row", "key", "around", "low", "high", "pos")))
-    matched = _neighbours(contexts, "right").unionByName(_neighbours(contexts, "left"))
+    edge = cut_lineage(edge.select("row", "key", "around", "low", "high", "pos", "large"))
+    contexts = cut_lineage(_contexts(source, edge.filter("NOT large")))
+    windows = cut_lineage(_windows(source, edge.filter("large")))
+    matched = _neighbours(contexts).unionByName(_by_windows(windows))
     extents = matched.groupBy("key", "around").agg(F.max("l").alias("ml"), F.max("r").alias("mr"))
     settled = counted.filter("shared").select("key", "around", F.lit(True).alias("shared"))
     known = settled.join(extents, ["key", "around"], "full")

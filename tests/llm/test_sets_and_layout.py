@@ -100,6 +100,42 @@ def test_repeats_against_all_windows(spark):
     assert repeated_passages(empty(spark)).count() == 0
 
 
+def covered(rows):
+    """Words of each id that lie in a window of 50 words which another text holds too."""
+    distinct = {(i, t) for i, t in rows if t}
+    windows = defaultdict(set)
+    for i, t in distinct:
+        w = t.encode().lower().split()
+        for k in range(len(w) - 49):
+            windows[tuple(w[k : k + 50])].add((i, t))
+    true = defaultdict(set)
+    for i, t in distinct:
+        w = t.encode().lower().split()
+        true[i] |= {x for k in range(len(w) - 49) if len(windows[tuple(w[k : k + 50])]) > 1 for x in range(k, k + 50)}
+    return {i: c for i, c in true.items() if c}
+
+
+def test_repeats_among_crowds(spark):
+    rows, n = [], 0
+    for g in range(6):
+        left, middle, right = words(9000 + g, 15), words(9100 + g, 30), words(9200 + g, 15)
+        # 45 words are shared with a crowd on either side, 60 by two texts only.
+        texts = [f"{words(9300 + 2 * g + k, 45)} {left} {middle} {right} {words(9400 + 2 * g + k, 55)}" for k in range(2)]
+        texts += [f"{words(10_000 + 200 * g + k, 45)} {middle} {right} {words(20_000 + 200 * g + k, 55)}" for k in range(120)]
+        texts += [f"{words(30_000 + 200 * g + k, 45)} {left} {middle} {words(40_000 + 200 * g + k, 55)}" for k in range(120)]
+        rows += [(n + k, t) for k, t in enumerate(texts)]
+        n += len(texts)
+    # One text's own repeats stand around the copy of another.
+    passage = words(9900, 52)
+    inner = " ".join(f"{passage} {words(50_000 + k, 60)}" for k in range(60))
+    rows += [(n, inner), (n + 1, f"{words(9901, 60)} {passage} {words(9902, 60)}")]
+    got = defaultdict(set)
+    for r in repeated_passages(frame(spark, rows)).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    true = covered(rows)
+    assert len(true) == 14 and got == true
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
