@@ -68,7 +68,7 @@ STAGES = [
     ("personal_data", personal_data),
     ("packing", packing),
 ]
-# Mixture inference and packing have no SQL form; tests/llm holds the brute-force version.
+# Mixture inference and packing have no SQL form; tests/llm follows planted documents through the stages.
 ORACLE_SQL = None
 
 
