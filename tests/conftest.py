@@ -20,9 +20,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-def one(spark, expr, **values):
-    """Evaluate one expression over literal string columns."""
-    schema = ", ".join(f"{k} STRING" for k in values)
-    return spark.createDataFrame([tuple(values.values())], schema).select(expr.alias("r")).first()["r"]

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from helpers import words
+from llm_rows import words
 from test_sets_and_layout import edited
 
 

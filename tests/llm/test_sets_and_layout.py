@@ -3,7 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from helpers import empty, frame, odd_rows, words
+from llm_rows import empty, frame, odd_rows, words
 from pyspark.sql import functions as F
 
 from bitextra.llm.byte_shards import assign_shards

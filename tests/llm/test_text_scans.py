@@ -1,6 +1,6 @@
 import re
 
-from helpers import empty, frame, odd_rows, words
+from llm_rows import empty, frame, odd_rows, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 """Known inputs and the outcome they must have."""
 
 import pytest
-from conftest import one
+from expressions import one
 from pyspark.sql import functions as F
 
 from bitextra.functions import markup as K
