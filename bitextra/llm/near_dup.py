@@ -31,6 +31,8 @@ BINS = 16 * BANDS
 SKETCH_SLACK = 5.0
 # Bits of the fixed bitmap that tells which texts may take part in a confirmation (2 MB).
 FILTER_BITS = 24
+# Texts sketched together: each holds BINS values, however short it is.
+SKETCHED_TOGETHER = 256
 # Sketch words compared first; most false candidates end there.
 FIRST_WORDS = 12
 
@@ -62,8 +64,24 @@ def _densify(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, words: int, text: str = "text", row_id: str = "_row") -> DataFrame:
-    """Set size, 128-bit set identity and sketch of every row; no text is shuffled."""
+def _packed(sets: list[np.ndarray]) -> np.ndarray:
+    """Sketches of 16 bins a word, four bits each."""
+    bins = (_densify(sets) >> np.uint64(20)) & np.uint64(15)
+    packed = np.zeros((len(sets), BANDS), np.uint64)
+    for k in range(16):
+        packed |= bins[:, k * BANDS : (k + 1) * BANDS] << np.uint64(4 * k)
+    return packed.astype(np.int64)
+
+
+def signatures(
+    docs: DataFrame, words: int, percent: int, text: str = "text", row_id: str = "_row"
+) -> DataFrame:
+    """Set size, 128-bit set identity and sketch of every row; no text is shuffled.
+
+    A set so small that one foreign shingle takes it below ``percent`` (under
+    four shingles at 80) links with equal sets only, which its identity
+    settles; its sketch is empty.
+    """
 
     def run(batches):
         for batch in batches:
@@ -81,14 +99,11 @@ def signatures(docs: DataFrame, words: int, text: str = "text", row_id: str = "_
                         sets.append(mix(np.array([np.bitwise_xor.reduce(mix(hashes[a:b] + np.arange(1, b - a + 1, dtype=np.uint64))) + np.uint64(b - a)], np.uint64)))
                     else:
                         sets.append(np.empty(0, np.uint64))
-                some = [i for i, s in enumerate(sets) if len(s)]
+                some = [i for i, s in enumerate(sets) if len(s) and len(s) * (100 - percent) >= percent]
                 sketch: list = [[] for _ in sets]
-                if some:
-                    bins = (_densify([sets[i] for i in some]) >> np.uint64(20)) & np.uint64(15)
-                    packed = np.zeros((len(some), BANDS), np.uint64)
-                    for k in range(16):
-                        packed |= bins[:, k * BANDS : (k + 1) * BANDS] << np.uint64(4 * k)
-                    for i, row in zip(some, packed.astype(np.int64), strict=True):
+                for k in range(0, len(some), SKETCHED_TOGETHER):
+                    part = some[k : k + SKETCHED_TOGETHER]
+                    for i, row in zip(part, _packed([sets[i] for i in part]), strict=True):
                         sketch[i] = row
                 hi = [int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)) if len(s) else 0 for s in sets]
                 lo = [int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)) if len(s) else 0 for s in sets]
@@ -157,7 +172,7 @@ def near_duplicates(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")
     )
     rows = source.withColumn("_row", F.col("doc_id"))
-    signed = cut_lineage(signatures(rows, words))
+    signed = cut_lineage(signatures(rows, words, percent))
     # A class is one distinct set, named by its smallest document.
     filled = signed.filter((F.col("n_shingles") > 0) & F.col("row_id").isNotNull())
     classes = cut_lineage(
