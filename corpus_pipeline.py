@@ -23,9 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, table = learn(docs)
     if not names:
         return docs
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    judged = predict(keyed, names, table, keep=["_row"])
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("_row.*")
+    # Each text reaches Python once: the other columns ride in a struct beside it.
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    judged = predict(docs.select(rest, "text"), names, table, keep=["_row", "text"])
+    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return kept.select("_row.*", "text").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
