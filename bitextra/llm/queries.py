@@ -16,7 +16,9 @@ from .license_rules import find_licenses
 from .near_dup import near_duplicates
 from .packing import contract_tokenizer, pack
 from .pii_bootstrap import find_pii, joined
+from .scaled_sketch import document_fingerprints
 from .sparse_suffix import repeated_passages
+from .spelling_variants import spelling_variants
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
@@ -170,3 +172,54 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sparse_suffix_repeats")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _kept_hashes(words: str) -> str:
+    every = f"""list_transform(range(1, greatest(len({words}) - 4, 1) + 1),
+      lambda i: substr(md5(array_to_string({words}[i:i + 4], ' ')), 1, 16))"""
+    low = f"list_sort(list_distinct(list_filter({every}, lambda h: h < '2')))"
+    return f"CASE WHEN len({words}) = 0 THEN []::VARCHAR[] WHEN len({low}) > 0 THEN {low} ELSE [list_min({every})] END"
+
+
+def _share(a: str, b: str) -> str:
+    return f"""CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len({a})
+      WHEN len({b}) = 0 THEN 1.0 ELSE 0.0 END"""
+
+
+def _split(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+
+
+FINGERPRINT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC),
+    first_value(text) OVER (ORDER BY doc_id DESC)) AS following FROM d),
+e AS (SELECT doc_id, text, n, substr(text, 1, n - n // 3) || substr(following, 1, n // 3) AS edited FROM n),
+w AS (SELECT doc_id, n, edited, {_split("text")} AS wt, {_split("edited")} AS we FROM e),
+f AS (SELECT doc_id, n, edited, {_kept_hashes("wt")} AS ft, {_kept_hashes("we")} AS fe FROM w),
+g AS (
+  SELECT *, coalesce(lead(ft) OVER (ORDER BY doc_id DESC), first_value(ft) OVER (ORDER BY doc_id DESC)) AS fn FROM f)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(ft, '') AS fingerprint,
+  array_to_string(fe, '') AS edited_fingerprint, {_share("ft", "fe")} AS near_edited, {_share("ft", "fn")} AS near_next
+FROM g
+"""
+
+
+@query("op12_scaled_sketch_fingerprints", FINGERPRINT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.array_join("fingerprint", "").alias("fingerprint"),
+        F.array_join("edited_fingerprint", "").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
