@@ -19,6 +19,7 @@ from .pii_bootstrap import find_pii, joined
 from .scaled_sketch import document_fingerprints
 from .sparse_suffix import repeated_passages
 from .spelling_variants import spelling_variants
+from .token_alignment import align
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Plan, str | None]] = {}
@@ -223,3 +224,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents").select("doc_id", "text"), with_groups=False).drop("groups")
