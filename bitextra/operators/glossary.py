@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextra.functions.text import COLUMN_LANGUAGE, language_mismatch, norm_ws, strip
-from bitextra.operators.containment import candidates, containing, fits_broadcast
+from bitextra.operators.containment import containing, fits_broadcast, with_contained
 from bitextra.operators.ranking import salted_lookup
 from bitextra.session import cut_lineage
 
@@ -29,59 +28,54 @@ def match_terms(units: DataFrame, terms: DataFrame, text: str = "source") -> Dat
 
 
 def _per_unit(matches: DataFrame) -> DataFrame:
-    """The matches of a unit as one array in glossary order.
-
-    Bounded by the unit's own text: a term counts once however often it occurs,
-    and only terms whose leading gram the text holds are candidates.
-    """
+    """The matches of a unit as one array in glossary order; bounded by the unit's own text."""
     return matches.groupBy(*UNIT).agg(
         F.array_sort(F.collect_list(F.struct("id", "term", "replacement"))).alias("_terms")
     )
 
 
-def _replace_first(text, terms, replacements):
-    """struct<text, n>: first occurrence of each contained term replaced, ignoring case."""
-    @F.pandas_udf("text STRING, n BIGINT")
-    def replace(texts: pd.Series, term_lists: pd.Series, new_lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for value, names, news in zip(texts, term_lists, new_lists):
-            if value is None or names is None:
-                out.append((value, 0))
-                continue
-            original = low = value.lower()
-            n = 0
-            for name, new in zip(names, news):
-                at = low.find(name.lower()) if name.lower() in original else -1
-                if at >= 0:
-                    end = at + len(name)
-                    value = value[:at] + new + value[end:]
-                    low = low[:at] + new.lower() + low[end:]
-                    n += 1
-            out.append((value, n))
-        return pd.DataFrame(out, columns=["text", "n"])
-
-    return replace(text, terms, replacements)
-
-
 def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") -> DataFrame:
     """Replace the first occurrence of every matched term.
 
     Terms are matched on the original text and applied in id order to the
     running text. Adds ``applied`` (number of replacements) and ``modified``.
-    Each edit depends on the one before, so the exact match and the edits of a
-    text run in an Arrow batch function; the text meets its candidates once.
+    Texts meet their terms where they are; the edits, each depending on the
+    one before, are a fold over the terms of one text.
     """
-    usable = terms.filter((F.length("term") > 0) & (F.length("replacement") > 0))
-    low = units.select(*UNIT, F.lower(text).alias("_text"))
+    usable = terms.select("id", "term", "replacement").filter(
+        (F.length("term") > 0) & (F.length("replacement") > 0)
+    )
     needles = usable.withColumn("_needle", F.lower("term"))
-    found = _per_unit(candidates(low, needles, UNIT, "_text", "_needle"))
-    edits = _replace_first(F.col(text), F.col("_terms.term"), F.col("_terms.replacement"))
+    low = units.withColumn("_text", F.lower(text))
+    found = with_contained(low, needles, UNIT, "_text", "_needle", "_terms")
+    start = F.struct(
+        F.col(text).alias("text"), F.col("_text").alias("low"), F.lit(0).cast("long").alias("n")
+    )
+
+    def put(acc, t, at):
+        def spliced(value, new):
+            after = F.substring(value, at + F.length(t["_needle"]), F.length(value))
+            return F.concat(F.substring(value, F.lit(1), at - 1), new, after)
+
+        return F.when(
+            at > 0,
+            F.struct(
+                spliced(acc["text"], t["replacement"]).alias("text"),
+                spliced(acc["low"], F.lower(t["replacement"])).alias("low"),
+                (acc["n"] + 1).alias("n"),
+            ),
+        ).otherwise(acc)
+
+    def step(acc, t):
+        # The place is found once and used throughout the edit.
+        at = F.call_function("locate", t["_needle"], acc["low"])
+        return F.get(F.transform(F.array(at), lambda x: put(acc, t, x)), F.lit(0))
+
     return (
-        units.join(found, UNIT, "left")
-        .withColumn("_done", edits)
+        found.withColumn("_done", F.aggregate("_terms", start, step))
         .withColumn("modified", F.col("_done.text"))
         .withColumn("applied", F.col("_done.n"))
-        .drop("_done", "_terms")
+        .drop("_done", "_terms", "_text")
     )
 
 
@@ -178,12 +172,13 @@ def locate(units: DataFrame, fragments: DataFrame) -> DataFrame:
     needles = fragments.select(
         "fragment_id", norm_ws(F.lower("fragment")).alias("_needle")
     )
-    texts = units.select(*UNIT, norm_ws(F.lower("source")).alias("_text"))
-    pairs = containing(texts, needles, UNIT, "_text", "_needle").select(*UNIT, "fragment_id")
-    flags = units.select(
-        *UNIT, F.coalesce(F.length(strip(F.col("target"))) > 0, F.lit(False)).alias("is_translated")
+    texts = units.select(
+        *UNIT,
+        norm_ws(F.lower("source")).alias("_text"),
+        F.coalesce(F.length(strip(F.col("target"))) > 0, F.lit(False)).alias("is_translated"),
     )
-    return pairs.join(flags, UNIT)
+    pairs = containing(texts, needles, UNIT, "_text", "_needle")
+    return pairs.select(*UNIT, "fragment_id", "is_translated")
 
 
 def units_for_findings(findings: DataFrame, units: DataFrame) -> DataFrame:

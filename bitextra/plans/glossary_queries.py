@@ -28,29 +28,31 @@ def glossary_match(spark, d):
     )
 
 
+# Every edit leaves one mark at the end; the marks are counted and taken off.
 @query(
     "glossary_apply",
     check_sql(
         f"""WITH {MATCHES}, ordered AS (
           SELECT doc_id, unit_idx, list(term || '=' || replacement ORDER BY id) AS ts
-          FROM matches_fx GROUP BY doc_id, unit_idx)
-        SELECT doc_id, unit_idx, CASE WHEN ts IS NULL THEN source ELSE list_reduce(ts, lambda acc, t:
+          FROM matches_fx GROUP BY doc_id, unit_idx),
+        edited AS (
+          SELECT doc_id, unit_idx, CASE WHEN ts IS NULL THEN source ELSE list_reduce(ts, lambda acc, t:
             CASE WHEN instr(lower(acc), split_part(t, '=', 1)) > 0 THEN
               substr(acc, 1, instr(lower(acc), split_part(t, '=', 1)) - 1) || split_part(t, '=', 2)
-              || substr(acc, instr(lower(acc), split_part(t, '=', 1)) + length(split_part(t, '=', 1)))
-            ELSE acc END, source) END AS modified
-        FROM units_fx LEFT JOIN ordered USING (doc_id, unit_idx)""",
+              || substr(acc, instr(lower(acc), split_part(t, '=', 1)) + length(split_part(t, '=', 1))) || chr(1)
+            ELSE acc END, source) END AS marked
+          FROM units_fx LEFT JOIN ordered USING (doc_id, unit_idx))
+        SELECT doc_id, unit_idx, replace(marked, chr(1), '') AS modified,
+          length(marked) - length(replace(marked, chr(1), '')) AS applied FROM edited""",
         "units", "terms",
     ),
 )
 def glossary_apply(spark, d):
     return G.apply_glossary(fx.units(spark, d), fx.terms(spark, d)).select(
-        "doc_id", "unit_idx", "modified"
+        "doc_id", "unit_idx", "modified", "applied"
     )
 
 
-
-
 @query(
     "glossary_substitute",
     check_sql(

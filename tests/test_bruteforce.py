@@ -76,25 +76,42 @@ def test_distribute_chars(spark):
     assert got == [["1234", "56", "789012"], ["1", "", ""], ["yz"], ["", ""]]
 
 
-@pytest.mark.parametrize("broadcastable", [True, False])
-def test_apply_glossary(spark, monkeypatch, broadcastable):
+@pytest.fixture(params=["one automaton", "shards", "grams"])
+def containment(request, monkeypatch):
+    if request.param == "shards":
+        monkeypatch.setattr("bitextra.operators.containment.SHARD_BYTES", 12)
+    if request.param == "grams":
+        monkeypatch.setattr("bitextra.operators.containment.MOST_SHARDS", -1)
+
+
+def test_apply_glossary(spark, containment):
     rng = random.Random(9)
     words = ["Valve", "valve", "pump", "an", "seal ring", "val", "é", "ring"]
     terms = [(i, w, r) for i, (w, r) in enumerate(zip(words, ["К", "pump", "", "N", "кольцо", "v", "E", "R"]))]
-    texts = [(0, i, " ".join(rng.choices(words + ["x", "Été"], k=5))) for i in range(80)]
-    if not broadcastable:
-        monkeypatch.setattr("bitextra.operators.containment.fits_broadcast", lambda df: False)
+    texts = [(0, i, " ".join(rng.choices(words + ["x", "Été"], k=5))) for i in range(80)] + [(0, 80, None), (None, 81, "pump an")]
     units = spark.createDataFrame(texts, "doc_id LONG, unit_idx LONG, source STRING")
     glossary = spark.createDataFrame(terms, "id LONG, term STRING, replacement STRING")
-    got = {r.unit_idx: r.modified for r in G.apply_glossary(units, glossary).collect()}
+    got = {r.unit_idx: (r.modified, r.applied) for r in G.apply_glossary(units, glossary).collect()}
     for _, i, text in texts:
-        out = text
+        out, n = text, 0
         for _, term, repl in terms:
-            if repl and term.lower() in text.lower():
+            if text and repl and term.lower() in text.lower():
                 at = out.lower().find(term.lower())
                 if at >= 0:
                     out = out[:at] + repl + out[at + len(term):]
-        assert got[i] == out
+                    n += 1
+        assert got[i] == (out, n)
+
+
+def test_match_terms_overlapping(spark, containment):
+    rng = random.Random(12)
+    texts = [(0, i, "".join(rng.choices("abAB é", k=rng.randint(0, 30)))) for i in range(120)] + [(0, 120, None), (0, 121, "")]
+    terms = [(i, "".join(rng.choices("abé ", k=rng.randint(0, 7))), "r%d" % i) for i in range(150)] + [(900, None, "x")]
+    units = spark.createDataFrame(texts, "doc_id LONG, unit_idx LONG, source STRING")
+    glossary = spark.createDataFrame(terms, "id LONG, term STRING, replacement STRING")
+    got = sorted((r.unit_idx, r.id, r.term, r.replacement) for r in G.match_terms(units, glossary).collect())
+    assert got == sorted((i, n, t, r) for _, i, x in texts for n, t, r in terms if x and t and t in x.lower())
+    assert G.match_terms(units, glossary.filter("id < 0")).count() == 0
 
 
 def test_substitute_terms_follows_chains(spark):
