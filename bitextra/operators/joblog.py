@@ -244,7 +244,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
 
     Batch form. The first pending entry opens a job, the first running entry
     after it starts it, the first terminal entry after that ends it; entries
-    out of turn are ignored. Each step is a map-side combined minimum, so the
+    out of turn and entries without a time are ignored. Each step is a map-side combined minimum, so the
     job with most entries is as cheap as any other.
     """
     at = F.struct("ts", "event_id", "status")
@@ -262,7 +262,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
                     F.col("m.status").alias("to_status"), "m.ts", "m.event_id")
         )
 
-    rows = events.select("job_id", "ts", "event_id", "status")
+    rows = events.select("job_id", "ts", "event_id", "status").filter(F.col("ts").isNotNull())
     # Written once each: the later steps and the result read them instead of computing them again.
     opened = cut_lineage(step(rows, None, ("pending",), None))
     started = cut_lineage(step(rows, opened, ("running",), "pending"))

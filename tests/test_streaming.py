@@ -87,6 +87,85 @@ def test_state_is_forgotten(spark, tmp_path):
     assert {r.event_id: r.allowed for r in limited.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
 
 
+def write_batches(spark, folder, batches):
+    """One file, so one micro-batch, for each list of (event_id, seconds or None, job, status)."""
+    for rows in batches:
+        spark.createDataFrame(rows, "event_id LONG, t DOUBLE, job_id STRING, status STRING").select(
+            "event_id", F.timestamp_millis(F.round(F.col("t") * 1000).cast("long")).alias("ts"), "job_id", "status"
+        ).coalesce(1).write.mode("append").json(str(folder))
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """Entries up to 600 s late over six micro-batches, some without a time; the last moves the watermark past all."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for e in range(240):
+        at = 1_700_000_000 + 60.0 * e + rng.random()
+        status = rng.choice(["pending", "running", "failed", "running", "cancelled"])
+        rows.append((e, at, f"j{rng.randrange(9)}", status))
+    arrival = sorted(rows, key=lambda r: r[1] + rng.random() * 590)
+    batches = [arrival[k : k + 40] for k in range(0, 240, 40)]
+    for k in range(4):
+        batches[k].append((900 + k, None, f"j{k}", "pending"))
+    batches.append([(999, 1_700_000_000 + 60.0 * 240 + 5_000_000, "end", "pending")])
+    folder = tmp_path_factory.mktemp("shuffled")
+    write_batches(spark, folder, batches)
+    every = [r for b in batches for r in b]
+    base = spark.createDataFrame(every, "event_id LONG, t DOUBLE, job_id STRING, status STRING").select(
+        "event_id", F.timestamp_millis(F.round(F.col("t") * 1000).cast("long")).alias("ts"), "job_id", "status"
+    )
+    return base.filter("job_id <> 'end'"), str(folder)
+
+
+def test_late_and_timeless_entries_give_the_batch_lifecycle(spark, shuffled):
+    base, folder = shuffled
+    with state.rocksdb(spark):
+        got = logs.run_available(state.stream_job_state(stream(spark, folder), "600 seconds", 100_000, ordered=True))
+    columns = ["job_id", "from_status", "to_status", "event_id", "ts"]
+    exp = set(map(tuple, lifecycle(base).select(columns).collect()))
+    assert set(map(tuple, got.select(columns).collect())) == exp
+
+
+def test_late_and_timeless_requests_give_the_batch_decisions(spark, shuffled):
+    base, folder = shuffled
+    with state.rocksdb(spark):
+        got = logs.run_available(
+            state.stream_rate_limit(stream(spark, folder), "job_id", 2, 900, "600 seconds", ordered=True))
+        plain = logs.run_available(state.stream_rate_limit(stream(spark, folder), "job_id", 2, 900))
+    exp = {(r.event_id, r.allowed) for r in rate_limit(base, "job_id", 2, 900).collect()}
+    assert {(r.event_id, r.allowed) for r in got.collect()} == exp
+    assert {r.event_id for r in plain.collect()} == {e for e, _ in exp} | {999}
+
+
+def test_late_and_timeless_entries_of_silent_jobs(spark, shuffled):
+    base, folder = shuffled
+    with state.rocksdb(spark):
+        got = logs.run_available(
+            state.stream_stale_jobs(stream(spark, folder), 700, "600 seconds", ordered=True)).collect()
+    order = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    exp = base.filter("ts IS NOT NULL").withColumn("next", F.lead("ts").over(order)).filter(
+        F.col("status").isin("pending", "running")
+        & (F.col("next").isNull() | (F.unix_micros("next") - F.unix_micros("ts") > 700_000_000))
+    )
+    assert {(r.job_id, r.status, r.since) for r in got} == {(r.job_id, r.status, r.ts) for r in exp.collect()}
+
+
+def test_a_late_entry_moves_no_timer_back(spark, tmp_path):
+    """An entry out of turn from before does not shorten what a job is remembered for."""
+    start = 1_700_000_000
+    batches = [[(0, start + 1000.0, "a", "pending")], [(1, start + 700.0, "a", "failed"), (2, start + 1750.0, "b", "pending")],
+               [(3, start + 1250.0, "a", "running")], [(4, start + 9000.0, "b", "running")]]
+    write_batches(spark, tmp_path, batches)
+    for ordered in (False, True):
+        with state.rocksdb(spark):
+            got = logs.run_available(
+                state.stream_job_state(stream(spark, str(tmp_path)), "600 seconds", 300, ordered=ordered))
+        assert {(r.event_id, r.to_status) for r in got.filter("job_id = 'a'").collect()} == {(0, "pending"), (3, "running")}
+
+
 def test_days_and_duplicates_over_batches(spark, arriving):
     base, folder = arriving
     days = logs.latest(logs.run_available(logs.retain_days(stream(spark, folder)), "update"), ["log_date"])
