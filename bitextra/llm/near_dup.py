@@ -4,8 +4,8 @@ One pass hashes the shingles of every text; a single permutation fills BINS
 bins with their minima and empty bins borrow from full ones by optimal
 densification (every empty bin walks its own hashed sequence of bins). Texts
 with the same set are one class. Bands of eight bins are buckets; each bucket
-offers only the pairs (its smallest class, member), so a bucket of n classes
-costs n - 1 pairs. Candidates whose sketches allow it are confirmed on the
+offers only the pairs (its centre, member), so a bucket of n classes costs
+n - 1 pairs. Candidates whose sketches allow it are confirmed on the
 full shingle sets. Linked classes are joined to components; buckets that still
 hold several components then offer the pairs between classes outside their
 largest component and the others, so no link is lost to the star shape and no
@@ -185,11 +185,19 @@ def near_duplicates(
     shared = (
         classes.select(F.explode(_band_keys(F.col("sketch"))).alias("key"))
         .groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-        .filter(F.col("members") > 1).select("key")
+        .filter(F.col("members") > 1)
     )
     facts = classes.select("class", F.col("n_shingles").alias("n"), "sketch")
-    buckets = cut_lineage(keys.join(shared, "key"))
-    centres = buckets.groupBy("key").agg(F.min("class").alias("a"))
+    shared_keys = cut_lineage(keys.join(shared, "key"))
+    buckets = shared_keys.select("key", "class")
+    # The centre of a bucket is the class that meets most others in all its buckets: in a family of
+    # copies that is the same one nearly everywhere, so a class has few centres.
+    weight = shared_keys.groupBy("class").agg(F.sum("members").alias("weight"))
+    crowded = shared_keys.filter(F.col("members") > 2).join(weight, "class")
+    centres = (
+        crowded.groupBy("key").agg(F.min_by("class", F.struct(-F.col("weight"), "class")).alias("a"))
+        .union(shared_keys.filter(F.col("members") == 2).groupBy("key").agg(F.min("class").alias("a")))
+    )
     pairs = buckets.join(centres, "key").filter(F.col("class") != F.col("a")).select("class", "a").distinct()
     centre = facts.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"))
     stars = cut_lineage(
