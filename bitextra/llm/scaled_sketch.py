@@ -23,7 +23,7 @@ HASH_DIGITS = 16
 SPACE = r"[ \t\n\x0B\f\r]+"
 BLANKS = " \t\n\x0b\x0c\r"
 # Rows of a chunk of the id order, most chunks, and the cells whose bounds are estimated.
-ROWS_PER_CHUNK = 8192
+ROWS_PER_CHUNK = 2048
 MOST_CHUNKS = 65536
 CELLS = 256
 
@@ -78,7 +78,7 @@ def merged(a: Column, b: Column, sixteenths: int = SIXTEENTHS) -> Column:
     return _let(F.array_union(a, b), held)
 
 
-def _chunks(keyed: DataFrame, rows_per_chunk: int) -> tuple[Column, int]:
+def _chunks(keyed: DataFrame, rows_per_chunk: int) -> Column:
     """A chunk number that never decreases along (_null, _id descending, _salt).
 
     Bounds of equal row counts are estimated by one map-side combined
@@ -91,7 +91,7 @@ def _chunks(keyed: DataFrame, rows_per_chunk: int) -> tuple[Column, int]:
     chunks = max(1, min(MOST_CHUNKS, facts["rows"] // rows_per_chunk))
     unit = F.col("_salt") / F.lit(float(1 << 62))
     if not facts["bounds"]:
-        return F.least(F.floor(unit * chunks), F.lit(chunks - 1)).cast("int"), chunks
+        return F.least(F.floor(unit * chunks), F.lit(chunks - 1)).cast("int")
     bounds = F.array(*[F.lit(int(b)).cast("long") for b in facts["bounds"]])
 
     def place(found: Column) -> Column:
@@ -111,17 +111,20 @@ def _chunks(keyed: DataFrame, rows_per_chunk: int) -> tuple[Column, int]:
     falling = F.floor((1 - F.least(F.greatest(rank, F.lit(0.0)), F.lit(1.0))) * chunks)
     named = F.least(falling, F.lit(chunks - 1))
     unnamed = chunks + F.least(F.floor(unit * chunks), F.lit(chunks - 1))
-    return F.when(F.col("_null") == 0, named).otherwise(unnamed).cast("int"), chunks
+    return F.when(F.col("_null") == 0, named).otherwise(unnamed).cast("int")
 
 
-def with_next(keyed: DataFrame, carried: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def with_next(
+    keyed: DataFrame, derived: dict[str, Column], carried: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
     """``next``: the struct of ``carried`` of the following row by descending ``_id``; the first follows the last.
 
     Rows without an id come last; ties go by salt and text. Rows are dealt out
     once, by chunks of the order; the first row of a chunk is also given to
-    the chunk before it, so no chunk looks into another.
+    the chunk before it, so no chunk looks into another. ``derived`` columns
+    are computed after that, so they are not shuffled.
     """
-    chunk, most = _chunks(keyed, rows_per_chunk)
+    chunk = _chunks(keyed, rows_per_chunk)
     order = ["_null", "_down", "_salt", "text"]
     cut = keyed.withColumns({"_chunk": chunk, "_down": -F.coalesce(F.col("_id"), F.lit(0)).cast("decimal(20,0)")})
     key = F.struct("_null", "_down", "_salt")
@@ -140,8 +143,10 @@ def with_next(keyed: DataFrame, carried: list[str], rows_per_chunk: int = ROWS_P
         .withColumn("_to", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))))
         .select(*[c for c in keyed.columns], "_down", "_to.c", "_to.wraps", "_to.guest")
     )
+    # The window finds its rows already dealt out and sorted.
+    sorted_rows = dealt.repartition("c").sortWithinPartitions("c", "wraps", *order, "guest")
     ahead = Window.partitionBy("c").orderBy("wraps", *order, "guest")
-    followed = dealt.withColumn("next", F.lead(F.struct(*carried)).over(ahead))
+    followed = sorted_rows.withColumns(derived).withColumn("next", F.lead(F.struct(*carried)).over(ahead))
     return followed.filter(~F.col("guest")).drop("_down", "c", "wraps", "guest")
 
 
@@ -166,8 +171,8 @@ def document_fingerprints(
         F.col("_id").isNull().cast("int").alias("_null"),
         F.shiftrightunsigned(F.xxhash64("text"), 2).alias("_salt"),
     )
-    printed = keyed.withColumn("print", fingerprint(F.col("text"), words, sixteenths))
-    followed = with_next(printed, ["text", "print"], rows_per_chunk)
+    prints = {"print": fingerprint(F.col("text"), words, sixteenths)}
+    followed = with_next(keyed, prints, ["text", "print"], rows_per_chunk)
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.length("text") - third),
