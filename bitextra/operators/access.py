@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitextra.operators.lookup import lookup
 from bitextra.operators.ranking import salted_lookup
+from bitextra.session import cut_lineage
 
 # Names and levels of the access model.
 ADMIN, API, USER = "admin", "api", "user"
@@ -106,32 +108,70 @@ def grants_for(users: DataFrame, grants: DataFrame) -> DataFrame:
     ).select("user_id", "subject_type", "subject", "collection", "level", "grant_ord")
 
 
-def _levels(users: DataFrame, grants: DataFrame, include_personal: bool) -> DataFrame:
-    plain = users.filter(~is_admin())
-    hits = grants_for(plain, grants)
-    group = F.col("subject_type") == "group"
-    role = F.col("subject_type") == "role"
-    personal = F.col("subject_type") == "user"
-    first = F.struct("level", (-F.col("grant_ord")).alias("o"))
-    floor = plain.select(
-        "user_id", F.lit("floor").alias("subject_type"), F.lit("").alias("subject"),
-        F.lit(DEFAULT).alias("collection"), F.lit(VIEW).alias("level"),
-        F.lit(0).cast("long").alias("grant_ord"),
+def _profiled(users: DataFrame) -> DataFrame:
+    """Users with the roles and folded groups that decide their shared levels.
+
+    Users of equal roles and groups have one profile; there are as many
+    profiles as such combinations, however many users.
+    """
+    groups = F.coalesce("ldap_groups", F.array().cast("array<string>"))
+    folded = F.array_sort(F.array_distinct(F.transform(groups, lambda g: F.lower(g))))
+    sides = users.withColumns({"_roles": F.array_sort(_role_names()), "_groups": folded})
+    return sides.withColumn("_profile", F.to_json(F.struct("_roles", "_groups")))
+
+
+def _solved(profiled: DataFrame, grants: DataFrame) -> DataFrame:
+    """Role and group levels of every profile and collection, solved once and written."""
+    def of(kind: str, names: str) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("subject_type"), n.alias("key")))
+
+    profiles = profiled.select("_profile", "_roles", "_groups").dropDuplicates(["_profile"])
+    sides = profiles.select("_profile", F.inline(F.concat(of("role", "_roles"), of("group", "_groups"))))
+    common = _keyed(grants.filter("subject_type IN ('role', 'group')"))
+    hits = lookup(sides, common, ["subject_type", "key"], ["_profile"], "inner").select(
+        "_profile", "subject_type", "subject", "collection", "level", "grant_ord"
     )
-    return (
-        hits.filter(F.lit(include_personal) | ~personal)
-        .unionByName(floor)
-        .groupBy("user_id", "collection")
-        .agg(
+    floor = profiles.select(
+        "_profile", F.lit("floor").alias("subject_type"), F.lit("").alias("subject"),
+        F.lit(DEFAULT).alias("collection"), F.lit(VIEW).alias("level"), F.lit(0).cast("long").alias("grant_ord"),
+    )
+    group, role = F.col("subject_type") == "group", F.col("subject_type") == "role"
+    first = F.struct("level", (-F.col("grant_ord")).alias("o"))
+    return cut_lineage(
+        hits.unionByName(floor).groupBy("_profile", "collection").agg(
             F.max(F.when(role, F.col("level"))).alias("role_level"),
             F.max_by(F.when(role, F.col("subject")), F.when(role, first)).alias("role_subject"),
             F.max(F.when(group, F.col("level"))).alias("group_level"),
             F.max_by(F.when(group, F.col("subject")), F.when(group, first)).alias("group_subject"),
-            F.max_by("level", F.when(personal, F.col("grant_ord"))).alias("personal_level"),
         )
     )
 
 
+def _personal(grants: DataFrame) -> DataFrame:
+    """The last personal grant of every user and collection."""
+    own = grants.filter("subject_type = 'user'")
+    return own.groupBy(F.col("subject").alias("user_id"), "collection").agg(
+        F.max_by("level", "grant_ord").alias("personal_level")
+    )
+
+
+def _levels(users: DataFrame, grants: DataFrame, include_personal: bool) -> DataFrame:
+    plain = _profiled(users.filter(~is_admin()))
+    base = lookup(plain.select("user_id", "_profile"), _solved(plain, grants), ["_profile"], ["user_id"], "inner")
+    if not include_personal:
+        return base.drop("_profile").withColumn("personal_level", F.lit(None).cast("int"))
+    own = lookup(_personal(grants), plain.select("user_id").distinct(), ["user_id"], ["user_id", "collection"], "left_semi")
+    return base.drop("_profile").join(own, ["user_id", "collection"], "full_outer")
+
+
+def _level() -> Column:
+    """The level of a row of shared and personal levels."""
+    raw = F.coalesce("personal_level", F.greatest("role_level", "group_level"), F.lit(NONE))
+    return (
+        F.when(F.col("collection") == DEFAULT, F.greatest(raw, F.lit(VIEW))).otherwise(raw).cast("int")
+    )
+
+
 def effective_levels_explained(
     users: DataFrame, grants: DataFrame, include_personal: bool = True
 ) -> DataFrame:
@@ -146,16 +186,10 @@ def effective_levels_explained(
     by_role = F.col("role_level").isNotNull() & (
         F.col("role_level") >= F.coalesce("group_level", F.lit(NONE))
     )
-    raw = F.coalesce(
-        "personal_level",
-        F.greatest("role_level", "group_level"),
-        F.lit(NONE),
-    )
     return _levels(users, grants, include_personal).select(
         "user_id",
         "collection",
-        F.when(F.col("collection") == DEFAULT, F.greatest(raw, F.lit(VIEW))).otherwise(raw)
-        .cast("int").alias("level"),
+        _level().alias("level"),
         F.when(F.col("personal_level").isNotNull(), F.lit("personal"))
         .when(by_role, F.concat(F.lit("role:"), "role_subject"))
         .when(F.col("group_level").isNotNull(), F.concat(F.lit("group:"), "group_subject"))
@@ -209,6 +243,32 @@ def can_access(users: DataFrame, levels: DataFrame, requests: DataFrame) -> Data
     )
 
 
+def check_access(users: DataFrame, grants: DataFrame, requests: DataFrame) -> DataFrame:
+    """Whether each request (user_id, collection, action) is allowed, from the grants.
+
+    Levels are looked up for the requested users and collections only: a
+    request meets its user's profile, the profile's level and the personal
+    grant. ``requests`` stay one row each; a user that is unknown is refused.
+    """
+    required = F.create_map(*[F.lit(x) for kv in REQUIRED.items() for x in kv])
+    row = requests.columns
+    asked = cut_lineage(requests.select("user_id").distinct())
+    known = cut_lineage(
+        _profiled(lookup(users, asked, ["user_id"], ["user_id"], "left_semi"))
+        .select("user_id", is_admin().alias("_admin"), "_roles", "_groups", "_profile")
+    )
+    solved = _solved(known.filter(~F.col("_admin")), grants).select(
+        "_profile", "collection", "role_level", "group_level"
+    )
+    own = lookup(_personal(grants), asked, ["user_id"], ["user_id", "collection"], "left_semi")
+    found = lookup(requests, known.drop("_roles", "_groups"), ["user_id"], row)
+    found = lookup(found, solved, ["_profile", "collection"], row)
+    found = lookup(found, own, ["user_id", "collection"], row)
+    plain = F.col("_profile").isNotNull()
+    enough = F.when(plain, _level()).otherwise(F.lit(NONE)) >= F.coalesce(required[F.col("action")], F.lit(VIEW))
+    return found.select(*row, (F.coalesce("_admin", F.lit(False)) | enough).alias("allowed"))
+
+
 def accessible_collections(users: DataFrame, collections: DataFrame, grants: DataFrame):
     """Readable collections per user (J19); ``*`` stands for all of them (admin)."""
     readable = effective_levels(users, grants).filter(F.col("level") >= VIEW)
@@ -321,6 +381,9 @@ def matching_roles(
     Candidates share the user's desired permission set; their levels without
     personal grants must equal the user's levels with them, collection by
     collection. Users whose state already is the role's get no suggestion.
+    Levels of candidates are solved once per role and set of groups; levels are
+    compared by their number and two 64-bit hashes over all of them, so users
+    are never multiplied by roles and collections.
     """
     plain = users.filter(~is_admin()).withColumn("_role", canonical_role()).withColumn(
         "_want", _permission_key(desired)
@@ -336,28 +399,30 @@ def matching_roles(
     pairs = open_users.join(
         pools.filter(~F.col("name").isin(API, ADMIN)).withColumnRenamed("_pool", "_want"), "_want"
     ).filter(F.col("name") != F.col("_role"))
-    candidates = pairs.select(
-        F.concat_ws("\t", "user_id", "name").alias("user_id"),
-        F.col("name").alias("role_name"),
-        F.when(F.col("name").isin(*ROLE_ENUM), F.col("name")).otherwise(F.lit("viewer"))
-        .alias("role_enum"),
-        "ldap_groups",
-    )
-    after = effective_levels(candidates, grants, include_personal=False).select(
-        F.split_part("user_id", F.lit("\t"), F.lit(1)).alias("user_id"),
-        F.split_part("user_id", F.lit("\t"), F.lit(2)).alias("name"),
-        "collection", F.col("level").alias("_after"),
-    )
-    now = (
-        effective_levels(open_users, grants)
-        .join(pairs.select("user_id", "name"), "user_id")
-        .select("user_id", "name", "collection", F.col("level").alias("_now"))
+    candidates = _profiled(
+        pairs.select(
+            "user_id", "name", F.col("name").alias("role_name"), "ldap_groups",
+            F.when(F.col("name").isin(*ROLE_ENUM), F.col("name")).otherwise(F.lit("viewer")).alias("role_enum"),
+        )
     )
+    print_of = {
+        "_n": F.count(F.lit(1)),
+        "_h0": F.bit_xor(F.xxhash64("collection", "level")),
+        "_h1": F.bit_xor(F.xxhash64(F.lit(1), "collection", "level")),
+    }
+    aggregates = [c.alias(n) for n, c in print_of.items()]
+    # One print per profile of (candidate role, groups), and one per user with the state as it is.
+    shared = _solved(candidates, grants).withColumn("personal_level", F.lit(None).cast("int"))
+    after = shared.select("_profile", "collection", _level().alias("level")).groupBy("_profile").agg(*aggregates)
+    now = effective_levels(open_users.drop(*[c for c in open_users.columns if c.startswith("_")]), grants)
+    now = now.groupBy("user_id").agg(*aggregates)
+    judged = lookup(
+        candidates.select("user_id", "name", "_profile"),
+        after.withColumnsRenamed({n: f"{n}_after" for n in print_of}), ["_profile"], ["user_id", "name"], "inner",
+    )
+    same = [F.col(n) == F.col(f"{n}_after") for n in print_of]
     return (
-        now.join(after, ["user_id", "name", "collection"], "full_outer")
-        .groupBy("user_id", "name")
-        .agg(F.count_if(~F.col("_now").eqNullSafe(F.col("_after"))).alias("_differ"))
-        .filter("_differ = 0")
+        judged.join(now, "user_id").filter(same[0] & same[1] & same[2])
         .select("user_id", F.col("name").alias("role"))
     )
 
@@ -425,7 +490,7 @@ def orphan_subjects(users: DataFrame, grants: DataFrame, tokens: DataFrame) -> D
 def effective_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
     """(role pool - denied) + raised, one permission per row."""
     pools = roles.select(F.col("name").alias("_role"), F.col("permissions").alias("_pool"))
-    joined = users.withColumn("_role", canonical_role()).join(pools, "_role", "left")
+    joined = lookup(users.withColumn("_role", canonical_role()), pools, ["_role"], ["user_id"])
     pool = F.coalesce("_pool", F.array().cast("array<string>"))
     return joined.select(
         "user_id",
@@ -437,7 +502,7 @@ def effective_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
 def permission_deviation(users: DataFrame, roles: DataFrame, desired: str = "desired"):
     """What has to be raised and lowered to reach the desired set."""
     pools = roles.select(F.col("name").alias("_role"), F.col("permissions").alias("_pool"))
-    joined = users.withColumn("_role", canonical_role()).join(pools, "_role", "left")
+    joined = lookup(users.withColumn("_role", canonical_role()), pools, ["_role"], ["user_id"])
     pool = F.coalesce("_pool", F.array().cast("array<string>"))
     return joined.select(
         "user_id",

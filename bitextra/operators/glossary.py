@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextra.functions.text import COLUMN_LANGUAGE, language_mismatch, norm_ws, strip
+from bitextra.operators.components import connected_components
 from bitextra.operators.containment import containing, fits_broadcast, with_contained
 from bitextra.operators.ranking import salted_lookup
 from bitextra.session import cut_lineage
@@ -199,20 +201,69 @@ def _values(rows: DataFrame) -> DataFrame:
     return rows.select("row_num", F.inline(pairs))
 
 
+# Parallel rounds before what is left is decided group by group.
+ROUNDS = 3
+
+
+def _in_turn(undecided: DataFrame) -> DataFrame:
+    """Accepted row_num of rows decided in order, each group of rows that share values by itself.
+
+    Groups are the connected components of "holds the same value"; a group is
+    streamed through one task in the order of its rows, which remembers the
+    values it has accepted. Rows that share no value are accepted as they are.
+    """
+    values = _values(undecided)
+    shared = (
+        values.groupBy("col", "value").agg(F.min("row_num").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > 1).drop("_rows")
+    )
+    held = salted_lookup(values, shared, ["col", "value"], ["row_num"], "inner")
+    edges = held.select(F.col("row_num").alias("a"), F.col("_first").alias("b"))
+    groups = connected_components(edges).withColumnsRenamed({"id": "row_num", "component": "_group"})
+    grouped = cut_lineage(undecided.join(groups, "row_num", "left"))
+    alone = grouped.filter(F.col("_group").isNull()).select("row_num")
+    queued = (
+        grouped.filter(F.col("_group").isNotNull()).repartition("_group").sortWithinPartitions("_group", "row_num")
+    )
+
+    def decide(batches):
+        current, taken = None, [set() for _ in COLUMNS]
+        for batch in batches:
+            rows, keys, *words = (column.to_pylist() for column in batch.columns)
+            kept = []
+            for row, key, *mine in zip(rows, keys, *words, strict=True):
+                if key != current:
+                    current, taken = key, [set() for _ in COLUMNS]
+                if not any(v in t for v, t in zip(mine, taken, strict=True)):
+                    kept.append(row)
+                    for v, t in zip(mine, taken, strict=True):
+                        t.add(v)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["row_num"])
+
+    decided = queued.select(F.col("row_num").cast("long").alias("row_num"), "_group", *COLUMNS).mapInArrow(
+        decide, "row_num long"
+    )
+    return alone.union(decided.select(F.col("row_num").cast(undecided.schema["row_num"].dataType)))
+
+
 def accepted_rows(rows: DataFrame) -> DataFrame:
     """Rows whose four values repeat no value of an earlier accepted row.
 
     A value of a rejected row blocks nothing, so acceptance depends on earlier
-    decisions. All rows are decided in parallel rounds: a row that is the first
+    decisions. A few parallel rounds decide most rows: a row that is the first
     undecided holder of all its values is accepted, rows that share a value
     with an earlier accepted row are rejected, and the rest goes on. Every
     round is a few aggregations and one salted join; no value group is ever
-    collected, and a value held by a third of the rows is settled at once. Returns
-    row_num of the accepted rows.
+    collected, and a value held by a third of the rows is settled at once.
+    What is left are long chains of rows that hang on each other; they are
+    decided in turn, chain by chain, so the number of rounds does not follow
+    their length. Returns row_num of the accepted rows.
     """
     undecided = cut_lineage(rows.select("row_num", *COLUMNS))
     accepted: list[DataFrame] = []
-    while not undecided.isEmpty():
+    for _ in range(ROUNDS):
+        if undecided.isEmpty():
+            break
         values = _values(undecided)
         first = values.groupBy("col", "value").agg(F.min("row_num").alias("row_num"))
         leading = (
@@ -228,6 +279,8 @@ def accepted_rows(rows: DataFrame) -> DataFrame:
         )
     if not accepted:
         return rows.select("row_num").limit(0)
+    if not undecided.isEmpty():
+        accepted.append(_in_turn(undecided))
     return reduce(DataFrame.unionByName, accepted)
 
 

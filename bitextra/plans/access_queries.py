@@ -189,8 +189,7 @@ def legacy_levels(spark, d):
     ),
 )
 def access_check(spark, d):
-    u, g = users(spark, d), grants(spark, d)
-    return A.can_access(u, A.effective_levels(u, g), requests(spark, d))
+    return A.check_access(users(spark, d), grants(spark, d), requests(spark, d))
 
 
 @query(

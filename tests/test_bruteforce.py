@@ -144,6 +144,27 @@ def test_import_chains(spark):
     assert {r.row_num for r in G.accepted_rows(df).collect()} == kept
 
 
+def test_import_of_a_long_chain(spark):
+    """Each row shares a value with the next: every other one is accepted, in a bounded number of steps."""
+    n = 10_000
+    rows = [(k + 1, f"р{k // 2}", f"e{(k + 1) // 2}", f"s{k}", f"词{k}") for k in range(n)]
+    rows += [(n + k + 1, "общее", f"x{k}", f"y{k}", f"z{k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "row_num LONG, ru_word STRING, en_word STRING, sb_word STRING, ch_word STRING")
+    got = {r.row_num for r in G.accepted_rows(df.repartition(4)).collect()}
+    assert got == set(range(1, n + 1, 2)) | {n + 1}
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from bitextra.operators.components import connected_components
+
+    edges = [(i, i + 1) for i in range(500)] + [(1000, 1000 + i) for i in range(1, 80)]
+    edges += [(2000 + i, 2000 + (i + 1) % 60) for i in range(60)] + [(7, 7), (None, 3), (3001, 3000)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    sets = [range(501), range(1000, 1080), range(2000, 2060), (3000, 3001)]
+    assert len(got) == sum(map(len, sets)) and len({got[s[0]] for s in sets}) == 4
+    assert all(got[i] == got[s[0]] for s in sets for i in s)
+
+
 def test_rate_limit(spark):
     rng = random.Random(2)
     rows, at = [], 0.0
