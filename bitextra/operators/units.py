@@ -102,14 +102,20 @@ def mtext_stats(units: DataFrame, text: str = "text", failed: str = "failed") ->
     )
 
 
-def failed_unit_diagnostics(units: DataFrame, text: str = "text") -> DataFrame:
-    """length, code flags, preview of 80 characters and the kind of loss."""
+def failed_unit_diagnostics(
+    units: DataFrame, text: str = "text", loss_type: str | None = "partial_batch_loss", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """length, code flags, preview of 80 characters and the kind of loss.
+
+    ``keys`` (job, batch, attempt) are kept in front; units of a batch that
+    failed as a whole have no kind of loss.
+    """
     return units.select(
-        *UNIT,
+        *keys, *UNIT,
         F.length(text).cast("long").alias("length"),
         *mtext_flags(F.col(text)),
         F.substring(text, 1, 80).alias("preview"),
-        F.lit("partial_batch_loss").alias("loss_type"),
+        F.lit(loss_type).cast("string").alias("loss_type"),
     )
 
 

@@ -16,6 +16,7 @@ from bitextra.session import scratch_path
 from bitextra.sources import office, tables
 from bitextra.sources.pagetext import page_lines, read_page_text
 from bitextra.sources.xliff import read_xliff, write_xliff
+from bitextra.streaming.logs import run_available
 
 
 def write_pages(spark, d) -> str:
@@ -296,16 +297,8 @@ def bloat_gate(spark, d):
     )
 
 
-@query(
-    "xlsx_texts",
-    check_sql(
-        """SELECT cast(doc_id AS VARCHAR) AS path, CASE unit_idx % 4 WHEN 0 THEN 'shared_string'
-            WHEN 1 THEN 'inline_string' WHEN 2 THEN 'comment' ELSE 'shape_text' END AS source_type,
-          line AS text FROM lines_fx""",
-        "lines",
-    ),
-)
-def xlsx_texts(spark, d):
+def _workbooks(spark, d):
+    """One workbook per document; every fourth line a shared, inline, comment or shape text, and typed cells."""
     docs = fx.lines(spark, d).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("unit_idx", "line"))).alias("cells")
     )
@@ -320,17 +313,23 @@ def xlsx_texts(spark, d):
         for pdf in batches:
             out = []
             for doc, cells in zip(pdf["doc_id"], pdf["cells"]):
-                by = {k: [escape(c["line"]) for c in cells if c["unit_idx"] % 4 == k] for k in range(4)}
+                by = {k: [(c["unit_idx"], escape(c["line"])) for c in cells if c["unit_idx"] % 4 == k] for k in range(4)}
                 half = lambda t: f"<r><t>{t[:0]}</t></r><r><t>{t}</t></r>"
+                typed = "".join(
+                    f'<row><c r="C{i}" s="{i % 2}"><v>{i}</v></c><c r="D{i}" t="b"><v>{i % 2}</v></c>'
+                    f'<c r="E{i}" t="e"><v>#N/A</v></c><c r="F{i}"><f>C{i}+1</f><v>{i + 1}</v></c></row>'
+                    for i, _ in by[2]
+                )
                 parts = {
-                    "xl/sharedStrings.xml": "".join(f"<si>{half(t)}</si>" for t in by[0]),
+                    "xl/styles.xml": '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts>'
+                    '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs>',
+                    "xl/sharedStrings.xml": "".join(f"<si>{half(t)}</si>" for _, t in by[0]),
                     "xl/worksheets/sheet1.xml": "".join(
-                        f'<c r="A{i}" t="inlineStr"><is><t>{t}</t></is></c>'
-                        for i, t in enumerate(by[1])),
+                        f'<c r="A{i}" t="inlineStr"><is><t>{t}</t></is></c>' for i, t in by[1])
+                    + "".join(f'<c r="G{i}" t="s"><v>{n}</v></c>' for n, (i, _) in enumerate(by[0])) + typed,
                     "xl/comments1.xml": "".join(
-                        f'<comment ref="B{i}"><text><t>{t}</t><t>no</t></text></comment>'
-                        for i, t in enumerate(by[2])),
-                    "xl/drawings/drawing1.xml": "".join(f"<a:t>{t}</a:t>" for t in by[3]),
+                        f'<comment ref="B{i}"><text><t>{t}</t><t>no</t></text></comment>' for i, t in by[2]),
+                    "xl/drawings/drawing1.xml": "".join(f"<a:sp><a:t>{t}</a:t></a:sp>" for _, t in by[3]),
                     "xl/../evil.xml": "<t>bad</t>",
                 }
                 held = io.BytesIO()
@@ -340,8 +339,53 @@ def xlsx_texts(spark, d):
                 out.append((str(doc), held.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    files = docs.mapInPandas(build, "path STRING, content BINARY")
-    return office.xlsx_texts(files).select("path", "source_type", "text")
+    return docs.mapInPandas(build, "path STRING, content BINARY")
+
+
+SHEET = "xl/worksheets/sheet1.xml"
+
+
+@query(
+    "xlsx_texts",
+    check_sql(
+        f"""SELECT cast(doc_id AS VARCHAR) AS path, CASE unit_idx % 4
+            WHEN 0 THEN 'ss_' || (row_number() OVER same - 1)
+            WHEN 1 THEN 'ws_{SHEET}_cell_A' || unit_idx
+            WHEN 2 THEN 'cm_xl/comments1.xml_B' || unit_idx
+            ELSE 'shape_xl/drawings/drawing1.xml_' || substr(line, 1, 20) || '_' || (row_number() OVER same - 1)
+          END AS id, CASE unit_idx % 4 WHEN 0 THEN 'shared_string'
+            WHEN 1 THEN 'inline_string' WHEN 2 THEN 'comment' ELSE 'shape_text' END AS source_type,
+          line AS text, 'text' AS category, true AS should_translate, CASE unit_idx % 4
+            WHEN 0 THEN '{SHEET}!G' || unit_idx WHEN 1 THEN '{SHEET}!A' || unit_idx
+            WHEN 2 THEN 'xl/comments1.xml!B' || unit_idx ELSE 'xl/drawings/drawing1.xml!sp > t' END AS locator
+        FROM lines_fx WINDOW same AS (PARTITION BY doc_id, unit_idx % 4 ORDER BY unit_idx)""",
+        "lines",
+    ),
+)
+def xlsx_texts(spark, d):
+    return office.xlsx_texts(_workbooks(spark, d)).select(
+        "path", "id", "source_type", "text", "category", "should_translate", "locator"
+    )
+
+
+@query(
+    "xlsx_cells",
+    check_sql(
+        f"""WITH c AS (SELECT cast(doc_id AS VARCHAR) AS path, unit_idx AS i,
+            row_number() OVER (PARTITION BY doc_id, unit_idx % 4 ORDER BY unit_idx) - 1 AS n, line FROM lines_fx),
+        typed AS (SELECT * FROM c WHERE i % 4 = 2)
+        SELECT path, '{SHEET}!C' || i AS locator, CASE i % 2 WHEN 0 THEN 'number' ELSE 'date' END AS category,
+          cast(i AS VARCHAR) AS value, false AS should_translate FROM typed
+        UNION ALL SELECT path, '{SHEET}!D' || i, 'boolean', cast(i % 2 AS VARCHAR), false FROM typed
+        UNION ALL SELECT path, '{SHEET}!E' || i, 'error', '#N/A', false FROM typed
+        UNION ALL SELECT path, '{SHEET}!F' || i, 'formula', 'C' || i || '+1', false FROM typed
+        UNION ALL SELECT path, '{SHEET}!A' || i, 'text', line, true FROM c WHERE i % 4 = 1
+        UNION ALL SELECT path, '{SHEET}!G' || i, 'text', line, true FROM c WHERE i % 4 = 0""",
+        "lines",
+    ),
+)
+def xlsx_cells(spark, d):
+    return office.xlsx_cells(_workbooks(spark, d)).select("path", "locator", "category", "value", "should_translate")
 
 
 @query(
@@ -387,6 +431,86 @@ def journal_files(spark, d):
     )
 
 
+def _write_days(frame, path: str, entry) -> None:
+    """Documents of a day's entries, one file each, indented; the first of each day's third is cut off in the middle."""
+    part = F.concat_ws("_", "log_date", F.col("event_id") % 3)
+    days = frame.groupBy("log_date", part.alias("part")).agg(F.collect_list(entry).alias("entries"))
+    whole = F.to_json(
+        F.struct(F.col("log_date").cast("string").alias("date"), F.lit("").alias("created_at"), "entries"),
+        {"pretty": "true"},
+    )
+    damaged = F.col("part").endswith("3_0")
+    days.select(
+        "part", F.when(damaged, F.substring(whole, F.lit(1), F.length(whole) - 20)).otherwise(whole).alias("value")
+    ).write.partitionBy("part").text(path)
+
+
+# Documents of the days ending in 3 lose their first third, which gives one error row each.
+DAYS = """
+    days_fx AS (SELECT *, log_date || '_' || (event_id % 3) AS part FROM {frame}),
+    good_fx AS (SELECT * FROM days_fx WHERE NOT ends_with(part, '3_0')),
+    bad_fx AS (SELECT DISTINCT part FROM days_fx WHERE ends_with(part, '3_0'))"""
+
+
+@query(
+    "journal_days",
+    check_sql(
+        f"""WITH {DAYS.format(frame='journal_fx')}
+        SELECT cast(log_date AS VARCHAR) AS date, level, stage, message, false AS damaged, count(*) AS n FROM good_fx GROUP BY ALL
+        UNION ALL SELECT substr(part, 1, 10), NULL, NULL, NULL, true, 1 FROM bad_fx""",
+        "journal",
+    ),
+)
+def journal_days(spark, d):
+    path = scratch_path(spark, "days")
+    _write_days(
+        fx.shared(spark, d, "journal"), path,
+        F.struct(F.col("ts").cast("string").alias("timestamp"), "level", "stage", "message", "filename"),
+    )
+    found = tables.journal_documents(spark, path, "*.txt")
+    part = F.regexp_extract("file", "part=([^/]+)_", 1)
+    return found.select(
+        F.coalesce("date", part).alias("date"), "level", "stage", "message", F.col("error").isNotNull().alias("damaged")
+    ).groupBy("date", "level", "stage", "message", "damaged").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "monitoring_days",
+    check_sql(
+        f"""WITH {DAYS.format(frame="(SELECT *, cast(ts AS DATE) AS log_date FROM monitoring_fx)")}
+        SELECT cast(log_date AS VARCHAR) AS date, job_id, owner_id, filename, 'DOCX' AS format, status,
+          false AS damaged, count(*) AS n FROM good_fx GROUP BY ALL
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, true, count(*) FROM bad_fx HAVING count(*) > 0""",
+        "monitoring",
+    ),
+)
+def monitoring_days(spark, d):
+    """Documents read as a stream."""
+    path = scratch_path(spark, "days")
+    entry = F.struct(
+        "job_id", "owner_id", "filename", F.lit("DOCX").alias("format"), "status", F.col("ts").cast("string").alias("timestamp")
+    )
+    _write_days(fx.shared(spark, d, "monitoring").withColumn("log_date", F.to_date("ts")), path, entry)
+    found = run_available(tables.monitoring_documents(spark, path, "*.txt", streaming=True))
+    return found.groupBy(
+        "date", "job_id", "owner_id", "filename", "format", "status", F.col("error").isNotNull().alias("damaged")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "manifest_files",
+    "SELECT s_suppkey AS file_no, length(s_name || ';' || s_nationkey) + 1 AS size, 'TXT' AS extension FROM supplier",
+)
+def manifest_files(spark, d):
+    """One small file per supplier, listed without opening any."""
+    path = scratch_path(spark, "submitted")
+    line = F.concat_ws(";", "s_name", "s_nationkey")
+    fx.table(spark, d, "supplier").select("s_suppkey", line.alias("value")).write.partitionBy("s_suppkey").text(path)
+    return tables.read_manifest(spark, path).select(
+        F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("file_no"), "size", "extension"
+    )
+
+
 @query(
     "corpus_report",
     check_sql(

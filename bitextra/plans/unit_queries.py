@@ -12,6 +12,8 @@ from bitextra.plans.fixtures import check_sql
 from bitextra.plans.glossary_queries import ENTITIES, entities
 from bitextra.plans.registry import query
 from bitextra.plans.text_queries import q_trim
+from bitextra.session import scratch_path
+from bitextra.sources import tables
 
 
 @query(
@@ -220,6 +222,34 @@ def failed_unit_diagnostics(spark, d):
     )
 
 
+@query(
+    "diagnostics_sink",
+    check_sql(
+        r"""SELECT cast(doc_id AS VARCHAR) AS job_id, unit_idx % 7 AS batch, CASE WHEN target IS NULL THEN 1 ELSE 2 END AS attempt, doc_id, unit_idx,
+          length(source) AS length, contains(source, chr(92)) AS has_backslash,
+          regexp_matches(source, '\\[A-Za-z]|%%[cdpo]') AS has_mtext_code, substr(source, 1, 80) AS preview,
+          CASE WHEN target IS NULL THEN NULL ELSE 'partial_batch_loss' END AS loss_type,
+          CASE WHEN target IS NULL THEN 'run-1' ELSE 'run-2' END AS write_id
+        FROM units_fx WHERE coalesce(target, '') = ''""",
+        "units",
+    ),
+)
+def diagnostics_sink(spark, d):
+    """Every write is repeated, under its own name and under another; one copy is read back."""
+    keyed = fx.units(spark, d).withColumns({
+        "job_id": F.col("doc_id").cast("string"), "batch": F.col("unit_idx") % 7, "attempt": F.lit(1).cast("long"),
+    })
+    keys = tuple(tables.DIAGNOSTIC_KEY)
+    failed = U.failed_unit_diagnostics(keyed.filter("target IS NULL"), "source", None, keys)
+    # Batches of which only some units came back; they share no key with the failed ones.
+    partial = U.failed_unit_diagnostics(keyed.filter("target = ''"), "source", keys=keys)
+    partial = partial.withColumn("attempt", F.lit(2).cast("long"))
+    path = scratch_path(spark, "diagnostics")
+    for rows, name in ((failed, "run-1"), (failed, "run-1"), (partial, "run-2"), (partial, "run-2"), (failed.union(partial), "run-3")):
+        tables.append_diagnostics(rows, path, name)
+    return tables.read_diagnostics(spark, path, failed.schema)
+
+
 DRAWING = r"""
     drawing_fx AS (
       SELECT doc_id || '-' || unit_idx AS handle,

@@ -173,12 +173,32 @@ def document_flags(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path STRING, has_document BOOLEAN")
 
 
+SHARED_STRINGS = "xl/sharedStrings.xml"
+SHEET_MEMBER = XLSX_MEMBERS[0][1]
+# Number formats that show dates or times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _outside(member: str) -> bool:
+    """Whether a member points outside the archive."""
+    return member.startswith("/") or ".." in member.split("/")
+
+
+def _members(archive):
+    """Names of the members that lie within the archive, if their XML is not too large."""
+    infos = archive.infolist()
+    if sum(i.file_size for i in infos if i.filename.endswith(".xml")) > MAX_XML_BYTES:
+        raise ValueError(f"its XML exceeds {MAX_XML_BYTES} bytes")
+    return [i.filename for i in infos if not _outside(i.filename)]
+
+
 def _texts(archive, member, kind):
-    """(id suffix, text) pairs of one spreadsheet member."""
+    """(id, text, place within the member) of one spreadsheet member."""
     state = {"item": 0, "parts": [], "on": False, "ref": "", "skip": 0, "inline": False, "first": True}
-    rows = []
+    rows, way = [], []
 
     def start(name, attrs):
+        way.append(name)
         if kind == "shared_string":
             if name == "si":
                 state.update(parts=[])
@@ -212,71 +232,195 @@ def _texts(archive, member, kind):
                 state["skip"] -= 1
             elif name == "si":
                 if joined.strip():
-                    rows.append((f"ss_{state['item']}", joined))
+                    rows.append((f"ss_{state['item']}", joined, str(state["item"])))
                 state["item"] += 1
         elif kind == "inline_string":
             if name == "r":
                 state["skip"] -= 1
             elif name == "c" and state["inline"] and joined:
-                rows.append((f"ws_{member}_cell_{state['ref']}", joined))
+                rows.append((f"ws_{member}_cell_{state['ref']}", joined, state["ref"]))
         elif kind == "comment":
             if name == "t":
                 state["first"] = False
             elif name == "comment" and joined:
-                rows.append((f"cm_{member}_{state['ref']}", joined))
+                rows.append((f"cm_{member}_{state['ref']}", joined, state["ref"]))
         elif name == "t" and joined.strip():
             prefix = "chart" if kind == "chart_text" else "shape"
-            rows.append((f"{prefix}_{member}_{joined[:20]}_{len(rows)}", joined))
+            # The way from below the root down to the text.
+            rows.append((f"{prefix}_{member}_{joined[:20]}_{len(rows)}", joined, " > ".join(way[1:])))
+        way.pop()
         state["on"] = False
 
     _parse(archive, member, start, end, text)
     return rows
 
 
-def xlsx_texts(files: DataFrame) -> DataFrame:
-    """Text-bearing content of spreadsheets (S6): path, member, id, text, source_type, error.
+def _cells(archive, member):
+    """(reference, type, style, formula, value) of the cells of one sheet."""
+    state = {"cell": None, "part": None}
+    rows = []
+
+    def start(name, attrs):
+        if name == "c":
+            state["cell"] = {"r": attrs.get("r", ""), "t": attrs.get("t", "n"), "s": attrs.get("s", "0"), "f": None, "v": None}
+        elif state["cell"] is not None and name in ("f", "v", "t"):
+            state["part"] = "f" if name == "f" else "v"
+            if state["cell"][state["part"]] is None:
+                state["cell"][state["part"]] = ""
+
+    def text(data):
+        if state["cell"] is not None and state["part"]:
+            state["cell"][state["part"]] += data
+
+    def end(name):
+        state["part"] = None
+        if name == "c" and state["cell"] is not None:
+            rows.append(tuple(state["cell"].values()))
+            state["cell"] = None
+
+    _parse(archive, member, start, end, text)
+    return rows
+
+
+def _first_uses(archive, members) -> dict[str, str]:
+    """The first cell that shows each shared string: item number -> member!reference."""
+    uses: dict[str, str] = {}
+    for member in members:
+        if SHEET_MEMBER.match(member):
+            try:
+                for ref, kind, _, _, value in _cells(archive, member):
+                    if kind == "s" and value:
+                        uses.setdefault(value, f"{member}!{ref}")
+            except DAMAGE:
+                continue  # its texts are reported with the error of the member
+    return uses
+
+
+def _date_styles(archive, members) -> set[str]:
+    """Style numbers whose number format shows a date or a time."""
+    if "xl/styles.xml" not in members:
+        return set()
+    own, styles, inside = {}, [], [False]
 
-    Shared and inline strings, comments, chart and shape text. Members that
-    point outside the archive are skipped. A file whose XML members together exceed
-    the size limit, or that cannot be opened, gives one row with its error; so
-    does a member that cannot be read, beside the rows of the others. Ids hold
-    a running number where texts of a member may be equal.
+    def start(name, attrs):
+        if name == "numFmt":
+            own[attrs.get("numFmtId")] = attrs.get("formatCode", "")
+        elif name == "cellXfs":
+            inside[0] = True
+        elif name == "xf" and inside[0]:
+            styles.append(attrs.get("numFmtId", "0"))
+
+    def end(name):
+        if name == "cellXfs":
+            inside[0] = False
+
+    _parse(archive, "xl/styles.xml", start, end)
+
+    def dated(number: str) -> bool:
+        shown = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(number, ""))
+        return (number.isdigit() and int(number) in DATE_FORMATS) or bool(re.search("[dmyhs]", shown, re.I))
+
+    return {str(i) for i, number in enumerate(styles) if dated(number)}
+
+
+def _sheet_rows(archive):
+    """(member, locator, category, value, should_translate, error) of the cells with a value."""
+    members = _members(archive)
+    dates = _date_styles(archive, members)
+    shared = {}
+    if SHARED_STRINGS in members:
+        shared = {place: text for _, text, place in _texts(archive, SHARED_STRINGS, "shared_string")}
+    out = []
+    for member in members:
+        if not SHEET_MEMBER.match(member):
+            continue
+        try:
+            for ref, kind, style, formula, value in _cells(archive, member):
+                if formula:
+                    category, value = "formula", formula
+                elif kind == "s":
+                    category, value = "text", shared.get(value or "")
+                elif kind in ("inlineStr", "str"):
+                    category = "text"
+                else:
+                    named = {"b": "boolean", "e": "error", "d": "date"}
+                    category = named.get(kind) or ("date" if style in dates else "number")
+                if value:
+                    out.append((member, f"{member}!{ref}", category, value, category == "text", None))
+        except DAMAGE as exc:
+            out.append((member, None, None, None, None, f"{type(exc).__name__}: {exc}"))
+    return out
+
+
+def _archive_rows(files: DataFrame, read_one, fields: str) -> DataFrame:
+    """One row per item that ``read_one`` finds in an archive; path first, error last."""
+    names = [f.split(" ")[0] for f in fields.split(", ")]
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows, error = _guarded(content, read_one)
+                rows = rows if error is None else [(*[None] * (len(names) - 2), error)]
+                yield pd.DataFrame([(path, *r) for r in rows], columns=names)
+
+    return files.select("path", "content").mapInPandas(read, fields)
+
+
+def xlsx_texts(files: DataFrame) -> DataFrame:
+    """Text-bearing content of spreadsheets (S6): path, member, id, text, source_type, category,
+    should_translate, locator, error.
+
+    Shared and inline strings, comments, chart and shape text, all of category
+    ``text`` and to be translated. The locator is the place a reader sees: the
+    first cell that shows a shared string (its number where no cell does), the
+    cell of an inline string or comment, the way of elements to a chart or
+    shape text. Members that point outside the archive are skipped. A file
+    whose XML members together exceed the size limit, or that cannot be
+    opened, gives one row with its error; so does a member that cannot be
+    read, beside the rows of the others. Ids hold a running number where texts
+    of a member may be equal.
     """
 
     def texts(archive):
-        infos = archive.infolist()
-        if sum(i.file_size for i in infos if i.filename.endswith(".xml")) > MAX_XML_BYTES:
-            raise ValueError(f"its XML exceeds {MAX_XML_BYTES} bytes")
+        members = _members(archive)
+        uses = _first_uses(archive, members) if SHARED_STRINGS in members else {}
         out = []
-        for info in infos:
-            member = info.filename
-            if member.startswith("/") or ".." in member.split("/"):
-                continue
+        for member in members:
             kinds = [k for k, pattern in XLSX_MEMBERS if pattern.match(member)]
-            if member == "xl/sharedStrings.xml":
+            if member == SHARED_STRINGS:
                 kinds = ["shared_string"]
             for kind in kinds:
                 try:
-                    out += [(member, i, t, kind, None) for i, t in _texts(archive, member, kind)]
+                    for number, text, place in _texts(archive, member, kind):
+                        locator = f"{member}!{place}"
+                        if kind == "shared_string":
+                            locator = uses.get(place, locator)
+                        out.append((member, number, text, kind, "text", True, locator, None))
                 except DAMAGE as exc:
-                    out.append((member, None, None, kind, f"{type(exc).__name__}: {exc}"))
+                    out.append((member, None, None, kind, None, None, None, f"{type(exc).__name__}: {exc}"))
         return out
 
-    def read(batches):
-        import pandas as pd
+    return _archive_rows(
+        files, texts,
+        "path STRING, member STRING, id STRING, text STRING, source_type STRING, category STRING, "
+        "should_translate BOOLEAN, locator STRING, error STRING",
+    )
 
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows, error = _guarded(content, texts)
-                rows = rows if error is None else [(None, None, None, None, error)]
-                yield pd.DataFrame(
-                    [(path, *r) for r in rows],
-                    columns=["path", "member", "id", "text", "source_type", "error"],
-                )
 
-    return files.select("path", "content").mapInPandas(
-        read,
-        "path STRING, member STRING, id STRING, text STRING, source_type STRING, error STRING",
+def xlsx_cells(files: DataFrame) -> DataFrame:
+    """Cells that hold a value (S6): path, member, locator, category, value, should_translate, error.
+
+    The category follows the workbook's references: shared and inline strings
+    are ``text``, the only ones to translate; a cell with a formula is a
+    ``formula`` and its value the formula; ``boolean`` and ``error`` are typed
+    as such; numbers are a ``date`` where the cell's style shows one, else a
+    ``number``. Unreadable files and sheets as in :func:`xlsx_texts`.
+    """
+    return _archive_rows(
+        files, _sheet_rows,
+        "path STRING, member STRING, locator STRING, category STRING, value STRING, should_translate BOOLEAN, error STRING",
     )
 
 

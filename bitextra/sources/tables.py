@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitextra.functions.text import COLUMN_LANGUAGE
-from bitextra.operators.ranking import chunked_rank
+from bitextra.operators.ranking import chunked_rank, join_null_safe
 
 WORDS = list(COLUMN_LANGUAGE)
 BOM = "﻿"
@@ -106,13 +107,29 @@ MONITORING_ENTRY = (
 )
 
 
-def _day_documents(spark: SparkSession, path: str, entry: str, glob: str) -> DataFrame:
-    days = (
-        spark.read.schema(f"date STRING, created_at STRING, entries ARRAY<STRUCT<{_fields(entry)}>>")
-        .option("multiLine", True).option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", glob).json(path)
+def _day_documents(spark: SparkSession, path: str, entry: str, glob: str, streaming: bool) -> DataFrame:
+    """file, date, the fields of each entry, and an error where a document cannot be read.
+
+    A document is one file whatever its line breaks; an unreadable one gives
+    one row with its error. Dates missing in a document are those of its name.
+    """
+    reader = spark.readStream.schema("value STRING") if streaming else spark.read
+    files = reader.format("text").option("wholetext", True).option("pathGlobFilter", glob)
+    schema = f"date STRING, created_at STRING, entries ARRAY<STRUCT<{_fields(entry)}>>, _damaged STRING"
+    options = {"columnNameOfCorruptRecord": "_damaged", "mode": "PERMISSIVE"}
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d\d-\d\d)[^/]*$", 1)
+    days = files.option("recursiveFileLookup", True).load(path).select(
+        F.col("_metadata.file_path").alias("file"), named.alias("_named"),
+        F.from_json("value", schema, options).alias("d"),
+    )
+    broken = F.col("d").isNull() | F.col("d._damaged").isNotNull()
+    none = F.array(F.lit(None).cast(f"STRUCT<{_fields(entry)}>"))
+    rows = days.select(
+        "file", F.coalesce(F.when(~broken, F.col("d.date")), F.nullif("_named", F.lit(""))).alias("date"),
+        F.when(broken, F.lit("not a JSON document")).alias("error"),
+        F.explode(F.when(broken, none).otherwise(F.coalesce("d.entries", F.array().cast(f"ARRAY<STRUCT<{_fields(entry)}>>")))).alias("e"),
     )
-    return days.select("date", F.explode("entries").alias("e")).select("date", "e.*")
+    return rows.select("file", "date", "e.*", "error")
 
 
 def _fields(entry: str) -> str:
@@ -131,14 +148,26 @@ def _split_fields(entry: str) -> list[str]:
     return [*out, part.strip()]
 
 
+def journal_documents(spark: SparkSession, path: str, glob: str = "journal*.json", streaming: bool = False) -> DataFrame:
+    """Entries of day documents and one error row per unreadable document."""
+    return _day_documents(spark, path, ENTRY, glob, streaming)
+
+
+def monitoring_documents(
+    spark: SparkSession, path: str, glob: str = "monitoring*.json", streaming: bool = False
+) -> DataFrame:
+    """Monitoring entries of day documents, as a table or as documents arrive."""
+    return _day_documents(spark, path, MONITORING_ENTRY, glob, streaming)
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """Entries of day documents; an unreadable document gives no rows."""
-    return _day_documents(spark, path, ENTRY, "journal*.json")
+    return journal_documents(spark, path).filter("error IS NULL").drop("file", "error")
 
 
 def read_monitoring(spark: SparkSession, path: str) -> DataFrame:
     """Monitoring entries of day documents."""
-    return _day_documents(spark, path, MONITORING_ENTRY, "monitoring*.json")
+    return monitoring_documents(spark, path).filter("error IS NULL").drop("file", "error")
 
 
 def append_log(entries: DataFrame, path: str, day: str = "log_date") -> None:
@@ -170,8 +199,42 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOGUE_SCHEMA).json(path)
 
 
+DIAGNOSTIC_KEY = ["job_id", "batch", "attempt"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def append_diagnostics(rows: DataFrame, path: str, write_id: str) -> None:
+    """Append diagnostics once per job, batch and attempt.
+
+    Each write has a folder of its own, named by ``write_id`` (a run, or the
+    number of a micro-batch) and replaced when the write is repeated. Keys
+    that an earlier write holds are left out, so a batch that is reported
+    again by another run adds nothing; a row repeated within a write counts
+    once. One writer at a time.
+    """
+    spark = rows.sparkSession
+    fresh = rows.dropDuplicates()
+    if _exists(spark, path):
+        held = read_diagnostics(spark, path, rows.schema).filter(F.col("write_id") != write_id)
+        fresh = join_null_safe(fresh, held.select(*DIAGNOSTIC_KEY).distinct(), DIAGNOSTIC_KEY, "left_anti")
+    fresh.write.mode("overwrite").json(f"{path}/write_id={write_id}")
+
+
+def read_diagnostics(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all writes, with the ``write_id`` of each."""
+    whole = T.StructType([*schema.fields, T.StructField("write_id", T.StringType())])
+    return spark.read.schema(whole).json(path)
+
+
 def read_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, size and extension of submitted files; contents are never read."""
+    """path, size and extension of submitted files.
+
+    The plan comes from the file listing; as no content is selected, no file is opened.
+    """
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true").load(path)

@@ -168,3 +168,45 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "plain").write_text("1")
     got = {(r["size"], r.extension) for r in tables.read_manifest(spark, str(tmp_path)).collect()}
     assert got == {(5, "DOCX"), (1, "")}
+
+
+def test_diagnostics_are_appended_once(spark, tmp_path):
+    path, schema = str(tmp_path / "diagnostics"), "job_id string, batch long, attempt long, unit_idx long, preview string"
+    first = spark.createDataFrame([("a", 1, 1, 0, "x"), ("a", 1, 1, 1, "y"), (None, 1, 1, 0, "z"), ("a", 1, 1, 0, "x")], schema)
+    later = spark.createDataFrame([("a", 1, 1, 0, "x"), ("a", 1, 2, 0, "x"), (None, 1, 1, 0, "z")], schema)
+    for rows, name in ((first, "1"), (first, "1"), (later, "2"), (first, "3"), (later, "2")):
+        tables.append_diagnostics(rows, path, name)
+    got = sorted(map(repr, map(tuple, tables.read_diagnostics(spark, path, first.schema).collect())))
+    assert got == sorted(map(repr, [("a", 1, 1, 0, "x", "1"), ("a", 1, 1, 1, "y", "1"), (None, 1, 1, 0, "z", "1"), ("a", 1, 2, 0, "x", "2")]))
+
+
+def test_workbook_references(spark):
+    import io
+    import zipfile
+
+    parts = {
+        "xl/styles.xml": '<s><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><numFmts><numFmt numFmtId="170" formatCode="[Red]0&quot;days&quot;"/>'
+        '<numFmt numFmtId="171" formatCode="[$-409]d\\-mmm"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></s>',
+        "xl/sharedStrings.xml": "<sst><si><t>unused</t></si><si><t>used</t></si></sst>",
+        "xl/worksheets/sheet1.xml": '<w><row><c r="A1" t="s"><v>1</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" s="1"><v>45000</v></c>'
+        '<c r="D1" s="2"><v>5</v></c><c r="E1" s="3"><v>6</v></c><c r="F1" t="str"><f>A1&amp;"x"</f><v>usedx</v></c><c r="G1"/>'
+        '<c r="H1" t="inlineStr"><is><t>in</t></is></c><c r="I1" t="s"><v>99</v></c></row></w>',
+        "xl/worksheets/sheet2.xml": "<w><c r='A1'>",
+        "xl/charts/chart1.xml": "<c><title><tx><t>Chart</t></tx></title></c>",
+    }
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    files = spark.createDataFrame([("f", bytearray(held.getvalue())), ("bad", bytearray(b"no")), ("none", None)], "path string, content binary")
+    cells = {(r.locator, r.category, r.value, r.should_translate) for r in office.xlsx_cells(files).filter("error is null").collect()}
+    at = "xl/worksheets/sheet1.xml!"
+    assert cells == {
+        (at + "A1", "text", "used", True), (at + "B1", "text", "used", True), (at + "C1", "date", "45000", False),
+        (at + "D1", "number", "5", False), (at + "E1", "date", "6", False), (at + "F1", "formula", 'A1&"x"', False),
+        (at + "H1", "text", "in", True),
+    }
+    assert office.xlsx_cells(files).filter("error is not null").count() == 3
+    texts = {(r.text, r.locator) for r in office.xlsx_texts(files).filter("error is null").collect()}
+    assert texts == {("unused", "xl/sharedStrings.xml!0"), ("used", at + "A1"), ("in", at + "H1"), ("Chart", "xl/charts/chart1.xml!title > tx > t")}
