@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitextra.functions.text import interleave, let
+from bitextra.functions.text import interleave, let, runs
 
 # Designation marks, unit names that turn a dotted number into a
 # value, the shape of a date and the placeholder spelling.
@@ -103,26 +103,29 @@ def values_of(tokens: Column, kind: str) -> Column:
     return F.transform(of_kind(tokens, kind), lambda x: x["value"])
 
 
-def _numbered(values: Column) -> Column:
-    """Attach the copy number to each value, so set difference acts on multisets."""
-    return F.transform(
-        values,
-        lambda v, i: F.struct(
-            v.alias("v"),
-            F.size(F.filter(F.slice(values, F.lit(1), i + 1), lambda y: y == v)).alias("copy"),
-        ),
-    )
+def multiset_minus(left: Column, right: Column) -> Column:
+    """Values of ``left`` not covered by ``right``: first-seen order, copies adjacent.
 
+    Both sides are sorted together once; within the run of a value the copies
+    of ``left`` beyond the number of those of ``right`` are left over.
+    """
+    def side(values: Column, number: int) -> Column:
+        return F.transform(values, lambda v, i: F.struct(v.alias("v"), F.lit(number).alias("s"), i.alias("i")))
+
+    def left_over(run: Column) -> Column:
+        def copies(mine: Column) -> Column:
+            covered = F.size(run) - mine
+            numbers = F.when(mine > covered, F.sequence(covered + 1, mine)).otherwise(F.array().cast("array<int>"))
+            first = F.get(run, F.lit(0))
+            return F.transform(
+                numbers, lambda n: F.struct(first["i"].alias("p"), n.alias("copy"), first["v"].alias("v"))
+            )
 
-def multiset_minus(left: Column, right: Column) -> Column:
-    """Values of ``left`` not covered by ``right``: first-seen order, copies adjacent."""
-    def placed(l: Column) -> Column:
-        rest = F.array_except(_numbered(l), let(right, _numbered))
-        return F.transform(
-            rest, lambda x: F.struct(F.array_position(l, x["v"]).alias("p"), x["copy"], x["v"])
-        )
+        return let(F.size(F.filter(run, lambda x: x["s"] == 0)), copies)
 
-    return F.transform(F.array_sort(let(left, placed)), lambda x: x["v"])
+    both = F.sort_array(F.concat(side(left, 0), side(right, 1)))
+    rest = F.flatten(F.transform(runs(both, lambda x, y: x["v"] == y["v"]), left_over))
+    return F.transform(F.sort_array(rest), lambda x: x["v"])
 
 
 def drift_of(source_tokens: Column, target_tokens: Column) -> Column:

@@ -215,6 +215,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def runs(ordered: Column, same) -> Column:
+    """The runs of an ordered array whose neighbours are the ``same``, as arrays of arrays.
+
+    Each element is looked at once and each run cut out once, so the work
+    follows the length of the array.
+    """
+    def cut(x: Column) -> Column:
+        def slices(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda at, j: F.slice(x, at + 1, F.coalesce(F.get(starts, j + 1), F.size(x)) - at),
+            )
+
+        first = F.filter(
+            F.sequence(F.lit(0), F.size(x) - 1),
+            lambda i: (i == 0) | ~same(F.get(x, i - 1), F.get(x, i)),
+        )
+        return F.when(F.size(x) > 0, let(first, slices)).otherwise(F.slice(F.array(x), 1, 0))
+
+    return let(ordered, cut)
+
+
 def interleave(gaps: Column, tokens: Column) -> Column:
     """Rebuild a text from the gaps around tokens and the tokens themselves."""
     return F.array_join(

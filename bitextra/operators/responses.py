@@ -27,26 +27,46 @@ def _single(c: Column) -> Column:
     return let(_elements(c), lambda e: F.when(F.size(e) == 1, F.get(e, F.lit(0))))
 
 
-def _longest_prefix(c: Column) -> Column:
-    """The longest prefix ending in a brace that parses after repair.
+def _outside_strings(c: Column) -> Column:
+    """The text with everything within quotes masked, character by character.
 
-    Prefixes are tried from the longest on; once one parses no other is built.
+    Escapes are masked first; then the parts between quotes are inside and
+    outside in turn.
     """
-    def longest(parts: Column) -> Column:
-        ends = F.slice(F.sequence(F.lit(1), F.size(parts)), F.lit(1), F.size(parts) - 1)
-
-        def attempt(n: Column) -> Column:
-            return _single(
-                repair_json(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "}"), F.lit("}")))
-            )
-
-        return F.aggregate(
-            F.reverse(ends),
-            F.try_parse_json(F.lit("")),
-            lambda found, n: F.when(found.isNotNull(), found).otherwise(attempt(n)),
+    parts = F.split(F.regexp_replace(c, r"(?s)\\.", "__"), '"', -1)
+    masked = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit("_"), F.length(p))).otherwise(p))
+    return F.array_join(masked, "_")
+
+
+def _closing(c: Column) -> Column:
+    """Length of the prefix up to the brace that closes the first one; 0 where none does."""
+    def step(acc: Column, piece: Column) -> Column:
+        opened = F.length(piece) - F.length(F.replace(piece, F.lit("{")))
+        return let(
+            F.struct((acc["depth"] + opened - 1).alias("depth"), (acc["at"] + F.length(piece) + 1).alias("at")),
+            lambda now: F.struct(
+                now["depth"].alias("depth"), now["at"].alias("at"),
+                F.when(acc["end"] > 0, acc["end"]).when(now["depth"] == 0, now["at"]).otherwise(0).alias("end"),
+            ),
         )
 
-    return let(F.split(c, r"\}", -1), longest)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    pieces = F.split(_outside_strings(c), r"\}", -1)
+    return let(pieces, lambda x: F.aggregate(F.slice(x, F.lit(1), F.size(x) - 1), start, step))["end"]
+
+
+def _longest_prefix(c: Column) -> Column:
+    """The longest prefix ending in a brace that parses after repair.
+
+    A prefix is one value only if it ends where the first brace is closed:
+    shorter ones are open, longer ones go on after the value. The repairs
+    move neither braces nor quotes, so one scan finds the only candidate and
+    at most one text is parsed, however many braces a response has.
+    """
+    return let(
+        _closing(c),
+        lambda end: F.when(end > 0, _single(repair_json(F.substring(c, F.lit(1), end)))),
+    )
 
 
 def response_columns(content: str) -> list[tuple[str, Column]]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitextra.functions.text import runs
+
 CORRUPT = "_corrupt"
 PAGE_SCHEMA = (
     "page INT, pdf STRING, text STRING, words ARRAY<STRUCT<text: STRING, x0: DOUBLE, y0: DOUBLE, "
@@ -30,23 +32,29 @@ def page_lines(pages: DataFrame) -> DataFrame:
     Words are grouped by (block, line) in first-seen order inside the row; a
     page without words falls back to the lines of its raw text.
     """
-    key = lambda w: F.struct(  # noqa: E731 - used in two lambdas
-        F.coalesce(w["block"], F.lit(0)).alias("block"), F.coalesce(w["line"], F.lit(0)).alias("line")
-    )
     words = F.col("words")
-    of_words = F.transform(
-        F.array_distinct(F.transform(words, key)),
-        lambda k: F.struct(
-            k["block"].alias("block"),
-            k["line"].alias("line"),
-            F.array_join(
-                F.transform(
-                    F.filter(words, lambda w: key(w) == k), lambda w: F.coalesce(w["text"], F.lit(""))
-                ),
-                " ",
-            ).alias("text"),
+    keyed = F.transform(
+        words,
+        lambda w, i: F.struct(
+            F.coalesce(w["block"], F.lit(0)).alias("block"), F.coalesce(w["line"], F.lit(0)).alias("line"),
+            i.alias("i"), F.coalesce(w["text"], F.lit("")).alias("text"),
         ),
     )
+
+    def line_of(run: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        return F.struct(
+            first["i"].alias("i"), first["block"].alias("block"), first["line"].alias("line"),
+            F.array_join(F.transform(run, lambda w: w["text"]), " ").alias("text"),
+        )
+
+    # Sorted once by line, cut into lines, and these put in the order of their first words.
+    lines = F.transform(
+        runs(F.sort_array(keyed), lambda x, y: (x["block"] == y["block"]) & (x["line"] == y["line"])), line_of
+    )
+    of_words = F.transform(
+        F.sort_array(lines), lambda x: F.struct(x["block"].alias("block"), x["line"].alias("line"), x["text"].alias("text"))
+    )
     none = F.lit(None).cast("int")
     of_text = F.transform(
         F.split(F.coalesce("text", F.lit("")), "\n"),

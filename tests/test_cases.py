@@ -173,3 +173,56 @@ def test_responses(spark, response, expected):
     df = spark.createDataFrame([(response,)], "response STRING")
     items = parse_responses(df).first()["items"]
     assert (None if items is None else [(i["id"], i["text"]) for i in items]) == expected
+
+
+def test_multisets_are_linear_and_exact(spark):
+    import random
+    import time
+    from collections import Counter
+
+    from bitextra.functions.numeric import multiset_minus
+
+    rng = random.Random(6)
+    rows = [([str(rng.randint(0, 9)) for _ in range(rng.randint(0, 12))], [str(rng.randint(0, 9)) for _ in range(rng.randint(0, 12))])
+            for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for a, b, got in df.select("a", "b", multiset_minus(F.col("a"), F.col("b"))).collect():
+        over = Counter(a) - Counter(b)
+        assert got == [v for v in dict.fromkeys(a) for _ in range(over[v])]
+    wide = [([str(i % 15_000) for i in range(20_000)], [str(i) for i in range(5_000, 20_000)])]
+    start = time.time()
+    got = spark.createDataFrame(wide, df.schema).select(multiset_minus(F.col("a"), F.col("b"))).first()[0]
+    assert Counter(got) == Counter(wide[0][0]) - Counter(wide[0][1]) and time.time() - start < 20
+
+
+def test_lines_of_a_page_of_many_words(spark):
+    import time
+
+    from bitextra.sources.pagetext import page_lines, words_type
+
+    words = [(f"w{i}", 0.0, 0.0, 0.0, 0.0, i % 4, None if i % 3 == 0 else i % 5000, i) for i in range(20_000)]
+    pages = spark.createDataFrame([(1, "p", "", words), (2, "p", "a\nb", [])], f"page int, pdf string, text string, words {words_type()}")
+    start = time.time()
+    got = [(r.page, r.pos, r.block, r.line, r.text) for r in page_lines(pages).collect()]
+    assert time.time() - start < 20
+    lines = {}
+    for text, *_, block, line, _ in words:
+        lines.setdefault((block, line or 0), []).append(text)
+    true = [(1, n, b, at, " ".join(t)) for n, ((b, at), t) in enumerate(lines.items())]
+    assert sorted(got, key=lambda r: r[:2]) == true + [(2, 0, None, None, "a"), (2, 1, None, None, "b")]
+
+
+def test_long_responses_are_scanned_once(spark):
+    import json
+    import time
+
+    from bitextra.operators.responses import parse_responses
+
+    item = '{"id":"%d","text":"a } \\" { b \\\\"},'
+    broken = '{"translations":[' + "".join(item % i for i in range(30_000)) + '{"id":"x","te'
+    tail = json.dumps({"translations": [{"id": "1", "text": 'q"}{'}]}) + " and } { more }"
+    df = spark.createDataFrame([(1, broken), (2, tail), (3, "{" * 200_000 + "}" * 199_999)], "n int, response string")
+    start = time.time()
+    got = {r.n: r["items"] for r in parse_responses(df).collect()}
+    assert time.time() - start < 30
+    assert got[1] is None and got[3] is None and [(i["id"], i["text"]) for i in got[2]] == [("1", 'q"},{')]
