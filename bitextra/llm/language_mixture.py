@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 15
 # Expected number of documents per language used for learning; the documented bound of the sample.
 SAMPLE_PER_LANGUAGE = 2000
-# Languages that enter a document's mixture: the best by single-language likelihood.
-SHORTLIST = 8
-LARGEST_SET = 4
 ROUNDS = 12
 # Adjacent trigrams share letters: they count as a third of independent ones.
 DEPENDENCE = 1 / 3
@@ -100,71 +97,82 @@ def _em(likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(counts @ np.log(likelihood @ share))
 
 
-def mixture(found: np.ndarray, table: np.ndarray) -> tuple[list[int], list[float]]:
-    """Languages (column numbers) and proportions of one document, largest first."""
+def mixture(found: np.ndarray, table: np.ndarray) -> tuple[list[int], list[float], float]:
+    """Languages (column numbers), proportions, largest first, and the gain over a background.
+
+    Sets of every size up to all learnt languages are compared, nested in the
+    order of their shares in the mixture of all; a size whose penalty exceeds
+    what the mixture of all could gain ends the search. The gain is the log
+    likelihood per trigram of the chosen mixture over that of a background in
+    which all trigrams are alike.
+    """
     bucket, counts = np.unique(found, return_counts=True)
     counts = counts.astype(float)
     logs = table[bucket].astype(float)
-    single = counts @ logs
-    best = np.argsort(-single, kind="stable")[:SHORTLIST]
-    logs = logs[:, best]
     # Scaling a row by a constant changes no proportion and no comparison of sets.
-    likelihood = np.exp(logs - logs.max(1, keepdims=True))
-    shares, _ = _em(likelihood, counts)
+    scale = logs.max(1, keepdims=True)
+    likelihood = np.exp(logs - scale)
+    shares, best_of_all = _em(likelihood, counts)
     order = np.argsort(-shares, kind="stable")
     penalty = 0.5 * np.log(max(2.0, counts.sum() * DEPENDENCE))
-    chosen, kept, top = None, None, -np.inf
-    for size in range(1, min(LARGEST_SET, len(best)) + 1):
-        members = order[:size]
-        share, value = _em(likelihood[:, members], counts)
-        value = value * DEPENDENCE - penalty * (2 * size - 1)
-        if value <= top:
+    chosen, kept, top, value_of = order[:1], np.ones(1), -np.inf, 0.0
+    for size in range(1, len(order) + 1):
+        if best_of_all * DEPENDENCE - penalty * (2 * size - 1) <= top:
             break
-        chosen, kept, top = members, share, value
+        share, value = _em(likelihood[:, order[:size]], counts)
+        best_of_all = max(best_of_all, value)
+        if value * DEPENDENCE - penalty * (2 * size - 1) > top:
+            chosen, kept, value_of = order[:size], share, value
+            top = value * DEPENDENCE - penalty * (2 * size - 1)
     rank = np.argsort(-kept, kind="stable")
-    return [int(best[chosen[i]]) for i in rank], [float(kept[i]) for i in rank]
+    total = counts.sum()
+    gain = (value_of + float(counts @ scale[:, 0])) / total + np.log(len(table))
+    return [int(chosen[i]) for i in rank], [float(kept[i]) for i in rank], gain
 
 
 def predict(
     docs: DataFrame, names: list[str], table: np.ndarray, text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred, score and languages.
+    """``keep`` columns of ``docs`` with lang_pred, score, languages and gain.
 
-    ``languages`` lists the chosen set with proportions. A null text, a text
-    without letters and any text when nothing was learnt get ``und``, score 0
-    and no languages. Only the text is looked at. An empty table gives an
+    ``languages`` lists the chosen set with proportions, ``gain`` is the log
+    likelihood per trigram over a background of equal trigrams: below 0 the
+    text is in no learnt language. A null text, a text without letters and any
+    text when nothing was learnt get ``und``, score and gain 0 and no languages. Only the text is looked at. An empty table gives an
     empty result; a kept column named like a result is replaced.
     """
     from pyspark.sql import types as T
 
-    results = ("lang_pred", "score", "languages")
+    results = ("lang_pred", "score", "languages", "gain")
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in results]
     schema = T.StructType(
         [docs.schema[c] for c in keep]
         + [T.StructField(results[0], T.StringType()), T.StructField(results[1], T.DoubleType()),
-           T.StructField(results[2], T.StringType())]
+           T.StructField(results[2], T.StringType()), T.StructField(results[3], T.DoubleType())]
     )
     place = keep.index(text) if text in keep else len(keep)
     wanted = docs.select(*keep) if text in keep else docs.select(*keep, text)
 
     def run(batches):
         for batch in batches:
-            labels, scores, sets = [], [], []
+            labels, scores, sets, gains = [], [], [], []
             for body in batch.column(place):
                 body = body.as_py()
                 found = buckets_of(body) if body and names and _LETTER.search(body) else ()
                 if len(found):
-                    which, share = mixture(found, table)
+                    which, share, gain = mixture(found, table)
+                    gains.append(float(gain))
                     labels.append(names[which[0]])
                     scores.append(min(1.0, share[0]))
                     sets.append(",".join(f"{names[w]}:{s:.3f}" for w, s in zip(which, share, strict=True)))
                 else:
                     labels.append("und")
                     scores.append(0.0)
+                    gains.append(0.0)
                     sets.append("")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(labels, pa.string()),
-                 pa.array(scores, pa.float64()), pa.array(sets, pa.string())],
+                 pa.array(scores, pa.float64()), pa.array(sets, pa.string()), pa.array(gains, pa.float64())],
                 names=schema.names,
             )
 

@@ -98,7 +98,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     names, model = learn(docs)
     return predict(docs, names, model, keep=["doc_id"]).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages"
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "gain"
     )
 
 

@@ -244,3 +244,22 @@ def test_mixture_of_two_languages(spark, sf_dir):
     both = spark.createDataFrame([(1, one[a] + " " + one[b])], "doc_id long, text string")
     shares = dict(x.split(":") for x in predict(both, names, table).first()["languages"].split(","))
     assert {a, b} <= set(shares) and all(float(shares[x]) > 0.25 for x in (a, b))
+
+
+def test_all_languages_of_a_text_and_none(spark):
+    import random
+
+    rng = random.Random(1)
+    syllables = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(30)] for _ in range(6)]
+
+    def prose(language, n):
+        return " ".join("".join(rng.choices(syllables[language], k=rng.randint(1, 3))) for _ in range(n))
+
+    rows = [(i, prose(i % 6, 200), f"l{i % 6}") for i in range(300)]
+    names, table = learn(frame(spark, rows))
+    junk = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=600))
+    texts = [(1, " ".join(prose(x, 60) for x in range(6))), (2, prose(3, 60)), (3, junk)]
+    got = {r["doc_id"]: r for r in predict(frame(spark, texts), names, table).collect()}
+    shares = [float(x.split(":")[1]) for x in got[1]["languages"].split(",")]
+    assert len(shares) == 6 and all(0.13 < x < 0.21 for x in shares)
+    assert got[2]["languages"] == "l3:1.000" and got[2]["gain"] > 1 and got[3]["gain"] < 0
