@@ -16,9 +16,10 @@ LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are null or without letters, and those without any leading language.
+    """Drops texts that are null or without letters, in no learnt language, or without a leading one.
 
-    Where no row has a language to learn from, every row stays.
+    A text is in no learnt language if its best mixture explains it less well
+    than a background of equal trigrams. Where no row has a language to learn from, every row stays.
     """
     names, table = learn(docs)
     if not names:
@@ -26,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Each text reaches Python once: the other columns ride in a struct beside it.
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
     judged = predict(docs.select(rest, "text"), names, table, keep=["_row", "text"])
-    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE) & (F.col("gain") > 0))
     return kept.select("_row.*", "text").select(*docs.columns)
 
 
