@@ -131,6 +131,15 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to at most 1; nothing is rounded
+    but what lies 1e300 times below it, and a cosine does not change."""
+    _, exponent = np.frexp(np.abs(vectors).max(1, keepdims=True))
+    # Two steps, as one factor alone may lie outside the range of numbers.
+    half = exponent // 2
+    return np.ldexp(np.ldexp(vectors, -half), half - exponent)
+
+
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(vec_id, v) of the rows that take part, each pair once.
 
@@ -281,6 +290,7 @@ def _search(index, visits, sizes: np.ndarray, k: int) -> DataFrame:
             query_ids = queries.column("query_id").to_pylist()
             unit = _unit(v)
             near = _unit(q) @ unit.T
+            v, q = _scaled(v), _scaled(q)
             keep = min(k + 1, len(v))
             edge = np.partition(near, len(v) - keep, axis=1)[:, len(v) - keep]
             norms = np.sqrt(np.einsum("ij,ij->i", v, v))

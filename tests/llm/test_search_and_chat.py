@@ -10,7 +10,7 @@ from bitextra.llm.chat_format import CONTROL, digests, escape, format_conversati
 from bitextra.llm.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["op2_chat_format", "op8_minhash_near_duplicates"])
+@pytest.mark.parametrize("name", ["op2_chat_format", "op8_minhash_near_duplicates", "op12_scaled_sketch_fingerprints"])
 def test_query_against_sql(name, spark, sf_dir):
     fn, sql = QUERIES[name]
     ok, message = compare(spark, duck(sf_dir), sf_dir, name, fn, sql)
@@ -94,3 +94,24 @@ def test_chat_masks_each_assistant_text_once(spark):
     row = formatted.filter("conv_id = 3").first()
     assert len(row["ids"]) == len(row["loss"]) == len(row["starts"]) and row["ends"][-1] == len(row["formatted"])
     assert digests(format_conversations(df.filter("false"))).count() == 0
+
+
+def test_scores_of_extreme_vectors(spark):
+    from fractions import Fraction
+    from math import isfinite, sqrt
+
+    vectors = [[1e200, 1e200], [1e200, 0.9e200], [1.0, 1.0], [1e-200, 2e-200], [5e-324, 0.0], [1e308, -1e308],
+               [1e200, 1.0], [1e-310, 3e-310], [-3.0, 4.0], [1.7e308, 1.7e308]]
+    rows = list(enumerate(vectors))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(x, y):
+        x, y = [Fraction(a) for a in x], [Fraction(a) for a in y]
+        dot = sum(a * b for a, b in zip(x, y, strict=True))
+        square = Fraction(dot * dot, sum(a * a for a in x) * sum(b * b for b in y))
+        return sqrt(square) * (1 if dot >= 0 else -1)
+
+    got = nearest(df, k=9).collect()
+    assert len(got) == 90 and all(isfinite(r["score"]) for r in got)
+    for r in got:
+        assert abs(r["score"] - cosine(vectors[r["query_id"]], vectors[r["vec_id"]])) < 1e-14
