@@ -3,17 +3,22 @@
 Each task packs the documents of its own input split in one streamed pass, so
 no row is shuffled and no key can be hot. A document longer than the longest
 window fills whole windows; its rest, like every shorter document, is routed
-to the smallest tier that holds it. A tier keeps one open window: a document
-that overshoots it is cut, its tail opens the next window. Full windows of a
-tier collect until they make a step group, and groups of all tiers hold the
-same number of tokens. At the end of a task the open windows of the shorter
-tiers fill the gap of the longest one; what remains fills windows of falling
-powers of two, so at most one window per task is padded.
+to the smallest tier that holds it and waits there with a bounded number of
+others. A window begins with the longest piece of its tier; its gap is filled
+with the longest pieces that fit, from its own tier down to the shortest, and
+only when none fits one piece is cut to close the gap. So windows are full and
+most documents are whole. Windows go to step groups of equal token budget: the
+next window comes from the tier in which most tokens wait and which the group
+still has room for, so every group mixes the tiers as the documents do and
+holds the same number of tokens, but for the last of a task. What remains at
+the end of a task fills windows of falling powers of two, so at most one window
+per task is padded.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import zlib
 from collections.abc import Iterator
@@ -30,6 +35,9 @@ TIERS = (256, 512, 1024, 2048)
 STEP_WINDOWS = 16
 END_ID = 1
 ROWS_PER_BATCH = 20_000
+# Pieces that wait in a task before windows are closed, and their tokens.
+WAITING_PIECES = 2048
+WAITING_TOKENS = 2_000_000
 # Leftovers below this many tokens go to one padded window.
 LEAST_WINDOW = 64
 
@@ -77,55 +85,83 @@ def load_encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], .
 
 
 class _Packer:
-    """Open windows of one task. Sequence numbers start at ``base``."""
+    """Waiting pieces of one task by tier. Sequence and group numbers start at ``base``."""
 
     def __init__(self, base: int, tiers: tuple[int, ...]):
         self.tiers = tiers
-        self.open: dict[int, list] = {t: [] for t in tiers}
-        self.room = {t: t for t in tiers}
+        # Of each tier: (length, arrival, row, start, ids, document's ids), shortest first.
+        self.waiting: dict[int, list[tuple]] = {t: [] for t in tiers}
+        self.tokens = {t: 0 for t in tiers}
+        self.arrivals = 0
         self.sequence = base
-        self.groups = {t: (-1, 0) for t in tiers}
-        self.group = base
+        self.group, self.room = base, STEP_WINDOWS * tiers[-1]
         self.rows: list[tuple] = []
 
+    def _wait(self, row: int, start: int, ids: np.ndarray, n: int) -> None:
+        tier = next(t for t in self.tiers if t >= len(ids))
+        self.arrivals += 1
+        bisect.insort(self.waiting[tier], (len(ids), self.arrivals, row, start, ids, n))
+        self.tokens[tier] += len(ids)
+
+    def _take(self, tier: int, place: int) -> tuple:
+        piece = self.waiting[tier].pop(place)
+        self.tokens[tier] -= piece[0]
+        return piece[2:]
+
     def add(self, row: int, ids: np.ndarray) -> None:
-        longest = self.tiers[-1]
-        at, n = 0, len(ids)
-        while n - at > longest:
-            self._emit([(row, at, ids[at : at + longest], n)], longest)
-            at += longest
-        tier = next(t for t in self.tiers if t >= n - at)
-        while at < n:
-            take = min(self.room[tier], n - at)
-            self.open[tier].append((row, at, ids[at : at + take], n))
-            self.room[tier] -= take
-            at += take
-            if not self.room[tier]:
-                self._close(tier)
-
-    def _close(self, tier: int) -> None:
-        self._emit(self.open[tier], tier)
-        self.open[tier], self.room[tier] = [], tier
+        longest, n = self.tiers[-1], len(ids)
+        for at in range(0, n, longest):
+            self._wait(row, at, ids[at : at + longest].copy(), n)
+            if sum(map(len, self.waiting.values())) > WAITING_PIECES or sum(self.tokens.values()) > WAITING_TOKENS:
+                self._close_windows(WAITING_PIECES // 2, WAITING_TOKENS // 2)
+
+    def _close_windows(self, pieces: int, tokens: int) -> None:
+        """Full windows until so few pieces and tokens wait, or no window can be filled."""
+        while sum(map(len, self.waiting.values())) > pieces or sum(self.tokens.values()) > tokens:
+            all_waiting = sum(self.tokens.values())
+            open_tiers = [t for t in self.tiers if t <= self.room and t <= all_waiting]
+            if not open_tiers:
+                return
+            tier = max(open_tiers, key=lambda t: self.tokens[t])
+            self._emit(self._filled(tier), tier)
+
+    def _filled(self, tier: int) -> list[tuple]:
+        """Pieces that fill one window of a tier; as many tokens at least must wait."""
+        room, taken = tier, []
+        while room:
+            fit = None
+            for t in reversed(self.tiers[: self.tiers.index(tier) + 1]):
+                place = bisect.bisect_right(self.waiting[t], (room, self.arrivals + 1)) - 1
+                if place >= 0 and (fit is None or self.waiting[t][place][0] > self.waiting[fit[0]][fit[1]][0]):
+                    fit = (t, place)
+            if fit is not None:
+                row, start, ids, n = self._take(*fit)
+            else:  # every piece that waits is longer: the longest of the tier, or of a longer one, is cut
+                below = [t for t in self.tiers if t <= tier and self.waiting[t]]
+                t = below[-1] if below else next(t for t in self.tiers if self.waiting[t])
+                row, start, ids, n = self._take(t, len(self.waiting[t]) - 1)
+                self._wait(row, start + room, ids[room:], n)
+                ids = ids[:room]
+            taken.append((row, start, ids, n))
+            room -= len(ids)
+        return taken
 
     def _emit(self, pieces: list, window: int) -> None:
-        tier = next(t for t in self.tiers if t >= window)
-        group, used = self.groups[tier]
-        if not used:
-            group, self.group = self.group, self.group + 1
-        used += 1
-        self.groups[tier] = (group, used % (STEP_WINDOWS * self.tiers[-1] // tier))
         offset = 0
         for row, start, ids, n in pieces:
             self.rows.append(
-                (row, start, len(ids), zlib.crc32(ids), n, self.sequence, offset, window, group, ids)
+                (row, start, len(ids), zlib.crc32(ids), n, self.sequence, offset, window, self.group, ids)
             )
             offset += len(ids)
         self.sequence += 1
+        self.room -= window
+        if self.room <= 0:
+            self.group, self.room = self.group + 1, STEP_WINDOWS * self.tiers[-1]
 
     def finish(self) -> None:
-        """Fill the gap of the longest window from the shorter tiers, then falling powers of two."""
-        rest = [p for t in reversed(self.tiers) for p in self.open[t]]
-        self.open = {t: [] for t in self.tiers}
+        """Full windows as long as they can be filled, then falling powers of two."""
+        self._close_windows(0, 0)
+        rest = [self._take(t, len(self.waiting[t]) - 1) for t in reversed(self.tiers) for _ in range(len(self.waiting[t]))]
         left = sum(len(p[2]) for p in rest)
         window = self.tiers[-1]
         while left:
@@ -192,7 +228,8 @@ def pack(
     row has at least one id; an empty table gives no rows. Rows with equal or
     null document ids are documents of their own. Other columns of ``docs`` are
     not carried. ``window`` is the length a sequence is padded to, ``step_group``
-    numbers groups of equal token budget. Sequence numbers combine the task's
+    numbers groups of equal token budget (STEP_WINDOWS of the longest window;
+    the last group of a task holds what is left). Sequence numbers combine the task's
     number and a running number; a task that runs again gives the same rows.
     """
     import public_tokenizers

@@ -166,6 +166,22 @@ def test_packing_round_trip(spark):
     assert pack(empty(spark)).count() == 0
 
 
+def test_packing_keeps_documents_whole_and_groups_equal(spark):
+    rows = [(i, words(i, random.Random(i).choice([3, 20, 60, 150, 400, 900, 3000]))) for i in range(3000)]
+    out = pack(frame(spark, rows).coalesce(1), with_ids=False).toPandas()
+    pieces = out.groupby("doc_id").length.count()
+    needed = -(-out.groupby("doc_id").doc_tokens.first() // 2048)
+    assert (pieces == needed).mean() > 0.7 and pieces.sum() - needed.sum() <= out.sequence_id.nunique()
+    totals = out.groupby("step_group").length.sum()
+    assert (totals.drop(totals.index.max()) == 16 * 2048).all()
+    tiers = out.groupby("window").sequence_id.nunique()
+    assert {256, 512, 1024, 2048} <= set(tiers.index)
+    # Where a document is cut, the piece ends its window or the document is longer than any.
+    ends = out.sort_values("offset").groupby("sequence_id").tail(1)[["doc_id", "start"]].apply(tuple, axis=1)
+    cut = out[(out.start + out.length < out.doc_tokens) & (out.length < 2048)]
+    assert set(cut[["doc_id", "start"]].apply(tuple, axis=1)) <= set(ends)
+
+
 def test_packing_added_tokens(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
