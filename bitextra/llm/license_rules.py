@@ -141,7 +141,7 @@ def _places(words: Column, pattern: Column) -> Column:
         pattern,
         _blanks,
         # The form begins with a blank: the first word has one before it.
-        lambda at, length, m, piece: F.struct((at - 1).alias("start"), (at + length).alias("end")),
+        lambda at, length, *_: F.struct((at - 1).alias("start"), (at + length).alias("end")),
     )
 
 

@@ -50,23 +50,26 @@ def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]
 def places(
     text: Column, pattern: Column, measure: Callable[[Column], Column], make: Callable[..., Column]
 ) -> Column:
-    """``make(start, length, match, piece before)`` of the leftmost matches of ``pattern``.
+    """``make(start, length, match, piece before, piece after)`` of the leftmost matches of ``pattern``.
 
     Positions are sums of ``measure`` (characters, words) over matches and the
     pieces between them; text is scanned twice, whatever the number of matches.
     """
 
     def located(b: Column) -> Column:
-        sizes = F.zip_with(
-            b["m"], F.slice(b["p"], F.lit(1), F.size(b["m"])),
-            lambda m, p: F.struct(measure(p).alias("p"), measure(m).alias("m"), m.alias("t"), p.alias("b")),
+        sizes = F.transform(
+            b["m"],
+            lambda m, i: F.struct(
+                measure(F.get(b["p"], i)).alias("p"), measure(m).alias("m"), m.alias("t"),
+                F.get(b["p"], i).alias("b"), F.get(b["p"], i + 1).alias("a"),
+            ),
         )
         return let(
             sizes,
             lambda s: F.zip_with(
                 s,
                 running(F.transform(s, lambda x: x["p"] + x["m"]), F.lit(0), lambda x, y: x + y),
-                lambda x, at: make(at + x["p"], x["m"], x["t"], x["b"]),
+                lambda x, at: make(at + x["p"], x["m"], x["t"], x["b"], x["a"]),
             ),
         )
 
