@@ -258,8 +258,9 @@ def license_labels(text):
 
 def test_license_separators(spark):
     names = [n for _, spdx, name, _ in FAMILIES for n in [*forms(name), *["spdx license identifier " + x for x in forms(spdx)]]]
-    names += [p for p, _ in BASE] + [n for _, p, *_ in TEXTS for n in forms(p)]
+    names += [p for p, _ in BASE]
     texts = [gap.join(n.split()) for n in names for gap in (" ", "\n", "\r\n", " " * 4, " -- ", ".\t\n * ")]
+    texts += [".\t\n * ".join(n.split()) for _, p, *_ in TEXTS for n in forms(p)]
     texts += [f"x {lead} {n.translate({c: c - 32 for c in range(97, 123)})} license" for n in names for lead in ("licensed under the terms of the", "governed\nby")]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r for r in find_licenses(frame(spark, rows)).select("doc_id", "n_words", F.transform("base", lambda x: x["start"]).alias("at"), "base_labels", "labels", "score").collect()}
