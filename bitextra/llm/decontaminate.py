@@ -7,8 +7,9 @@ in one pass over the text. Places of one item are merged to windows. Of 2k + 2
 shorter pieces at least k + 2 must lie in the window (loses nothing either);
 what passes is verified with Myers' bit-parallel distance.
 
-Documents stay where they are: the items travel, in blocks of bounded size,
-one scan per block. The size of the benchmark only adds scans.
+Documents stay where they are: the distinct item texts travel as broadcast
+blocks of bounded size, one scan per block; the driver holds one block at a
+time. The size of the benchmark only adds scans.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ERROR_RATE = 0.1
 # A longer item is cut into segments of about this many characters, each a test of its own.
 SEGMENT = 400
@@ -92,6 +95,7 @@ class Matcher:
         import ahocorasick
 
         self.units = []
+        self.parts: dict[int, int] = defaultdict(int)
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
             for s in segments(text):
@@ -99,6 +103,7 @@ class Matcher:
                     continue
                 k = int(len(s) * error_rate) if len(s) >= LEAST_CHARS else 0
                 unit = len(self.units)
+                self.parts[item] += 1
                 self.units.append((item, s, k, masks_of(s), masks_of(s[::-1]), [s[a:b] for a, b in cuts(len(s), 2 * k + 2)]))
                 for a, b in cuts(len(s), k + 1):
                     pieces[s[a:b]].append((unit, a))
@@ -128,9 +133,10 @@ class Matcher:
             out[unit] = merged
         return out
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end), the best place of each item within its budget."""
+    def matches(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
+        """(item, distance, start, end, segments found, segments): the best segment's place of each item."""
         best: dict[int, tuple[int, int, int]] = {}
+        units: dict[int, set[int]] = defaultdict(set)
         if self.empty:
             return []
         for unit, stretches in self.windows(text).items():
@@ -152,27 +158,36 @@ class Matcher:
                         continue
                     _, back = best_match(s[::-1], window[:end][::-1], backward)
                     hit = (distance, low + end - back, low + end)
+                units[item].add(unit)
                 if item not in best or hit < best[item]:
                     best[item] = hit
-        return [(item, *hit) for item, hit in sorted(best.items())]
+        return [(item, *hit, len(units[item]), self.parts[item]) for item, hit in sorted(best.items())]
 
 
 def _alone(text: str, a: int, b: int) -> bool:
     return not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str):
-    """The items, a block at a time; blocks have a bounded expected size."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter(
+def _distinct(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The items (id, number of their text), and the distinct texts by number."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("t")).filter(
         F.trim(F.coalesce("t", F.lit(""))) != ""
     )
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    texts = cut_lineage(items.select("t").distinct().withColumn("n", F.monotonically_increasing_id()))
+    return items.join(texts, "t").select("item_id", "n").distinct(), texts
+
+
+def _blocks(texts: DataFrame):
+    """The texts as broadcast blocks of a bounded expected size; each is in the driver only while it is sent."""
+    total = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for b in range(n):
-        yield [
-            (r["i"], r["t"])
-            for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b).distinct().collect()
-        ]
+        block = texts.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b).toArrow()
+        rows = list(zip(block.column("n").to_pylist(), block.column("t").to_pylist(), strict=True))
+        yield texts.sparkSession.sparkContext.broadcast(rows)
+
+
+_HIT = "distance int, start long, end long, found_segments int, segments int"
 
 
 def leaks(
@@ -184,21 +199,28 @@ def leaks(
     item_text: str = "text",
     error_rate: float = ERROR_RATE,
 ) -> DataFrame:
-    """(id, item_id, distance, start, end) of every item found in every whole text.
-
-    Case and kinds of white space do not count. Of several places of an item
-    in a text the one of least distance, then the first, is given. Null or
-    blank texts and items match nothing; items without id or with equal ids are
-    reported under that id; repeated documents are reported once per row. Empty
-    tables give an empty result. Other columns are not carried.
+    """(id, item_id, distance, start, end, found_segments, segments) of every item found in every whole text.
+
+    An item of up to about 600 characters is one segment, a longer one is cut
+    into even segments of about SEGMENT characters. A segment is found where a
+    tenth (``error_rate``) of its characters at most differs; one of under
+    LEAST_CHARS characters must occur unchanged between other than letters and
+    digits. An item is reported if any of its segments is found: distance and
+    place are those of the segment of least distance, then of the first place;
+    ``found_segments`` of ``segments`` tell how much of the item is there.
+    Case and kinds of white space do not count. Null or blank texts and items
+    match nothing; items without id or with equal ids are reported under that
+    id, once for each different text, and equal texts under each of their ids;
+    repeated documents are reported once per row. Empty tables give an empty result. Other columns are not carried.
     """
-    schema = f"`{id_column}` long, item_id long, distance int, start long, end long"
+    schema = f"`{id_column}` long, n long, {_HIT}"
     source = docs.select(docs[id_column].cast("long").alias(id_column), docs[text].alias("text"))
+    names, texts = _distinct(benchmark, item_id, item_text)
     parts = []
-    for items in _blocks(benchmark, item_id, item_text):
+    for sent in _blocks(texts):
 
-        def run(batches, items=items):
-            matcher = Matcher(items, error_rate)
+        def run(batches, sent=sent):
+            matcher = Matcher(sent.value, error_rate)
             for batch in batches:
                 rows = [
                     (batch.column(0)[i].as_py(), *hit)
@@ -207,19 +229,20 @@ def leaks(
                 ]
                 if rows:
                     cols = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                        names=[id_column, "item_id", "distance", "start", "end"],
+                        names=[id_column, "n", "distance", "start", "end", "found_segments", "segments"],
                     )
 
         parts.append(source.mapInArrow(run, schema))
     if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], f"`{id_column}` long, item_id long, {_HIT}")
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
-    return out
+    hits = out.join(names, "n")
+    return hits.select(id_column, "item_id", "distance", "start", "end", "found_segments", "segments")
 
 
 def drop_leaks(
@@ -230,12 +253,12 @@ def drop_leaks(
     item_text: str = "text",
     error_rate: float = ERROR_RATE,
 ) -> DataFrame:
-    """``docs`` with all columns, without the rows that hold any item."""
+    """``docs`` with all columns, without the rows that hold any segment of any item."""
     place = docs.columns.index(text)
-    for items in _blocks(benchmark, item_id, item_text):
+    for sent in _blocks(_distinct(benchmark, item_id, item_text)[1]):
 
-        def run(batches, items=items):
-            matcher = Matcher(items, error_rate)
+        def run(batches, sent=sent):
+            matcher = Matcher(sent.value, error_rate)
             for batch in batches:
                 clean = [not matcher.matches(plain(t.as_py())) for t in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_())) if not all(clean) else batch

@@ -302,7 +302,7 @@ def test_pigeonhole_loses_nothing(seed, edits):
     budget = int(len(item) * 0.1)
     true, _ = sellers(item, text)
     got = Matcher([(1, item)], 0.1).matches(text)
-    assert [(i, d) for i, d, _, _ in got] == ([(1, true)] if true <= budget else [])
+    assert [(i, d) for i, d, *_ in got] == ([(1, true)] if true <= budget else [])
 
 
 def test_leaks_and_edges(spark):
@@ -321,6 +321,22 @@ def test_leaks_and_edges(spark):
     assert drop_leaks(docs, bench.filter("false")).count() == len(rows)
 
 
+def test_leaks_of_long_items_and_equal_texts(spark, monkeypatch):
+    long = words(31, 300)[:1200]
+    one = long[420:780]
+    rows = [(1, "x " + long + " y"), (2, one), (3, long[:150]), (4, words(5, 200)), (5, None), (6, words(32, 60))]
+    bench = spark.createDataFrame([(7, long), (8, long), (9, words(32, 60)), (9, words(33, 60)), (None, long)], "item_id long, text string")
+    # Blocks of one text each, and all in one.
+    for size in (100, 4_000_000):
+        monkeypatch.setattr("bitextra.llm.decontaminate.BLOCK_CHARS", size)
+        got = {(r["doc_id"], r["item_id"]): r for r in leaks(frame(spark, rows), bench).collect()}
+        assert set(got) == {(1, 7), (1, 8), (1, None), (2, 7), (2, 8), (2, None), (6, 9)}
+        full, part = got[1, 7], got[2, 7]
+        assert (full["found_segments"], full["segments"], full["distance"], full["start"]) == (3, 3, 0, 2)
+        assert (part["found_segments"], part["segments"]) == (1, 3) and part["distance"] <= 40
+        assert {r["doc_id"] for r in drop_leaks(frame(spark, rows), bench).collect()} == {3, 4, 5}
+
+
 def test_language_accuracy_and_edges(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, table = learn(docs)
