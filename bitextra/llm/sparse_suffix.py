@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import salted_lookup
 from ..session import cut_lineage
 from .words import blocks, grams, mix, word_table
 
@@ -35,6 +36,8 @@ RIGHT = MIN_WORDS
 # Neighbours compared on either side in sorted order; a key of more classes than
 # that goes by its windows.
 NEIGHBOURS = 8
+# A window of more suffixes is spread over tasks.
+HOT_WINDOW = 10_000
 
 
 def retained(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -135,17 +138,19 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(hash, key, around, low, high, l) of every window of MIN_WORDS words around chosen suffixes.
+    """(hash, check, key, around, low, high, l) of every window of MIN_WORDS words around chosen suffixes.
 
-    ``l`` words of the window stand before the suffix.
+    ``hash`` and ``check`` name the words by 128 bits, so that at any size
+    equal names are equal words; ``l`` words of the window stand before the suffix.
     """
-    schema = "hash long, key long, around long, low long, high long, l int"
+    schema = "hash long, check long, key long, around long, low long, high long, l int"
 
     def run(batches):
         for batch in batches:
             for first, last, data in blocks(batch.column(0).to_pylist()):
                 hashes, _, _, owner = word_table(data)
                 keys, _ = grams(hashes, owner, MIN_WORDS)
+                checks, _ = grams(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), owner, MIN_WORDS)
                 lists = batch.column(1).slice(first, last - first)
                 key, around, low, high, pos = lists.flatten().flatten()
                 doc = np.repeat(np.arange(len(data)), lists.value_lengths().to_numpy())
@@ -157,10 +162,11 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     at = pa.array(which)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(keys[starts[whole]].astype(np.int64)), key.take(at), around.take(at),
+                            pa.array(keys[starts[whole]].astype(np.int64)),
+                            pa.array(checks[starts[whole]].astype(np.int64)), key.take(at), around.take(at),
                             low.take(at), high.take(at), pa.array(left.astype(np.int32)),
                         ],
-                        names=["hash", "key", "around", "low", "high", "l"],
+                        names=["hash", "check", "key", "around", "low", "high", "l"],
                     )
 
     return _placed(docs, wanted).mapInArrow(run, schema)
@@ -170,11 +176,15 @@ def _by_windows(windows: DataFrame) -> DataFrame:
     """(key, around, l, r) of suffixes in windows that another document holds.
 
     A window is one pre-aggregated row, however many hold it; what is shared
-    as a whole takes part, but needs no extension of its own.
+    as a whole takes part, but needs no extension of its own. Windows of many
+    suffixes are spread over tasks.
     """
-    held = windows.groupBy("hash").agg(F.min("low").alias("a"), F.max("high").alias("b"))
-    shared = held.filter(F.col("a") != F.col("b")).select("hash")
-    return windows.filter(F.col("low") == F.col("high")).join(shared, "hash").groupBy("key", "around").agg(
+    name = ["hash", "check"]
+    held = windows.groupBy(*name).agg(F.min("low").alias("a"), F.max("high").alias("b"))
+    shared = cut_lineage(held.filter(F.col("a") != F.col("b")).select(*name))
+    open_windows = windows.filter(F.col("low") == F.col("high")).select(*name, "key", "around", "l")
+    met = salted_lookup(open_windows, shared, name, ["key", "around", "l"], "inner", hot_rows=HOT_WINDOW)
+    return met.groupBy("key", "around").agg(
         F.max("l").alias("l"), F.max(MIN_WORDS - F.col("l")).alias("r")
     )
 
