@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitextra.operators.lookup import lookup
 from bitextra.operators.ranking import chunked_previous, chunked_rank, first_n, salted_lookup
 from bitextra.session import cut_lineage
 
@@ -252,7 +253,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
     def step(rows: DataFrame, after: DataFrame | None, statuses, before: str | None):
         rows = rows.filter(F.col("status").isin(*statuses))
         if after is not None:
-            rows = salted_lookup(
+            rows = lookup(
                 rows, after.select("job_id", F.struct("ts", "event_id").alias("_after")),
                 ["job_id"], ["event_id"], how="inner",
             ).filter(F.struct("ts", "event_id") > F.col("_after"))

@@ -12,6 +12,7 @@ import zipfile
 import zlib
 from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Members scanned and the size of all members above which a file is refused.
@@ -42,7 +43,7 @@ DAMAGE = (zipfile.BadZipFile, expat.ExpatError, zlib.error, EOFError, RuntimeErr
 def _open(content):
     """The archive, or null when it is none."""
     try:
-        return zipfile.ZipFile(io.BytesIO(bytes(content or b"")))
+        return zipfile.ZipFile(io.BytesIO(memoryview(content) if content else b""))
     except DAMAGE:
         return None
 
@@ -95,6 +96,43 @@ class _Paragraphs:
             self.inside = False
 
 
+# Rows that leave a task together.
+ROWS_PER_BATCH = 10_000
+
+
+def _archive_rows(files: DataFrame, read_one, fields: str) -> DataFrame:
+    """One row per item that ``read_one`` finds in an archive; path first, error last.
+
+    A file that cannot be read gives one row with its error. Items of many
+    small files leave together, those of a large one in pieces.
+    """
+    names, kinds = zip(*(f.split(" ") for f in fields.split(", ")), strict=True)
+    arrow = {"STRING": pa.string(), "BIGINT": pa.int64(), "BOOLEAN": pa.bool_()}
+    schema = pa.schema([(n, arrow[k]) for n, k in zip(names, kinds, strict=True)])
+
+    def leave(held):
+        columns = list(zip(*held, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+        )
+
+    def read(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
+                rows, error = _guarded(batch.column(1)[i].as_buffer(), read_one)
+                rows = rows if error is None else [(*[None] * (len(names) - 2), error)]
+                held += [(path, *r) for r in rows]
+                while len(held) >= ROWS_PER_BATCH:
+                    yield leave(held[:ROWS_PER_BATCH])
+                    held = held[ROWS_PER_BATCH:]
+        if held:
+            yield leave(held)
+
+    return files.select("path", "content").mapInArrow(read, fields)
+
+
 def docx_paragraphs(files: DataFrame) -> DataFrame:
     """Ordered paragraphs of every archive (S4): path, idx, text, error.
 
@@ -107,21 +145,9 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
             raise ValueError("no document part")
         found = _Paragraphs()
         _parse(archive, DOCUMENT_MEMBER, found.start, found.end, found.text)
-        return found.rows
+        return [(*row, None) for row in found.rows]
 
-    def read(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows, error = _guarded(content, paragraphs)
-                rows = [(path, i, t, None) for i, t in rows or []] if error is None else [(path, None, None, error)]
-                frame = pd.DataFrame(rows, columns=["path", "idx", "text", "error"])
-                yield frame.assign(idx=frame["idx"].astype("Int64"))
-
-    return files.select("path", "content").mapInPandas(
-        read, "path STRING, idx BIGINT, text STRING, error STRING"
-    )
+    return _archive_rows(files, paragraphs, "path STRING, idx BIGINT, text STRING, error STRING")
 
 
 def read_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
@@ -143,21 +169,10 @@ def structure_profile(files: DataFrame) -> DataFrame:
                 counts["media"] += 1
             elif re.match(r"word/(?!.*_rels/).*\.xml$", member):
                 _parse(archive, member, start=start)
-        return tuple(counts.values())
-
-    def read(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                counts, error = _guarded(content, profile)
-                out.append((path, *(counts or [None] * len(PROFILE_FIELDS)), error))
-            frame = pd.DataFrame(out, columns=["path", *PROFILE_FIELDS, "error"])
-            yield frame.astype(dict.fromkeys(PROFILE_FIELDS, "Int64"))
+        return [(*counts.values(), None)]
 
     fields = ", ".join(f"{f} BIGINT" for f in PROFILE_FIELDS)
-    return files.select("path", "content").mapInPandas(read, f"path STRING, {fields}, error STRING")
+    return _archive_rows(files, profile, f"path STRING, {fields}, error STRING")
 
 
 def document_flags(files: DataFrame) -> DataFrame:
@@ -352,22 +367,6 @@ def _sheet_rows(archive):
     return out
 
 
-def _archive_rows(files: DataFrame, read_one, fields: str) -> DataFrame:
-    """One row per item that ``read_one`` finds in an archive; path first, error last."""
-    names = [f.split(" ")[0] for f in fields.split(", ")]
-
-    def read(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows, error = _guarded(content, read_one)
-                rows = rows if error is None else [(*[None] * (len(names) - 2), error)]
-                yield pd.DataFrame([(path, *r) for r in rows], columns=names)
-
-    return files.select("path", "content").mapInPandas(read, fields)
-
-
 def xlsx_texts(files: DataFrame) -> DataFrame:
     """Text-bearing content of spreadsheets (S6): path, member, id, text, source_type, category,
     should_translate, locator, error.
