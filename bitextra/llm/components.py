@@ -1,48 +1,24 @@
-"""Connected components by contraction, each round written to the shared folder."""
+"""Connected components named by their smallest node."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import components
+from ..operators.lookup import lookup
 from ..session import cut_lineage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b); component is its smallest id.
 
-    A round hangs every node on its smallest neighbour and contracts the
-    graph; stars of any size go in two rounds, chains in logarithmic many. Rows
-    with a null end and loops are ignored. Nothing but a row count per round
-    reaches the driver; joins are keyed by node and split when skewed.
+    Rows with a null end and loops are ignored. Chains and stars of any size
+    go in a number of rounds that follows the logarithm of their size; nothing
+    but a row count per round reaches the driver. The smallest ids are
+    map-side combined minima, looked up with large components spread.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    pairs = pairs.filter(F.col("a") != F.col("b"))
-    pairs = cut_lineage(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    labels = None
-    while not pairs.isEmpty():
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
-        up = cut_lineage(up)
-        # One jump along the parents, so that chains halve.
-        jump = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        up = cut_lineage(up.join(jump, "p").select("a", F.col("pp").alias("p")))
-        if labels is None:
-            labels = up.select(F.col("a").alias("id"), F.col("p").alias("component"))
-        else:
-            step = up.select(F.col("a").alias("component"), F.col("p").alias("_next"))
-            labels = labels.join(step, "component", "left").select(
-                "id", F.coalesce("_next", "component").alias("component")
-            )
-        labels = cut_lineage(labels)
-        first = up.select("a", F.col("p").alias("pa"))
-        second = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        moved = pairs.join(first, "a").join(second, "b").filter(F.col("pa") != F.col("pb"))
-        pairs = cut_lineage(
-            moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        )
-    if labels is None:
-        return pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels
+    found = cut_lineage(components.connected_components(edges))
+    smallest = found.groupBy("component").agg(F.min("id").alias("_least"))
+    named = lookup(found, cut_lineage(smallest), ["component"], ["id"], "inner")
+    return named.select("id", F.col("_least").alias("component"))
