@@ -1,6 +1,10 @@
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 from llm_rows import words
-from test_sets_and_layout import edited
+from test_sets_and_layout import edited, near_brute
+from test_text_scans import KINDS, base_spans, pii_graph
+from tokenizers import Tokenizer
 
 
 def planted(spark, tmp):
@@ -55,3 +59,74 @@ def test_empty_tables(spark, tmp_path):
     none = spark.read.parquet(f"{tmp_path}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def plain_language(spark, docs, rows):
+    from bitextra.llm.language_mixture import _LETTER, buckets_of, learn, mixture
+
+    _, table = learn(docs)
+    kept = []
+    for r in rows:
+        if r["text"] and _LETTER.search(r["text"]):
+            _, shares, gain = mixture(buckets_of(r["text"]), table)
+            if shares[0] >= corpus_pipeline.LEAST_SHARE and gain > 0:
+                kept.append(r)
+    return kept
+
+
+def plain_near_copies(rows):
+    once, seen = [], set()
+    for r in rows:
+        if r["doc_id"] is None or (r["doc_id"], r["text"]) not in seen:
+            seen.add((r["doc_id"], r["text"]))
+            once.append(r)
+    root = near_brute([(r["doc_id"], r["text"]) for r in once if r["doc_id"] is not None], 5)
+    return [r for r in once if r["doc_id"] is None or root[r["doc_id"]] == r["doc_id"]]
+
+
+def least_edits(pattern, text):
+    """Sellers' distance of the best occurrence, a row of the table at a time."""
+    from bitextra.llm.decontaminate import plain
+
+    codes = np.array([ord(c) for c in pattern])
+    row, steps = np.arange(len(pattern) + 1), np.arange(len(pattern) + 1)
+    best = row[-1]
+    for c in plain(text):
+        down = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        new = np.concatenate([[0], down])
+        row = np.minimum.accumulate(new - steps) + steps
+        best = min(best, row[-1])
+    return best
+
+
+def plain_mask(text, spans):
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if end > at:
+            out += [text[at:start] if start > at else "", f"[{KINDS[kind].upper()}]"]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def test_run_against_plain_pipeline(spark, tmp_path):
+    from bitextra.llm.decontaminate import plain
+
+    planted(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    item = plain(spark.read.parquet(f"{tmp_path}/benchmark.parquet").first()["text"]).strip()
+    rows = plain_near_copies(plain_language(spark, docs, docs.collect()))
+    rows = [r for r in rows if least_edits(item, r["text"]) > len(item) // 10]
+    found = pii_graph([(r["doc_id"], r["text"]) for r in rows])
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    true = []
+    for k, r in enumerate(rows):
+        base = [s.split(":") for s in base_spans(r["text"]).split(",") if s]
+        spans = [(int(a), KINDS.index(kind), int(b)) for kind, a, b in base] + [(a, 4, b) for n, a, b in found if n == k]
+        ids = whole.encode(plain_mask(r["text"], spans), add_special_tokens=False).ids + [1]
+        true.append((r["doc_id"], tuple(ids)))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas().sort_values(["doc_tokens", "start"])
+    got = []
+    for doc, g in pieces.groupby("doc_id", dropna=False):
+        assert (g.doc_tokens == g.length.sum()).all()
+        got.append((None if np.isnan(doc) else int(doc), tuple(x for ids in g.ids for x in ids)))
+    assert sorted(got, key=repr) == sorted(true, key=repr) and len(true) > 50
