@@ -91,17 +91,26 @@ def clean_model_output(c: Column, preserve_tags: bool = False) -> Column:
     return strip(F.regexp_replace(out, r"(?md)^```[^\n]*\n|```$", ""))
 
 
+# The repairs of a model's JSON, in order, and the comma missing between a value and a key.
+JSON_REPAIRS = (
+    (r"\}(\s*)\{", r"},$1{"),
+    (r",\s*\]", "]"),
+    (r",\s*\}", "}"),
+    (r'\\(?!["\\/bfnrtu])', r"\\\\"),
+)
+VALUE_KEY_COMMA = (r'"\s+"(\w+)"\s*:', r'", "$1":')
+
+
 def repair_json(c: Column) -> Column:
     """Missing commas between objects, trailing commas, invalid escapes."""
-    out = F.regexp_replace(c, r"\}(\s*)\{", r"},$1{")
-    out = F.regexp_replace(out, r",\s*\]", "]")
-    out = F.regexp_replace(out, r",\s*\}", "}")
-    return F.regexp_replace(out, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    for pattern, repaired in JSON_REPAIRS:
+        c = F.regexp_replace(c, pattern, repaired)
+    return c
 
 
 def add_value_key_commas(c: Column) -> Column:
     """Insert the comma missing between a string value and the next key."""
-    return F.regexp_replace(c, r'"\s+"(\w+)"\s*:', r'", "$1":')
+    return F.regexp_replace(c, *VALUE_KEY_COMMA)
 
 
 def without_comments(c: Column) -> Column:

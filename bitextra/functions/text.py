@@ -88,11 +88,16 @@ def is_list_heading(c: Column) -> Column:
     return found
 
 
+# A list bullet before a designation, and what must follow its prefix.
+DESIGNATION_BULLET = r"[-–—•]"
+DESIGNATION_FOLLOWED_BY = r"\s+\S*\d|[-—–]"
+
+
 def designation_pattern(prefixes=None) -> str:
     """Java pattern: optional bullet, a prefix, then an identifier or a dash."""
     ranked = sorted(prefixes or DESIGNATION_PREFIXES, key=len, reverse=True)
     names = "|".join(re.escape(p) for p in ranked)
-    return rf"(?iuU)^\s*(?:[-–—•]\s*)?(?:{names})(?:[-–—]|\s+\S*\d)"
+    return rf"(?iuU)^\s*(?:{DESIGNATION_BULLET}\s*)?(?:{names})(?={DESIGNATION_FOLLOWED_BY})"
 
 
 def is_designation(c: Column, prefixes=None) -> Column:
