@@ -50,9 +50,29 @@ def shared_root(spark: SparkSession) -> str:
     return current
 
 
+# Scratch paths of this driver, by the session's application.
+_STEPS: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so a retried job is safe."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _STEPS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_steps(spark: SparkSession) -> int:
+    """Delete the scratch paths that this driver has made; how many there were.
+
+    To be called when all results have been written: frames that still read
+    from a step cannot be computed any more.
+    """
+    paths = _STEPS.pop(spark.sparkContext.applicationId, [])
+    there = 0
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return there
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -210,3 +210,13 @@ def test_workbook_references(spark):
     assert office.xlsx_cells(files).filter("error is not null").count() == 3
     texts = {(r.text, r.locator) for r in office.xlsx_texts(files).filter("error is null").collect()}
     assert texts == {("unused", "xl/sharedStrings.xml!0"), ("used", at + "A1"), ("in", at + "H1"), ("Chart", "xl/charts/chart1.xml!title > tx > t")}
+
+
+def test_steps_are_dropped(spark):
+    from bitextra import session
+
+    session.drop_steps(spark)
+    step = session.cut_lineage(spark.range(5))
+    assert step.count() == 5
+    unused = session.scratch_path(spark, "never-written")
+    assert unused and session.drop_steps(spark) == 1 and session.drop_steps(spark) == 0
