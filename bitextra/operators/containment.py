@@ -142,6 +142,38 @@ def _gram_pairs(texts: DataFrame, needles: DataFrame, ids: list[str], text: str,
     return back.filter(F.col(text).contains(F.col(needle))).select(*texts.columns, *needles.columns)
 
 
+def edit_contained(
+    texts: DataFrame, needles: DataFrame, text: str, needle: str, reads: list[str], edit, fields: list[T.StructField]
+) -> DataFrame | None:
+    """``texts`` with the ``fields`` that ``edit`` makes of each row and the needles its text contains.
+
+    ``edit`` gets the columns ``reads`` of a row as a dictionary and the
+    contained needles, as dictionaries in their order, within the one pass that finds them. None
+    where the needles are more than one automaton.
+    """
+    shards = _shards(needles.filter(F.length(needle) > 0), needle)
+    if shards is None or len(shards) != 1:
+        return None
+    sent, place = shards[0], texts.columns.index(text)
+    schema = T.StructType([*texts.schema.fields, *fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = [f.type for f in to_arrow_schema(T.StructType(fields))]
+        every = sent.value[1].to_pylist()
+        for batch, owner, hits in _scan(batches, sent, place):
+            of: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for i, hit in zip(owner, hits, strict=True):
+                of[i].append(every[hit])
+            made = [edit(row, mine) for row, mine in zip(batch.select(reads).to_pylist(), of, strict=True)]
+            columns = list(zip(*made, strict=True)) or [()] * len(fields)
+            new = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def containing(
     texts: DataFrame, needles: DataFrame, ids: list[str], text: str, needle: str
 ) -> DataFrame:

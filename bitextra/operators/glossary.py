@@ -7,10 +7,11 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitextra.functions.text import COLUMN_LANGUAGE, language_mismatch, norm_ws, strip
 from bitextra.operators.components import connected_components
-from bitextra.operators.containment import containing, fits_broadcast, with_contained
+from bitextra.operators.containment import containing, edit_contained, fits_broadcast, with_contained
 from bitextra.operators.ranking import salted_lookup
 from bitextra.session import cut_lineage
 
@@ -36,22 +37,23 @@ def _per_unit(matches: DataFrame) -> DataFrame:
     )
 
 
-def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") -> DataFrame:
-    """Replace the first occurrence of every matched term.
+def _replaced(row: dict, terms: list[dict]) -> tuple[str | None, int]:
+    """The text with the first place of each term replaced, and how many were."""
+    value, low, n = row["_value"], row["_text"], 0
+    for t in terms:
+        at = low.find(t["_needle"])
+        if at >= 0:
+            end = at + len(t["_needle"])
+            value = value[:at] + t["replacement"] + value[end:]
+            low = low[:at] + t["_new"] + low[end:]
+            n += 1
+    return value, n
 
-    Terms are matched on the original text and applied in id order to the
-    running text. Adds ``applied`` (number of replacements) and ``modified``.
-    Texts meet their terms where they are; the edits, each depending on the
-    one before, are a fold over the terms of one text.
-    """
-    usable = terms.select("id", "term", "replacement").filter(
-        (F.length("term") > 0) & (F.length("replacement") > 0)
-    )
-    needles = usable.withColumn("_needle", F.lower("term"))
-    low = units.withColumn("_text", F.lower(text))
-    found = with_contained(low, needles, UNIT, "_text", "_needle", "_terms")
+
+def _folded(found: DataFrame) -> DataFrame:
+    """The same edits as a fold over the terms of each text."""
     start = F.struct(
-        F.col(text).alias("text"), F.col("_text").alias("low"), F.lit(0).cast("long").alias("n")
+        F.col("_value").alias("text"), F.col("_text").alias("low"), F.lit(0).cast("long").alias("n")
     )
 
     def put(acc, t, at):
@@ -63,7 +65,7 @@ def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") ->
             at > 0,
             F.struct(
                 spliced(acc["text"], t["replacement"]).alias("text"),
-                spliced(acc["low"], F.lower(t["replacement"])).alias("low"),
+                spliced(acc["low"], t["_new"]).alias("low"),
                 (acc["n"] + 1).alias("n"),
             ),
         ).otherwise(acc)
@@ -73,12 +75,34 @@ def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") ->
         at = F.call_function("locate", t["_needle"], acc["low"])
         return F.get(F.transform(F.array(at), lambda x: put(acc, t, x)), F.lit(0))
 
-    return (
-        found.withColumn("_done", F.aggregate("_terms", start, step))
-        .withColumn("modified", F.col("_done.text"))
-        .withColumn("applied", F.col("_done.n"))
-        .drop("_done", "_terms", "_text")
+    done = found.withColumn("_done", F.aggregate("_terms", start, step))
+    return done.withColumn("modified", F.col("_done.text")).withColumn("applied", F.col("_done.n"))
+
+
+def apply_glossary(units: DataFrame, terms: DataFrame, text: str = "source") -> DataFrame:
+    """Replace the first occurrence of every matched term.
+
+    Terms are matched on the original text and applied in id order to the
+    running text. Adds ``applied`` (number of replacements) and ``modified``.
+    Each edit depends on the one before: they are made within the pass that
+    finds the terms or, for lists of terms that are no single automaton, as a
+    fold over the terms gathered for one text.
+    """
+    usable = terms.select("id", "term", "replacement").filter(
+        (F.length("term") > 0) & (F.length("replacement") > 0)
     )
+    needles = usable.select("id", "term", "replacement", F.lower("term").alias("_needle"), F.lower("replacement").alias("_new"))
+    low = units.withColumn("_value", F.col(text)).withColumn("_text", F.lower(text))
+    # Only what the edits read goes through the pass, and the unit's own columns beside it.
+    rest = F.struct(*units.columns).alias("_unit")
+    fields = [T.StructField("modified", T.StringType()), T.StructField("applied", T.LongType())]
+    edited = edit_contained(
+        low.select(rest, "_value", "_text"), needles, "_text", "_needle", ["_value", "_text"], _replaced, fields
+    )
+    if edited is not None:
+        return edited.select("_unit.*", "modified", "applied")
+    found = with_contained(low, needles, UNIT, "_text", "_needle", "_terms")
+    return _folded(found).drop("_done", "_terms", "_text", "_value")
 
 
 def _words(c):
