@@ -170,7 +170,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
-@query("op7_sparse_suffix_repeats")
+REPEATS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS t
+  FROM documents),
+g AS (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(t) - 48, 1)),
+    lambda i: {'i': i, 'h': md5(array_to_string(t[i:i + 49], ' '))})) AS x FROM w),
+shared AS (SELECT x.h AS h FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, x.i - 1 AS a, x.i + 49 AS b FROM g SEMI JOIN shared ON g.x.h = shared.h),
+cut AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), true)::INT AS fresh FROM hit),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS n FROM cut)
+SELECT doc_id, min(a) AS start, max(b) AS "end" FROM run GROUP BY doc_id, n
+"""
+
+
+@query("op7_sparse_suffix_repeats", REPEATS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 

@@ -10,7 +10,7 @@ from bitextra.llm.chat_format import CONTROL, digests, escape, format_conversati
 from bitextra.llm.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["op2_chat_format", "op8_minhash_near_duplicates", "op12_scaled_sketch_fingerprints"])
+@pytest.mark.parametrize("name", ["op2_chat_format", "op7_sparse_suffix_repeats", "op8_minhash_near_duplicates", "op12_scaled_sketch_fingerprints"])
 def test_query_against_sql(name, spark, sf_dir):
     fn, sql = QUERIES[name]
     ok, message = compare(spark, duck(sf_dir), sf_dir, name, fn, sql)
