@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - workers call it as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,10 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (total or 0) <= limit
 
 
+# Bytes of text scanned together, and pairs that leave together.
+SCANNED_BYTES = 1024 * 1024
+PAIRS_PER_BATCH = 10_000
+
 # Automata this worker has built, by the name of their shard; a task of another job makes room.
 _BUILT: dict[str, tuple] = {}
 
@@ -55,11 +60,23 @@ def _automaton(name: str, needles: list[str]):
     return _BUILT[name]
 
 
+def _pieces(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about SCANNED_BYTES of text, so that one run's hits stay few."""
+    sizes = pa.compute.binary_length(batch.column(place)).to_pylist()
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if held + (size or 0) > SCANNED_BYTES and i > first:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size or 0
+    yield batch.slice(first)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], sent, place: int) -> Iterator[tuple]:
     """(batch, text number of each hit, needle row of each hit): all needles of the shard in one pass."""
     name, table, needle = sent.value
     machine, rows = _automaton(name, table.column(needle).to_pylist())
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole, place)):
         owner: list[int] = []
         hits: list[int] = []
         for i, text in enumerate(batch.column(place).to_pylist()):
@@ -93,15 +110,19 @@ def _shards(needles: DataFrame, needle: str) -> list | None:
 
 
 def _scanned_pairs(texts: DataFrame, needles: DataFrame, text: str, sent) -> DataFrame:
+    """The pairs of one shard, without the text itself: it would come out once for each of its needles."""
     place = texts.columns.index(text)
-    schema = T.StructType([*texts.schema.fields, *needles.schema.fields])
+    kept = [f for f in texts.schema.fields if f.name != text]
+    schema = T.StructType([*kept, *needles.schema.fields])
 
     def run(batches):
         for batch, owner, hits in _scan(batches, sent, place):
-            left = pa.Table.from_batches([batch]).take(pa.array(owner, pa.int64()))
-            right = sent.value[1].take(pa.array(hits, pa.int64()))
-            columns = [c.combine_chunks() for c in (*left.columns, *right.columns)]
-            yield from pa.Table.from_arrays(columns, names=schema.names).to_batches()
+            left = batch.select([f.name for f in kept])
+            for k in range(0, len(hits), PAIRS_PER_BATCH):
+                mine = left.take(pa.array(owner[k : k + PAIRS_PER_BATCH], pa.int64()))
+                right = sent.value[1].take(pa.array(hits[k : k + PAIRS_PER_BATCH], pa.int64()))
+                columns = [*mine.columns, *(c.combine_chunks() for c in right.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -139,7 +160,8 @@ def _gram_pairs(texts: DataFrame, needles: DataFrame, ids: list[str], text: str,
     keyed = cut_lineage(numbered.join(rarest, "_no").drop("_no", "_size"))
     pairs = salted_lookup(exploded, keyed, ["_gram"], ids, "inner").drop("_gram")
     back = join_null_safe(texts, pairs, ids)
-    return back.filter(F.col(text).contains(F.col(needle))).select(*texts.columns, *needles.columns)
+    kept = [c for c in texts.columns if c != text]
+    return back.filter(F.col(text).contains(F.col(needle))).select(*kept, *needles.columns)
 
 
 def edit_contained(
@@ -177,7 +199,7 @@ def edit_contained(
 def containing(
     texts: DataFrame, needles: DataFrame, ids: list[str], text: str, needle: str
 ) -> DataFrame:
-    """Pairs where ``needle`` occurs in ``text`` (both compared as given): all columns of both.
+    """Pairs where ``needle`` occurs in ``text`` (both compared as given): all columns of both but the text.
 
     A needle list whose measured size allows it is an automaton, or a few,
     and each text is passed over once for all needles of one; a larger list

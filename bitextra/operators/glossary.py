@@ -27,7 +27,7 @@ def match_terms(units: DataFrame, terms: DataFrame, text: str = "source") -> Dat
     """
     low = units.select(*UNIT, F.lower(text).alias("_text"))
     needles = terms.withColumn("_needle", F.lower("term"))
-    return containing(low, needles, UNIT, "_text", "_needle").drop("_text", "_needle")
+    return containing(low, needles, UNIT, "_text", "_needle").drop("_needle")
 
 
 def _per_unit(matches: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, deque
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from bitextra.functions import numeric as N
 from bitextra.operators import batching as B
 from bitextra.operators import glossary as G
 from bitextra.operators import joblog as J
+from bitextra.operators.containment import _pieces, containing
 from bitextra.operators.ranking import chunked_previous, chunked_rank, first_n, salted_lookup
 
 
@@ -114,6 +116,23 @@ def test_match_terms_overlapping(spark, containment):
     assert G.match_terms(units, glossary.filter("id < 0")).count() == 0
 
 
+def test_pairs_do_not_repeat_the_text(spark, containment):
+    """A text of 3 MB with 400 terms comes out as 400 small rows, not as 400 copies of it."""
+    words = ["t%03dx" % i for i in range(400)]
+    texts = spark.createDataFrame([(1, " ".join(words) + " y" * 1_500_000), (2, None), (3, "t007x")], "id LONG, text STRING")
+    terms = spark.createDataFrame([(w,) for w in words], "term STRING")
+    found = containing(texts, terms, ["id"], "text", "term")
+    assert found.columns == ["id", "term"]
+    assert sorted(map(tuple, found.collect())) == [(1, w) for w in words] + [(3, "t007x")]
+
+
+def test_scanned_pieces():
+    texts = ["a" * 700_000, "b" * 700_000, None, "c" * 3_000_000, "d", "e"]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(6)), "text": texts})
+    pieces = [p.column(0).to_pylist() for p in _pieces(batch, 1)]
+    assert pieces == [[0], [1, 2], [3], [4, 5]]
+
+
 def test_substitute_terms_follows_chains(spark):
     terms = [(1, "valve", "gate pump"), (2, "pump", "motor unit"), (3, "unit", "box"), (4, "a.b", "c$1")]
     texts = ["The Valve and a valve", "unit", "nothing", "see a.b, axb", "PUMP"]
