@@ -22,25 +22,33 @@ from bitextra.streaming.logs import run_available
 def write_pages(spark, d) -> str:
     """Four units a page; every seventh document has raw text only; some lines are broken."""
     u = fx.units(spark, d).filter("target <> ''")
-    word = lambda w: F.struct(w.alias("text"), F.col("block"), F.lit(0).alias("line"))
     per_unit = u.select(
-        "doc_id", (F.floor(F.col("unit_idx") / 4)).cast("int").alias("page"), "unit_idx", "target",
-        (F.col("unit_idx") % 4).cast("int").alias("block"),
-    ).withColumn("words", F.transform(F.split("target", " "), word))
+        "doc_id", (F.floor(F.col("unit_idx") / 4)).cast("int").alias("page"), "unit_idx", "target"
+    )
+    # Only the texts are gathered; their words are made in the page itself.
     pages = per_unit.groupBy("doc_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct("unit_idx", "target", "words"))).alias("us")
+        F.array_sort(F.collect_list(F.struct("unit_idx", "target"))).alias("us")
     )
     plain = F.col("doc_id") % 7 == 0
+
+    def words(x):
+        block = (x["unit_idx"] % 4).cast("int")
+        return F.transform(
+            F.split(x["target"], " "), lambda w: F.struct(w.alias("text"), block.alias("block"), F.lit(0).alias("line"))
+        )
+
     record = F.to_json(
         F.struct(
             "page", F.col("doc_id").cast("string").alias("pdf"),
             F.array_join(F.transform("us", lambda x: x["target"]), "\n").alias("text"),
-            F.when(~plain, F.flatten(F.transform("us", lambda x: x["words"]))).alias("words"),
+            F.when(~plain, F.flatten(F.transform("us", words))).alias("words"),
         )
     )
-    broken = pages.filter("doc_id % 5 = 0").select(F.lit('{"page": 1, "pdf": ').alias("value"))
+    broken = F.when(F.col("doc_id") % 5 == 0, F.lit('{"page": 1, "pdf": '))
     path = scratch_path(spark, "pages")
-    pages.select(record.alias("value")).unionAll(broken).write.text(path)
+    # Every word repeats its field names: packed, the records take about as much room as their texts.
+    values = pages.select(F.explode(F.array_compact(F.array(record, broken))).alias("value"))
+    values.write.option("compression", "lz4").text(path)
     return path
 
 

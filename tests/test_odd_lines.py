@@ -1,11 +1,16 @@
 """Queries against their SQL over a few documents of unusual lines."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from harness import compare
+from pyspark.sql import functions as F
 
 from bitextra.operators.integrity import repair_numerics
+from bitextra.plans import fixtures as fx
 from bitextra.plans import load_registry
+from bitextra.plans.source_queries import write_pages
 
 REGISTRY = load_registry()
 
@@ -39,3 +44,11 @@ def test_a_value_that_turns_into_a_number_with_unit_is_drift(spark):
     )
     got = {r.id: (r.repaired, r.unresolved) for r in repair_numerics(units).collect()}
     assert got == {1: ("17.65.244.232 а оф", 1), 2: ("17.65.244.232 б оф", 0)}
+
+
+def test_pages_take_little_more_room_than_their_texts(spark, sf_dir):
+    """Words repeat their field names; the files written hold them packed."""
+    texts = fx.units(spark, sf_dir).agg(F.sum(F.octet_length("target"))).first()[0]
+    path = write_pages(spark, sf_dir)
+    size = sum(f.stat().st_size for f in Path(path).glob("part-*"))
+    assert 0 < size < 4 * texts
