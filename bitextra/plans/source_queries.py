@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bitextra.operators import structure as S
@@ -127,6 +132,33 @@ def inline_markup(spark, d):
     )
 
 
+# Bytes of files that leave a task together.
+FILES_BYTES = 2 * 1024 * 1024
+
+
+def _file_batches(batches, make):
+    """Batches of path and content: the files that ``make`` gives for each row, one row after the other."""
+
+    def leave(held):
+        columns = [pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "content"])
+
+    held, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for path, content in make(*(column[i].as_py() for column in batch.columns)):
+                held.append((path, content))
+                size += len(content)
+            if size >= FILES_BYTES:
+                yield leave(held)
+                held, size = [], 0
+    yield leave(held)
+
+
+def _files(rows, make):
+    return rows.mapInArrow(lambda batches: _file_batches(batches, make), "path STRING, content BINARY")
+
+
 def _archives(spark, d, column):
     """One archive per document: a paragraph per unit, a table, tabs and media."""
     u = fx.units(spark, d).select("doc_id", "unit_idx", F.col(column).alias("text"))
@@ -136,65 +168,45 @@ def _archives(spark, d, column):
         F.array_sort(F.collect_list(F.struct("unit_idx", "text"))).alias("paras")
     )
 
-    def build(batches):
-        import io
-        import zipfile
-        from xml.sax.saxutils import escape
-
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for doc, paras in zip(pdf["doc_id"], pdf["paras"]):
-                body = "".join(
-                    f"<w:p><w:r><w:tab/><w:t>{escape(p['text'])}</w:t></w:r></w:p>" for p in paras
-                )
-                rows = "<w:tr/>" * (doc % 3)
-                xml = f'<w:document xmlns:w="w"><w:body>{body}<w:tbl>{rows}</w:tbl></w:body></w:document>'
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    if doc % 50 != 49:
-                        z.writestr("word/document.xml", xml)
-                    z.writestr("word/_rels/document.xml.rels", "<p/>")
-                    for i in range(doc % 2):
-                        z.writestr(f"word/media/image{i}.png", b"x")
-                out.append((str(doc), held.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return docs.mapInPandas(build, "path STRING, content BINARY")
+    def archive(doc, paras):
+        body = "".join(
+            f"<w:p><w:r><w:tab/><w:t>{escape(p['text'])}</w:t></w:r></w:p>" for p in paras
+        )
+        rows = "<w:tr/>" * (doc % 3)
+        xml = f'<w:document xmlns:w="w"><w:body>{body}<w:tbl>{rows}</w:tbl></w:body></w:document>'
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            if doc % 50 != 49:
+                z.writestr("word/document.xml", xml)
+            z.writestr("word/_rels/document.xml.rels", "<p/>")
+            for i in range(doc % 2):
+                z.writestr(f"word/media/image{i}.png", b"x")
+        return [(str(doc), held.getvalue())]
+
+    return _files(docs, archive)
 
 
 def _damaged(files):
     """A truncated, a malformed and an encrypted copy of some of the archives."""
 
-    def spoil(batches):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                if int(path) % 50 != 7:
-                    continue
-                content = bytes(content)
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w") as z:
-                    z.writestr("word/document.xml", "<w:document><w:p></w:document>")
-                locked = bytearray(content)
-                for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
-                    found = locked.find(mark)
-                    while found >= 0:
-                        locked[found + at] |= 1
-                        found = locked.find(mark, found + 4)
-                out += [
-                    (f"cut {path}", content[: len(content) // 2]), (f"bad {path}", held.getvalue()),
-                    (f"locked {path}", bytes(locked)),
-                ]
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return files.mapInPandas(spoil, "path STRING, content BINARY")
+    def spoil(path, content):
+        if int(path) % 50 != 7:
+            return []
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("word/document.xml", "<w:document><w:p></w:document>")
+        locked = bytearray(content)
+        for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+            found = locked.find(mark)
+            while found >= 0:
+                locked[found + at] |= 1
+                found = locked.find(mark, found + 4)
+        return [
+            (f"cut {path}", content[: len(content) // 2]), (f"bad {path}", held.getvalue()),
+            (f"locked {path}", bytes(locked)),
+        ]
+
+    return _files(files, spoil)
 
 
 @query(
@@ -311,43 +323,33 @@ def _workbooks(spark, d):
         F.array_sort(F.collect_list(F.struct("unit_idx", "line"))).alias("cells")
     )
 
-    def build(batches):
-        import io
-        import zipfile
-        from xml.sax.saxutils import escape
-
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for doc, cells in zip(pdf["doc_id"], pdf["cells"]):
-                by = {k: [(c["unit_idx"], escape(c["line"])) for c in cells if c["unit_idx"] % 4 == k] for k in range(4)}
-                half = lambda t: f"<r><t>{t[:0]}</t></r><r><t>{t}</t></r>"
-                typed = "".join(
-                    f'<row><c r="C{i}" s="{i % 2}"><v>{i}</v></c><c r="D{i}" t="b"><v>{i % 2}</v></c>'
-                    f'<c r="E{i}" t="e"><v>#N/A</v></c><c r="F{i}"><f>C{i}+1</f><v>{i + 1}</v></c></row>'
-                    for i, _ in by[2]
-                )
-                parts = {
-                    "xl/styles.xml": '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts>'
-                    '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs>',
-                    "xl/sharedStrings.xml": "".join(f"<si>{half(t)}</si>" for _, t in by[0]),
-                    "xl/worksheets/sheet1.xml": "".join(
-                        f'<c r="A{i}" t="inlineStr"><is><t>{t}</t></is></c>' for i, t in by[1])
-                    + "".join(f'<c r="G{i}" t="s"><v>{n}</v></c>' for n, (i, _) in enumerate(by[0])) + typed,
-                    "xl/comments1.xml": "".join(
-                        f'<comment ref="B{i}"><text><t>{t}</t><t>no</t></text></comment>' for i, t in by[2]),
-                    "xl/drawings/drawing1.xml": "".join(f"<a:sp><a:t>{t}</a:t></a:sp>" for _, t in by[3]),
-                    "xl/../evil.xml": "<t>bad</t>",
-                }
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w") as z:
-                    for name, xml in parts.items():
-                        z.writestr(name, f'<root xmlns:a="a">{xml}</root>')
-                out.append((str(doc), held.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return docs.mapInPandas(build, "path STRING, content BINARY")
+    def workbook(doc, cells):
+        by = {k: [(c["unit_idx"], escape(c["line"])) for c in cells if c["unit_idx"] % 4 == k] for k in range(4)}
+        half = lambda t: f"<r><t>{t[:0]}</t></r><r><t>{t}</t></r>"
+        typed = "".join(
+            f'<row><c r="C{i}" s="{i % 2}"><v>{i}</v></c><c r="D{i}" t="b"><v>{i % 2}</v></c>'
+            f'<c r="E{i}" t="e"><v>#N/A</v></c><c r="F{i}"><f>C{i}+1</f><v>{i + 1}</v></c></row>'
+            for i, _ in by[2]
+        )
+        parts = {
+            "xl/styles.xml": '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts>'
+            '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs>',
+            "xl/sharedStrings.xml": "".join(f"<si>{half(t)}</si>" for _, t in by[0]),
+            "xl/worksheets/sheet1.xml": "".join(
+                f'<c r="A{i}" t="inlineStr"><is><t>{t}</t></is></c>' for i, t in by[1])
+            + "".join(f'<c r="G{i}" t="s"><v>{n}</v></c>' for n, (i, _) in enumerate(by[0])) + typed,
+            "xl/comments1.xml": "".join(
+                f'<comment ref="B{i}"><text><t>{t}</t><t>no</t></text></comment>' for i, t in by[2]),
+            "xl/drawings/drawing1.xml": "".join(f"<a:sp><a:t>{t}</a:t></a:sp>" for _, t in by[3]),
+            "xl/../evil.xml": "<t>bad</t>",
+        }
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for name, xml in parts.items():
+                z.writestr(name, f'<root xmlns:a="a">{xml}</root>')
+        return [(str(doc), held.getvalue())]
+
+    return _files(docs, workbook)
 
 
 SHEET = "xl/worksheets/sheet1.xml"

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from harness import compare
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from bitextra.operators.integrity import repair_numerics
 from bitextra.plans import fixtures as fx
 from bitextra.plans import load_registry
-from bitextra.plans.source_queries import write_pages
+from bitextra.plans.source_queries import _file_batches, write_pages
 
 REGISTRY = load_registry()
 
@@ -52,3 +53,15 @@ def test_pages_take_little_more_room_than_their_texts(spark, sf_dir):
     path = write_pages(spark, sf_dir)
     size = sum(f.stat().st_size for f in Path(path).glob("part-*"))
     assert 0 < size < 4 * texts
+
+
+def test_files_are_made_row_by_row():
+    """Texts of 3 MB do not leave together, and none is lost."""
+    rows = pa.RecordBatch.from_pydict({"id": range(4), "text": ["x" * 3_000_000] * 4})
+
+    def make(i, text):
+        return [(str(i), text.encode()), (f"again {i}", b"y")] if i != 2 else []
+
+    left = [b.to_pydict() for b in _file_batches([rows], make)]
+    assert [b["path"] for b in left] == [["0", "again 0"], ["1", "again 1"], ["3", "again 3"], []]
+    assert [[len(c) for c in b["content"]] for b in left] == [[3_000_000, 1]] * 3 + [[]]
