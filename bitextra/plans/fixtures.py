@@ -22,15 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# Bytes of files that one partition of a spread table stands for.
+SPREAD_BYTES = 16 * 1024 * 1024
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table that arrives in fewer files than there are cores.
 
-    A cluster-sized table has many more files than cores and passes untouched.
+    The number of partitions follows the size of the files, so that no task's
+    share grows with the table. A table of many files passes untouched.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        return df.repartition(cores, *keys)
-    return df
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    places = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in places)
+    return df.repartition(max(cores, -(-size // SPREAD_BYTES)), *keys)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,15 @@ def test_files_are_made_row_by_row():
     left = [b.to_pydict() for b in _file_batches([rows], make)]
     assert [b["path"] for b in left] == [["0", "again 0"], ["1", "again 1"], ["3", "again 3"], []]
     assert [[len(c) for c in b["content"]] for b in left] == [[3_000_000, 1]] * 3 + [[]]
+
+
+def test_spread_follows_the_size_of_the_files(spark, tmp_path, monkeypatch):
+    """A few large files become more partitions than cores."""
+    path = f"{tmp_path}/two files"
+    spark.range(20_000).select("id", F.uuid().alias("text")).repartition(2).write.parquet(path)
+    size = sum(f.stat().st_size for f in Path(path).glob("*.parquet"))
+    monkeypatch.setattr(fx, "SPREAD_BYTES", size // 25)
+    table = fx.spread(spark.read.parquet(path), "id")
+    assert table.rdd.getNumPartitions() >= 25 and table.count() == 20_000
+    monkeypatch.setattr(fx, "SPREAD_BYTES", size)
+    assert fx.spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
