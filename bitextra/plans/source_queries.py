@@ -515,7 +515,12 @@ def manifest_files(spark, d):
     """One small file per supplier, listed without opening any."""
     path = scratch_path(spark, "submitted")
     line = F.concat_ws(";", "s_name", "s_nationkey")
-    fx.table(spark, d, "supplier").select("s_suppkey", line.alias("value")).write.partitionBy("s_suppkey").text(path)
+    rows = fx.table(spark, d, "supplier").select("s_suppkey", line.alias("value"))
+    # Every file is made and put in its place by its own task: neither a single task nor the driver handles them all.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).text(path)
     return tables.read_manifest(spark, path).select(
         F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("file_no"), "size", "extension"
     )

@@ -12,6 +12,7 @@ from bitextra.operators.integrity import repair_numerics
 from bitextra.plans import fixtures as fx
 from bitextra.plans import load_registry
 from bitextra.plans.source_queries import _file_batches, write_pages
+from bitextra.session import shared_root
 
 REGISTRY = load_registry()
 
@@ -77,3 +78,14 @@ def test_spread_follows_the_size_of_the_files(spark, tmp_path, monkeypatch):
     assert table.rdd.getNumPartitions() >= 25 and table.count() == 20_000
     monkeypatch.setattr(fx, "SPREAD_BYTES", size)
     assert fx.spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_manifest_files_are_made_by_many_tasks(spark, tmp_path):
+    """Files of one small table come from several tasks, one file each."""
+    rows = spark.range(40).select(F.col("id").alias("s_suppkey"), F.lit("n").alias("s_name"), F.lit(1).alias("s_nationkey"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = set(Path(shared_root(spark)).glob("submitted-*"))
+    found = REGISTRY["manifest_files"][0](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, 4, "TXT") for i in range(40)]
+    (path,) = set(Path(shared_root(spark)).glob("submitted-*")) - before
+    assert len({f.name[:10] for f in path.rglob("part-*.txt")}) > 4
