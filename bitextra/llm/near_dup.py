@@ -32,7 +32,9 @@ SKETCH_SLACK = 5.0
 # Bits of the fixed bitmap that tells which texts may take part in a confirmation (2 MB).
 FILTER_BITS = 24
 # Texts sketched together: each holds BINS values, however short it is.
-SKETCHED_TOGETHER = 256
+SKETCHED_TOGETHER = 128
+# Bytes of text whose shingles are hashed together; the arrays take some fifty times as much.
+HASHED_TOGETHER = 500_000
 # Sketch words compared first; most false candidates end there.
 FIRST_WORDS = 12
 
@@ -85,7 +87,8 @@ def signatures(
 
     def run(batches):
         for batch in batches:
-            for first, last, data in blocks(batch.column(1).to_pylist()):
+            texts = (batch.column(1)[i].as_py() for i in range(batch.num_rows))
+            for first, last, data in blocks(texts, HASHED_TOGETHER):
                 hashes, _, _, owner = word_table(data)
                 shingles, inside = grams(hashes, owner, words)
                 counts = np.bincount(owner, minlength=len(data))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -36,18 +36,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _CACHE: list = [None, None]
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first, last + 1, encoded texts) of runs of about BLOCK_BYTES."""
+def blocks(texts: Iterable[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, last + 1, encoded texts) of runs of about ``limit`` bytes."""
     first, size, held = 0, 0, []
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
-        if held and size + len(data) > BLOCK_BYTES:
+        if held and size + len(data) > limit:
             yield first, i, held
             first, size, held = i, 0, []
         held.append(data)
         size += len(data)
     if held:
-        yield first, len(texts), held
+        yield first, first + len(held), held
 
 
 def word_table(
