@@ -22,16 +22,20 @@ UNIT_NAMES = (
 DATE_SHAPE = r"^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}$"
 PLACEHOLDER_OPEN, PLACEHOLDER_CLOSE = "⟦NUM", "⟧"
 
+# Control characters set around a match and between its groups.
+MATCH_EDGE, GROUP_EDGE = "\x01", "\x02"
+
 _REF = rf"{REFERENCE_MARK}\d+(?:\.\d+)*\b"
 _DOTTED = r"\d+(?:\.\d+)+(?:-\d+(?:\.\d+)*)*\b"
 _BARE = r"(?<!\d)\d{2,}(?!\d)"
-REF_PATTERN = rf"(?iuU){_REF}"
+# The lookaheads only name the characters a match can begin with: elsewhere nothing is tried.
+REF_PATTERN = rf"(?iuU)(?=[№N]){_REF}"
 # groups: 1 designation mark, 2 dotted number, 3 unit that follows, 4 bare digits
 SCAN_PATTERN = (
-    rf"(?iuU)(?:({REFERENCE_MARK})?\b({_DOTTED})(?:(?=(\s*(?:{UNIT_NAMES})\b))|)|{_REF}|"
+    rf"(?iuU)(?=[№N\d])(?:({REFERENCE_MARK})?\b({_DOTTED})(?:(?=(\s*(?:{UNIT_NAMES})\b))|)|{_REF}|"
     rf"(?<!\d)(\d{{2,}})(?!\d))"
 )
-SPAN_PATTERN = rf"(?iuU){_REF}|\b{_DOTTED}|{_BARE}"
+SPAN_PATTERN = rf"(?iuU)(?=[№N\d])(?:{_REF}|\b{_DOTTED}|{_BARE})"
 PLACEHOLDER_PATTERN = rf"{PLACEHOLDER_OPEN}(\d+){PLACEHOLDER_CLOSE}"
 
 TOKEN_TYPE = "array<struct<kind:string,raw:string,value:string>>"
@@ -52,12 +56,20 @@ def _date_value(raw: Column) -> Column:
 
 
 def scan_groups(t: Column) -> Column:
-    """Every match of the scan as struct(whole, mark, dotted, unit, bare)."""
-    g = [F.regexp_extract_all(t, F.lit(SCAN_PATTERN), F.lit(i)) for i in range(5)]
-    return F.arrays_zip(
-        g[0].alias("whole"), g[1].alias("mark"), g[2].alias("dotted"),
-        g[3].alias("unit"), g[4].alias("bare"),
+    """Every match of the scan as struct(whole, mark, dotted, unit, bare).
+
+    One pass sets the groups of each match between control characters and cuts
+    them apart; a text that holds such a character has one pass per group.
+    """
+    names = ("whole", "mark", "dotted", "unit", "bare")
+    groups = GROUP_EDGE.join(f"${i}" for i in range(5))
+    pieces = F.split(F.regexp_replace(t, SCAN_PATTERN, MATCH_EDGE + groups + MATCH_EDGE), MATCH_EDGE, -1)
+    cut = F.transform(F.filter(pieces, lambda _, i: i % 2 == 1), lambda m: F.split(m, GROUP_EDGE, -1))
+    one_pass = F.transform(
+        cut, lambda g: F.struct(*[F.get(g, F.lit(i)).alias(n) for i, n in enumerate(names)])
     )
+    each = [F.regexp_extract_all(t, F.lit(SCAN_PATTERN), F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return F.when(t.contains(MATCH_EDGE) | t.contains(GROUP_EDGE), F.arrays_zip(*each)).otherwise(one_pass)
 
 
 def _scan_kind(m: Column) -> Column:
@@ -135,7 +147,7 @@ def drift_of(source_tokens: Column, target_tokens: Column) -> Column:
     target holds in excess, or with an empty string (J9).
     """
 
-    def pairs(kind: str) -> Column:
+    def pairs(kind: str, tokens: Column) -> Column:
         def joined(both: Column) -> Column:
             s, t = both["s"], both["t"]
             paired = let(
@@ -153,12 +165,15 @@ def drift_of(source_tokens: Column, target_tokens: Column) -> Column:
             return F.when(s != t, paired.cast(DRIFT_TYPE)).otherwise(F.array().cast(DRIFT_TYPE))
 
         both = F.struct(
-            values_of(source_tokens, kind).alias("s"), values_of(target_tokens, kind).alias("t")
+            values_of(tokens["s"], kind).alias("s"), values_of(tokens["t"], kind).alias("t")
         )
         return let(both, joined)
 
-    parts = [pairs(kind) for kind in ("ref", "sub", "num")]
-    return F.concat(*parts).cast(DRIFT_TYPE)
+    # Tokens are taken once for all kinds, also where they are not yet a column.
+    return let(
+        F.struct(source_tokens.alias("s"), target_tokens.alias("t")),
+        lambda tokens: F.concat(*[pairs(kind, tokens) for kind in ("ref", "sub", "num")]),
+    ).cast(DRIFT_TYPE)
 
 
 def protect(c: Column) -> Column:
