@@ -97,9 +97,12 @@ def response_columns(content: str) -> list[tuple[str, Column]]:
     return [
         ("_c0", clean),
         ("_c1", F.when(braces != "", braces).otherwise(F.col("_c0"))),
-        ("_c2", repair_json(F.col("_c1"))),
-        ("_c3", repair_json(add_value_key_commas(F.col("_c2")))),
-        ("_whole", F.coalesce(*[_single(F.col(c)) for c in ("_c1", "_c2", "_c3")])),
+        # Repairs only where the attempts before have failed.
+        ("_v1", _single(F.col("_c1"))),
+        ("_c2", F.when(F.col("_v1").isNull(), repair_json(F.col("_c1")))),
+        ("_v2", _single(F.col("_c2"))),
+        ("_c3", F.when(F.coalesce("_v1", "_v2").isNull(), repair_json(add_value_key_commas(F.col("_c2"))))),
+        ("_whole", F.coalesce("_v1", "_v2", _single(F.col("_c3")))),
         ("_list", F.when(whole.isNull(), _elements(F.col("_c3")))),
         (
             "_whole",

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: the setting by which a query removes its shuffle files when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int = 8, app: str = "bitextra") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -67,7 +71,11 @@ def drop_steps(spark: SparkSession) -> int:
     To be called when all results have been written: frames that still read
     from a step cannot be computed any more.
     """
-    paths = _STEPS.pop(spark.sparkContext.applicationId, [])
+    return drop_folders(spark, _STEPS.pop(spark.sparkContext.applicationId, []))
+
+
+def drop_folders(spark: SparkSession, paths: list[str]) -> int:
+    """Delete folders of steps that nothing reads any more; how many there were."""
     there = 0
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +83,20 @@ def drop_steps(spark: SparkSession) -> int:
     return there
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Queries run within remove their shuffle files as they end, not when the driver next collects garbage."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder once and read it back.
 
@@ -84,3 +106,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_parts(df: DataFrame, part: str) -> dict[str, list[str]]:
+    """Write the frame to the shared folder once; the folder of each value of ``part`` that has rows.
+
+    A part can be dropped as soon as the steps made from it are written, while
+    the others go on being read. Read one by ``read_parts``.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "step")
+    with shuffles_go(spark):
+        df.write.option("compression", "zstd").partitionBy(part).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return {n.split("=", 1)[1]: [f"{path}/{n}"] for n in names if n.startswith(f"{part}=")}
+
+
+def read_parts(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    """The rows of parts written by ``cut_parts``; none for no folder."""
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)

@@ -8,6 +8,7 @@ import pytest
 from harness import compare
 from pyspark.sql import functions as F
 
+from bitextra.operators import inference as I
 from bitextra.operators.integrity import repair_numerics
 from bitextra.plans import fixtures as fx
 from bitextra.plans import load_registry
@@ -38,6 +39,56 @@ def test_numbers_that_open_a_line_are_translated(against_sql):
     against_sql("translate_and_fill", {doc: f"one\ntwo\n{line}\n56.187.231.175 in" for doc in range(12)})
 
 
+def test_rounds_leave_each_unit_once_on_disk(spark, sf_dir):
+    """Open units of earlier rounds and shuffles are gone; what is left holds the results once."""
+    shared, local = Path(shared_root(spark).removeprefix("file:")), Path(spark.conf.get("spark.local.dir"))
+    steps, shuffles = set(shared.glob("step-*/*")), set(local.rglob("shuffle_*.data"))
+    got = REGISTRY["translate_and_fill"][0](spark, sf_dir)
+    assert not set(local.rglob("shuffle_*.data")) - shuffles
+    left = [str(s) for s in set(shared.glob("step-*/*")) - steps if s.is_dir()]
+    units = fx.units(spark, sf_dir).count()
+    assert spark.read.schema("unit_idx LONG").parquet(*left).count() == units == got.count()
+
+
+def test_long_documents_are_translated_in_the_same_batches(spark, monkeypatch):
+    """Batches are those of the rank within the document, wherever short documents end."""
+    texts = [(doc, i) for doc, n in ((1, 7), (2, 95), (None, 12)) for i in range(0, 3 * n, 3)]
+    units = spark.createDataFrame(
+        [(doc, i, f"{doc}_{i}", f"t {chr(97 + i % 26)}", "") for doc, i in texts],
+        "doc_id long, unit_idx long, unit_id string, text string, context string")
+    found = []
+    for short in (0, 2, 1000):
+        monkeypatch.setattr(I, "SHORT_BATCHES", short)
+        rows = I._first_batches(units, 10).select("doc_id", "batch_id", "units.unit_idx", "n_units").collect()
+        found.append(sorted(map(tuple, rows), key=repr))
+    ranks = {}
+    for doc, i in texts:
+        ranks.setdefault(doc, []).append(i)
+    want = [(d, str(k // 10 + 1), x[k:k + 10], len(x[k:k + 10])) for d, x in ranks.items() for k in range(0, len(x), 10)]
+    assert found == [sorted(want, key=repr)] * 3
+
+
+def test_lost_units_are_filled_in_one_or_two_steps(spark):
+    """Comparing units with results finds the units that the rounds have lost."""
+    import json
+
+    def model(payload):
+        items = json.loads(payload)
+        if len(items) > 2:
+            raise RuntimeError("too many")
+        return json.dumps([{"id": i["id"], "text": i["text"].upper()} for i in items if i["id"] != "1_4"])
+
+    units = spark.createDataFrame(
+        [(doc, i, f"{doc}_{i}", f"t {chr(97 + i)}", "") for doc, n in ((1, 5), (2, 2)) for i in range(n)],
+        "doc_id long, unit_idx long, unit_id string, text string, context string")
+    first = I.translate_units(units, model, 5, None)
+    assert sorted(r.unit_idx for r in first.collect()) == [0, 1]
+    two = I.gap_fill(units, first, model, 2, 2, None).collect()
+    one = I.translate_and_fill(units, model, 5, None, 2, 2).collect()
+    want = [(d, i, f"T {chr(65 + i)}", "translated") for d, n in ((1, 4), (2, 2)) for i in range(n)]
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) == sorted([*want, (1, 4, "t e", "source_fallback")])
+
+
 def test_a_value_that_turns_into_a_number_with_unit_is_drift(spark):
     """By the reference kinds are compared apart: a Cyrillic ``а`` after it makes the designation a value."""
     units = spark.createDataFrame(
